@@ -1,0 +1,21 @@
+"""Join helpers with an explicit size check before any broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when it holds at most this many rows.
+DEFAULT_BROADCAST_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast only if it provably holds <= ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows (a bounded job), so it is
+    cheap even when the side turns out large.  Beyond the bound the frame is
+    returned untouched and Catalyst/AQE pick a shuffle join, converting it to
+    a broadcast at run time if the shuffled side is small after all.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
