@@ -116,9 +116,13 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     nation = _nation(spark, sf_dir, lambda k: k.isNotNull())
-    suppliers = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "inner")
-    joined = lineitem.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "inner").join(
-        part, F.col("l_partkey") == F.col("p_partkey"), "inner"
+    # Each dimension joins the fact stream directly.  Pre-joining supplier
+    # with nation would make Catalyst estimate that side as a product of the
+    # two sizes and pick the fact table as the broadcast side instead.
+    joined = (
+        lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "inner")
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "inner")
+        .join(part, F.col("l_partkey") == F.col("p_partkey"), "inner")
     )
     flag = F.col("l_returnflag")
     return joined.select(
