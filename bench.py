@@ -44,20 +44,27 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     # ---- one-time ingest: derived datasets -> Parquet store -------------------
-    t0 = time.perf_counter()
     store = {}
-    for name, build, org in [
-        ("alerts", views.alerts, "Organization_Name"),
-        ("secrets", views.secrets, "Organization_Name"),
-        ("deps", views.dependencies, "org_name"),
-    ]:
-        path = f"{scratch}/store/{name}"
-        build(spark, sf_dir).sortWithinPartitions(F.col(org).asc_nulls_last()) \
-            .write.mode("overwrite").parquet(path)
-        store[name] = path
     cands_path = f"{scratch}/store/candidates"
-    views.snapshot_candidates(spark, sf_dir).write.mode("overwrite").parquet(cands_path)
-    ingest_sec = time.perf_counter() - t0
+
+    def ingest():
+        for name, build, org in [
+            ("alerts", views.alerts, "Organization_Name"),
+            ("secrets", views.secrets, "Organization_Name"),
+            ("deps", views.dependencies, "org_name"),
+        ]:
+            path = f"{scratch}/store/{name}"
+            build(spark, sf_dir).sortWithinPartitions(F.col(org).asc_nulls_last()) \
+                .write.mode("overwrite").parquet(path)
+            store[name] = path
+        views.snapshot_candidates(spark, sf_dir).write.mode("overwrite").parquet(cands_path)
+
+    ingest_runs = []
+    for _ in range(repeat):
+        t0 = time.perf_counter()
+        ingest()
+        ingest_runs.append(time.perf_counter() - t0)
+    ingest_sec = min(ingest_runs)
 
     A = lambda: spark.read.parquet(store["alerts"])
     S = lambda: spark.read.parquet(store["secrets"])
@@ -110,6 +117,7 @@ def main() -> None:
         "unit": "sec",
         "queries": results,
         "ingest_sec": round(ingest_sec, 4),
+        "ingest_cold_sec": round(ingest_runs[0], 4),
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
         "repeat": repeat,

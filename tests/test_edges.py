@@ -239,3 +239,13 @@ def test_unknown_filter_argument_rejected(spark):
     df = spark.createDataFrame([], DEPS_SCHEMA)
     with pytest.raises(ValueError):
         flt.apply(df, DEPS, severity=["x"])
+
+
+def test_deep_pages_use_positions(spark, monkeypatch):
+    rows = [alert(i, org=[None, "a", "b"][i % 3], repo=[None, "r1", "r2"][i % 4 % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, ALERT_SCHEMA)
+    shallow = [[r["Alert_Number"] for r in pg.alerts(df, p, 7).collect()] for p in range(1, 11)]
+    monkeypatch.setattr(pg, "DEEP_PAGE_ROWS", 0)
+    deep = [[r["Alert_Number"] for r in pg.alerts(df, p, 7).collect()] for p in range(1, 11)]
+    assert deep == shallow
+    assert "__wp_pos" not in pg.alerts(df, 2, 7).columns

@@ -11,7 +11,7 @@ their own group; ties at the k-th place are broken by the key ascending.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchpost.functions.scalar import os_category
@@ -51,10 +51,10 @@ def trend(df: DataFrame, column: str) -> DataFrame:
 def share(grouped: DataFrame, count_col: str = "count") -> DataFrame:
     """agg_share: each slice's share of the total and its whole percent.
 
-    Runs on an already grouped (small) frame: the un-partitioned window sees
-    one row per group, never raw rows.
+    The total is a scalar subquery over the grouped frame, so the slices
+    stay distributed (no single-partition window).
     """
-    total = F.sum(F.col(count_col)).over(Window.partitionBy())
+    total = grouped.agg(F.sum(F.col(count_col))).scalar()
     frac = F.col(count_col) / total
     return grouped.withColumn("share", frac).withColumn(
         "percent", F.round(F.col("share") * 100, 0).cast("long")

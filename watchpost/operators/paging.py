@@ -3,9 +3,11 @@
 ``orderBy(...).offset(o).limit(n)`` is planned as a single
 ``TakeOrderedAndProject``: every partition keeps only its best ``o + n`` rows
 and the survivors are merged, so no full sort or shuffle of the table
-happens.  Deep pages grow that per-partition heap, so ``page_after`` offers
-seek paging (``WHERE key > last ORDER BY key LIMIT n``), whose cost does not
-depend on how deep the page is.
+happens.  Deep pages would grow that per-task heap without bound, so past
+``DEEP_PAGE_ROWS`` the rows are numbered by a distributed range sort and the
+page is picked by position.  ``page_after`` offers seek paging
+(``WHERE key > last ORDER BY key LIMIT n``), whose cost does not depend on
+how deep the page is.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchpost.functions.clean import select_existing
+from watchpost.functions.ordering import row_index
 from watchpost.schema import ALERTS, DEPS, PAGE_SIZE_MAX, SECRETS, Binding
 
 
@@ -31,12 +34,25 @@ def order_columns(df: DataFrame, binding: Binding) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in binding.page_order if c in df.columns]
 
 
+# Beyond this many rows before a page, every task would keep a heap of
+# ``offset + n`` rows; deeper pages number the rows with a distributed sort
+# instead (``row_index``) and pick the page by position.
+DEEP_PAGE_ROWS = 100_000
+
+
 def page(df: DataFrame, binding: Binding, page: int = 1, page_size: int = 50) -> DataFrame:
     """Rows of one page of an (already filtered) frame, display columns only."""
     check_page(page, page_size)
     shown = select_existing(df, binding.display)
-    return shown.orderBy(*order_columns(shown, binding)).offset((page - 1) * page_size).limit(
-        page_size
+    order = order_columns(shown, binding)
+    offset = (page - 1) * page_size
+    if offset + page_size <= DEEP_PAGE_ROWS:
+        return shown.orderBy(*order).offset(offset).limit(page_size)
+    numbered = row_index(shown, order, name="__wp_pos", start=0)
+    return (
+        numbered.where(F.col("__wp_pos").between(offset, offset + page_size - 1))
+        .orderBy("__wp_pos")
+        .drop("__wp_pos")
     )
 
 

@@ -57,13 +57,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     storage; it is only read here.  A private temporary folder is created
     solely when the setting is absent, which happens in local tests.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
+        "spark.checkpoint.dir", None
+    )
+    if not conf_dir:
+        conf_dir = sc.getCheckpointDir()
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="watchpost-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    jsc = spark.sparkContext
-    if jsc.getCheckpointDir() is None:
-        jsc.setCheckpointDir(conf_dir)
+        try:
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        except Exception:  # noqa: BLE001 - some deployments lock core settings
+            pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 

@@ -172,38 +172,41 @@ def snapshot_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     dom = F.dayofmonth("day")
     day_txt = F.date_format("day", "yyyyMMdd")
     zero = F.lit(0).cast("long")
+    c = F.col
 
     def snap(ts, source, fp, total, open_, critical, high, medium, low, fixed, dismissed,
              leaked_, bypassed_, orgs, repos):
-        return [
+        values = [total, open_, critical, high, medium, low, fixed, dismissed, leaked_,
+                  bypassed_, orgs, repos]
+        names = ["total", "open", "critical", "high", "medium", "low", "fixed", "dismissed",
+                 "leaked", "bypassed", "orgs", "repos"]
+        return F.struct(
             ts.alias("timestamp"), F.lit(source).alias("source"), fp.alias("fingerprint"),
-            total.alias("total"), open_.alias("open"), critical.alias("critical"),
-            high.alias("high"), medium.alias("medium"), low.alias("low"),
-            fixed.alias("fixed"), dismissed.alias("dismissed"), leaked_.alias("leaked"),
-            bypassed_.alias("bypassed"), orgs.alias("orgs"), repos.alias("repos"),
-        ]
+            *[v.cast("long").alias(n) for v, n in zip(values, names)],
+        )
 
-    c = F.col
-    secrets_rows = per_day.select(*snap(
-        noon + F.expr("INTERVAL 20 SECONDS"), "secrets", F.concat(F.lit("sec-"), day_txt),
-        c("n"), c("sec_open"), zero, zero, zero, zero, zero, c("n") - c("sec_open"),
-        c("sec_leaked"), c("sec_bypassed"), c("n_orgs"), c("n_repos"),
-    ))
-    dep_rows = per_day.select(*snap(
-        noon + F.expr("INTERVAL 40 SECONDS"), "dependabot", F.concat(F.lit("dep-"), day_txt),
-        c("n"), c("dep_open"), c("dep_critical"), c("dep_high"), c("dep_medium"), c("dep_low"),
-        c("dep_fixed"), c("dep_dismissed"), zero, zero, c("n_orgs"), c("n_repos"),
-    ))
-    dep_late = per_day.where(dom % 5 == 0).select(*snap(
-        noon + F.expr("INTERVAL 50 SECONDS"), "dependabot",
-        F.concat(F.lit("dep-"), day_txt, F.lit("-b")),
-        c("n") - c("dep_fixed"), c("dep_open"), c("dep_critical"), c("dep_high"),
-        c("dep_medium"), c("dep_low"), zero, c("dep_dismissed"), zero, zero,
-        c("n_orgs"), c("n_repos"),
-    ))
-    sec_repeat = per_day.where(dom % 7 == 0).select(*snap(
-        c("day").cast("timestamp") + F.expr("INTERVAL 18 HOURS"), "secrets",
-        F.concat(F.lit("sec-"), day_txt),
-        c("n") + 1, zero, zero, zero, zero, zero, zero, zero, zero, zero, zero, zero,
-    ))
-    return secrets_rows.unionByName(dep_rows).unionByName(dep_late).unionByName(sec_repeat)
+    variants = [
+        snap(noon + F.expr("INTERVAL 20 SECONDS"), "secrets", F.concat(F.lit("sec-"), day_txt),
+             c("n"), c("sec_open"), zero, zero, zero, zero, zero, c("n") - c("sec_open"),
+             c("sec_leaked"), c("sec_bypassed"), c("n_orgs"), c("n_repos")),
+        snap(noon + F.expr("INTERVAL 40 SECONDS"), "dependabot", F.concat(F.lit("dep-"), day_txt),
+             c("n"), c("dep_open"), c("dep_critical"), c("dep_high"), c("dep_medium"),
+             c("dep_low"), c("dep_fixed"), c("dep_dismissed"), zero, zero, c("n_orgs"),
+             c("n_repos")),
+        F.when(dom % 5 == 0, snap(
+            noon + F.expr("INTERVAL 50 SECONDS"), "dependabot",
+            F.concat(F.lit("dep-"), day_txt, F.lit("-b")),
+            c("n") - c("dep_fixed"), c("dep_open"), c("dep_critical"), c("dep_high"),
+            c("dep_medium"), c("dep_low"), zero, c("dep_dismissed"), zero, zero,
+            c("n_orgs"), c("n_repos"))),
+        F.when(dom % 7 == 0, snap(
+            c("day").cast("timestamp") + F.expr("INTERVAL 18 HOURS"), "secrets",
+            F.concat(F.lit("sec-"), day_txt),
+            c("n") + 1, zero, zero, zero, zero, zero, zero, zero, zero, zero, zero, zero)),
+    ]
+    # One aggregate; the variants fan out from its (one row per day) output.
+    return (
+        per_day.select(F.explode(F.array(*variants)).alias("s"))
+        .where(F.col("s").isNotNull())
+        .select("s.*")
+    )
