@@ -249,3 +249,16 @@ def test_deep_pages_use_positions(spark, monkeypatch):
     deep = [[r["Alert_Number"] for r in pg.alerts(df, p, 7).collect()] for p in range(1, 11)]
     assert deep == shallow
     assert "__wp_pos" not in pg.alerts(df, 2, 7).columns
+
+
+def test_deep_pages_with_heavy_duplicates(spark, monkeypatch):
+    from watchpost.functions.ordering import row_index
+    rows = [("o", "r", "p", "hot", "true")] * 50 + [("o", "r", "p", f"d{i:02d}", None) for i in range(23)]
+    df = spark.createDataFrame(rows, DEPS_SCHEMA)
+    shallow = [[tuple(r) for r in pg.deps(df, p, 10).collect()] for p in range(1, 9)]
+    monkeypatch.setattr(pg, "DEEP_PAGE_ROWS", 0)
+    deep = [[tuple(r) for r in pg.deps(df, p, 10).collect()] for p in range(1, 9)]
+    assert deep == shallow and sum(len(p) for p in deep) == 73
+    w = spark.createDataFrame([("a", 3), ("b", 0), ("c", 2), ("d", 1)], "k string, n long")
+    got = {r["k"]: r["row_index"] for r in row_index(w, [F.col("k")], weight="n", start=0, partitions=3).collect()}
+    assert got == {"a": 0, "b": 3, "c": 3, "d": 5}

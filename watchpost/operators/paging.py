@@ -4,8 +4,9 @@
 ``TakeOrderedAndProject``: every partition keeps only its best ``o + n`` rows
 and the survivors are merged, so no full sort or shuffle of the table
 happens.  Deep pages would grow that per-task heap without bound, so past
-``DEEP_PAGE_ROWS`` the rows are numbered by a distributed range sort and the
-page is picked by position.  ``page_after`` offers seek paging
+``DEEP_PAGE_ROWS`` identical rows are folded into (row, multiplicity), the
+folded rows are numbered by a distributed range sort with weighted
+positions, and the page is picked by position.  ``page_after`` offers seek paging
 (``WHERE key > last ORDER BY key LIMIT n``), whose cost does not depend on
 how deep the page is.
 """
@@ -48,9 +49,26 @@ def page(df: DataFrame, binding: Binding, page: int = 1, page_size: int = 50) ->
     offset = (page - 1) * page_size
     if offset + page_size <= DEEP_PAGE_ROWS:
         return shown.orderBy(*order).offset(offset).limit(page_size)
-    numbered = row_index(shown, order, name="__wp_pos", start=0)
+    return _deep_page(shown, order, offset, page_size)
+
+
+def _deep_page(shown: DataFrame, order: list[Column], offset: int, page_size: int) -> DataFrame:
+    """Rows ``offset .. offset+page_size-1`` by position, fully distributed.
+
+    Identical rows are folded into one row with a multiplicity first (a
+    partial aggregate, so a value repeated a billion times is one row per
+    task), positions are weighted prefix sums, and only the folded rows that
+    overlap the page are expanded back.
+    """
+    cols = shown.columns
+    folded = shown.groupBy(*cols).agg(F.count(F.lit(1)).alias("__wp_n"))
+    numbered = row_index(folded, order, name="__wp_first", start=0, weight="__wp_n")
+    first, n = F.col("__wp_first"), F.col("__wp_n")
+    lo, hi = F.lit(offset), F.lit(offset + page_size)
+    overlap = numbered.where((first < hi) & (first + n > lo))
+    pos = F.explode(F.sequence(F.greatest(first, lo), F.least(first + n, hi) - 1))
     return (
-        numbered.where(F.col("__wp_pos").between(offset, offset + page_size - 1))
+        overlap.select(*cols, pos.alias("__wp_pos"))
         .orderBy("__wp_pos")
         .drop("__wp_pos")
     )
