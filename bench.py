@@ -8,7 +8,7 @@ against that store.  Prints ONE JSON line:
    "queries": {...}, "ingest_sec": ..., "sf": ...}
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
-(default 8), BENCH_REPEAT (default 2; the best of the runs is reported, so
+(default 8), BENCH_REPEAT (default 3; the best of the runs is reported, so
 JVM warm-up is not counted).
 """
 
@@ -17,13 +17,11 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
+import uuid
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from watchpost.operators import breakdowns as bd  # noqa: E402
 from watchpost.operators import filters as flt  # noqa: E402
 from watchpost.operators import metrics as met  # noqa: E402
@@ -31,17 +29,20 @@ from watchpost.operators import options as opt  # noqa: E402
 from watchpost.operators import overview as ovw  # noqa: E402
 from watchpost.operators import paging as pg  # noqa: E402
 from watchpost.operators import timeline as tl  # noqa: E402
-from watchpost.session import get_session  # noqa: E402
+from watchpost.session import get_session, shared_dir  # noqa: E402
 from watchpost.sources import export, views  # noqa: E402
+from watchpost.sources.store import write_sorted  # noqa: E402
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
-    scratch = tempfile.mkdtemp(prefix="watchpost-bench-")
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     spark = get_session(f"local[{cpus}]", app_name="watchpost-bench", shuffle_partitions=cpus)
     spark.sparkContext.setLogLevel("ERROR")
+    # Scratch space lives under the shared checkpoint folder, never a
+    # machine-local temp folder (only created when the setting is unset).
+    scratch = shared_dir(spark, f"bench-{uuid.uuid4().hex}")
 
     # ---- one-time ingest: derived datasets -> Parquet store -------------------
     store = {}
@@ -54,8 +55,7 @@ def main() -> None:
             ("deps", views.dependencies, "org_name"),
         ]:
             path = f"{scratch}/store/{name}"
-            build(spark, sf_dir).sortWithinPartitions(F.col(org).asc_nulls_last()) \
-                .write.mode("overwrite").parquet(path)
+            write_sorted(build(spark, sf_dir), path, org)
             store[name] = path
         views.snapshot_candidates(spark, sf_dir).write.mode("overwrite").parquet(cands_path)
 

@@ -35,10 +35,11 @@ def order_columns(df: DataFrame, binding: Binding) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in binding.page_order if c in df.columns]
 
 
-# Beyond this many rows before a page, every task would keep a heap of
-# ``offset + n`` rows; deeper pages number the rows with a distributed sort
-# instead (``row_index``) and pick the page by position.
-DEEP_PAGE_ROWS = 100_000
+# A top-k page makes every task keep a heap of ``offset + n`` rows and sends
+# all heaps to one final merge (partitions x (offset + n) rows).  Past this
+# depth the page is picked by position from a distributed numbering instead.
+# For very deep paging over huge tables prefer ``page_after`` (seek paging).
+DEEP_PAGE_ROWS = 10_000
 
 
 def page(df: DataFrame, binding: Binding, page: int = 1, page_size: int = 50) -> DataFrame:

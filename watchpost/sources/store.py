@@ -38,18 +38,21 @@ def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 
 def fingerprint_frame(spark: SparkSession, path: str) -> DataFrame:
     """src_fingerprint: one row holding the dataset id.  A single file keeps
-    its own id; a folder of part files hashes its files' ids in name order
-    (one entry per file, so the list is bounded by the file count)."""
+    its own id; a folder of part files combines its files' ids with an
+    order-independent XOR of their 64-bit hashes, an aggregate with a
+    map-side partial, so no list of files is gathered in one task."""
     per_file = file_fingerprints(spark, path)
-    entries = F.array_sort(F.collect_list(F.concat_ws(":", "file_name", "fingerprint")))
-    return per_file.agg(
+    entry = F.concat_ws(":", "file_name", "fingerprint")
+    combined = per_file.agg(
         F.count(F.lit(1)).alias("files"),
         F.min("fingerprint").alias("_one"),
-        entries.alias("_entries"),
-    ).select(
+        F.bit_xor(F.xxhash64(entry)).alias("_mix"),
+    )
+    return combined.select(
         "files",
         F.when(F.col("files") == 1, F.col("_one"))
-        .otherwise(F.substring(F.md5(F.concat_ws("|", "_entries")), 1, 12))
+        .otherwise(F.substring(F.md5(F.concat_ws("-", F.col("files").cast("string"),
+                                                 F.col("_mix").cast("string"))), 1, 12))
         .alias("fingerprint"),
     )
 
@@ -58,6 +61,26 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return fingerprint_frame(spark, path).first()["fingerprint"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Write-side parallelism: a frame with fewer partitions than the
+    cluster has cores (a small export read as one split) is spread
+    round-robin over all cores, so the store gets enough files for later
+    scans to run in parallel.  Large inputs already have far more partitions
+    than cores and are written as they are, without a shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def write_sorted(df: DataFrame, path: str, org: str | None) -> None:
+    """Store layout: enough files, each sorted by org (min/max pruning).
+
+    Not range-partitioned by org: one org may hold a third of all rows."""
+    out = spread(df)
+    if org and org in out.columns:
+        out = out.sortWithinPartitions(F.col(org).asc_nulls_last())
+    out.write.mode("overwrite").parquet(path)
+
+
 def _readable(spark: SparkSession, target: str) -> bool:
     try:
         spark.read.parquet(target).limit(1).collect()
@@ -71,7 +94,7 @@ def store(spark: SparkSession, csv_path: str, root: str, dataset: str,
     """sink_store: the parsed dataset, from the store when its id matches.
 
     A fresh parse is written sorted inside each file by org, so Parquet
-    min/max statistics let org filters skip row groups.  For alerts and
+    min/max statistics let org filters skip row groups (``write_sorted``).  For alerts and
     secrets a metric snapshot is appended to the timeline on every ingest,
     reused store or not (duplicates are skipped by key).
     """
@@ -79,10 +102,7 @@ def store(spark: SparkSession, csv_path: str, root: str, dataset: str,
     target = f"{root.rstrip('/')}/{dataset}/fingerprint={fp}"
     if not _readable(spark, target):
         parsed = _READERS[dataset](spark, csv_path)
-        org = _ORG[dataset]
-        if org in parsed.columns:
-            parsed = parsed.sortWithinPartitions(F.col(org).asc_nulls_last())
-        parsed.write.mode("overwrite").parquet(target)
+        write_sorted(parsed, target, _ORG[dataset])
     df = spark.read.parquet(target)
     if record_snapshot and dataset in _SNAPSHOT_SOURCE:
         try:
