@@ -106,3 +106,18 @@ def test_streaming_drop_folder_ingest(spark, tmp):
     q2.awaitTermination(120)
     assert ingest.read_store(spark, root, "secrets").count() == 2
     assert tl.read_history(spark, tl.store_path(root)).count() == 1
+
+
+def test_racing_appends_of_one_key_leave_one_row(spark, tmp):
+    path = f"{tmp}/hist"
+    t = dt.datetime(2024, 3, 1, 12, 0, 0)
+    c = spark.createDataFrame([cand(t, "secrets", "k", total=4)], CAND)
+    # two appenders that both checked the (empty) history before writing
+    rows_a = tl.new_rows(tl.read_history(spark, path), c)
+    rows_b = tl.new_rows(tl.read_history(spark, path), c)
+    for rows in (rows_a, rows_b):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy(*tl.KEY).parquet(path)
+    h = tl.read_history(spark, path)
+    assert h.count() == 1 and h.where(F.col("source") == "secrets").count() == 1
+    assert h.columns == ["id", "timestamp", "source", "fingerprint", *SNAPSHOT_METRICS]

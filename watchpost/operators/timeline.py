@@ -1,12 +1,14 @@
 """Append-only history of metric snapshots (``tl_*``).
 
-Storage is a Parquet table partitioned by ``source``.  A snapshot is keyed by
-``(source, fingerprint)``; appending is "new candidates anti-join history",
-so re-running an append (a retried job, a restarted app re-ingesting the
-same file) inserts nothing twice.  Spark's file commit protocol makes each
-append all-or-nothing, so a lost executor cannot leave half a batch behind.
-Concurrent *writers* are not coordinated (plain Parquet has no unique key);
-run one appender per history, as the reference does with its write lock.
+Storage is a Parquet table partitioned by ``(source, fingerprint)``, the
+snapshot key.  Appending is "new candidates anti-join history", so re-running
+an append (a retried job, a restarted app re-ingesting the same file) inserts
+nothing twice.  New rows are written with dynamic partition overwrite: a
+write replaces exactly the key directories it carries, so even two appenders
+racing on the same key leave one row for it, not two.  Spark's file commit
+protocol makes each append all-or-nothing, so a lost executor cannot leave
+half a batch behind.  Ids of racing appenders may collide; ids are internal
+(dropped on read) and only break ties inside one minute bucket.
 """
 
 from __future__ import annotations
@@ -66,9 +68,17 @@ def empty_history(spark: SparkSession) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The stored history, or an empty frame when nothing was recorded yet."""
+    """The stored history, or an empty frame when nothing was recorded yet.
+
+    Key values come back from the partition folders; only the snapshot key
+    is a partition column, so filters on ``source`` prune folders."""
     try:
-        return spark.read.schema(SNAPSHOT_SCHEMA).parquet(path)
+        df = (
+            spark.read.schema(SNAPSHOT_SCHEMA)
+            .option("basePath", path)
+            .parquet(path)
+        )
+        return df.select(*[f.name for f in SNAPSHOT_SCHEMA.fields])
     except Exception:  # noqa: BLE001 - no table written yet
         return empty_history(spark)
 
@@ -120,7 +130,12 @@ def append(spark: SparkSession, path: str, candidates: DataFrame) -> int:
     rows = new_rows(history, candidates).checkpoint()
     inserted = rows.count()
     if inserted:
-        rows.write.mode("append").partitionBy("source").parquet(path)
+        (
+            rows.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*KEY)
+            .parquet(path)
+        )
     return inserted
 
 
