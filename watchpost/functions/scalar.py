@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from watchpost.schema import (
     CVE_LINK_BASE,
+    CVSS_BAND_BOUNDS,
     ELLIPSIS,
     NOT_OPEN_SOURCE_LABEL,
     OPEN_SOURCE_LABEL,
@@ -43,11 +44,12 @@ def os_category(col: str | Column) -> Column:
 def cvss_band(col: str | Column) -> Column:
     """fn_cvss_band: >=9 critical, >=7 high, >=4 medium, else low; NULL none."""
     c = _c(col).try_cast("double")
+    crit, high, medium = CVSS_BAND_BOUNDS
     return (
         F.when(c.isNull(), F.lit(None))
-        .when(c >= 9, F.lit("critical"))
-        .when(c >= 7, F.lit("high"))
-        .when(c >= 4, F.lit("medium"))
+        .when(c >= crit, F.lit("critical"))
+        .when(c >= high, F.lit("high"))
+        .when(c >= medium, F.lit("medium"))
         .otherwise(F.lit("low"))
     )
 

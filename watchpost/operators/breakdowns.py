@@ -15,6 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchpost.functions.scalar import os_category
+from watchpost.schema import (
+    TOP_DEPENDENCIES,
+    TOP_ECOSYSTEMS,
+    TOP_MANIFESTS,
+    TOP_ORGS,
+    TOP_REPOS,
+)
 
 
 def count_by(df: DataFrame, key: str | Column, name: str, k: int | None = None,
@@ -72,7 +79,7 @@ def alert_state(df: DataFrame) -> DataFrame:
 
 
 def alert_ecosystem(df: DataFrame) -> DataFrame:
-    return count_by(df, "Dependency_Package_Ecosystem", "ecosystem", k=10)
+    return count_by(df, "Dependency_Package_Ecosystem", "ecosystem", k=TOP_ECOSYSTEMS)
 
 
 def _org_metrics(total_name: str = "total") -> list[Column]:
@@ -85,7 +92,7 @@ def _org_metrics(total_name: str = "total") -> list[Column]:
 
 def alert_org(df: DataFrame) -> DataFrame:
     """agg_alert_org: top 20 orgs by alerts, with open and distinct repos."""
-    return count_by(df, "Organization_Name", "org", k=20, metrics=_org_metrics(),
+    return count_by(df, "Organization_Name", "org", k=TOP_ORGS, metrics=_org_metrics(),
                     order_by="total")
 
 
@@ -108,7 +115,7 @@ def secret_validity(df: DataFrame) -> DataFrame:
 
 
 def secret_org(df: DataFrame) -> DataFrame:
-    return count_by(df, "Organization_Name", "org", k=20, metrics=_org_metrics(),
+    return count_by(df, "Organization_Name", "org", k=TOP_ORGS, metrics=_org_metrics(),
                     order_by="total")
 
 
@@ -119,12 +126,12 @@ def secret_trend(df: DataFrame) -> DataFrame:
 # ---- dependencies ---------------------------------------------------------
 
 def deps_manifest(df: DataFrame) -> DataFrame:
-    return count_by(df, "package_name", "package_file", k=15)
+    return count_by(df, "package_name", "package_file", k=TOP_MANIFESTS)
 
 
 def deps_org(df: DataFrame) -> DataFrame:
     return count_by(
-        df, "org_name", "org", k=20, order_by="total_deps",
+        df, "org_name", "org", k=TOP_ORGS, order_by="total_deps",
         metrics=[
             F.count(F.lit(1)).alias("total_deps"),
             F.count_distinct("dependency_name").alias("unique_deps"),
@@ -136,7 +143,7 @@ def deps_org(df: DataFrame) -> DataFrame:
 def deps_repo(df: DataFrame) -> DataFrame:
     """Top 20 (repo, org) pairs."""
     return count_by(
-        df, "repo_name", "repo", k=20, order_by="total_deps", extra_keys=[("org_name", "org")],
+        df, "repo_name", "repo", k=TOP_REPOS, order_by="total_deps", extra_keys=[("org_name", "org")],
         metrics=[
             F.count(F.lit(1)).alias("total_deps"),
             F.count_distinct("dependency_name").alias("unique_deps"),
@@ -148,7 +155,7 @@ def deps_top(df: DataFrame) -> DataFrame:
     """Top 20 dependencies.  ``repo_count`` is the row count (the reference's
     naming), ``repos`` the distinct repositories."""
     return count_by(
-        df, "dependency_name", "dependency", k=20, order_by="repo_count",
+        df, "dependency_name", "dependency", k=TOP_DEPENDENCIES, order_by="repo_count",
         metrics=[
             F.count(F.lit(1)).alias("repo_count"),
             F.count_distinct("repo_name").alias("repos"),

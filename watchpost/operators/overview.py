@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 
 from watchpost.functions.ordering import row_index
 from watchpost.functions.scalar import flag_text
+from watchpost.schema import (
+    HEAT_BASE,
+    HEAT_CELLS,
+    HEAT_FLAT,
+    HEAT_SPAN,
+    RISK_LABELS,
+    RISK_MEDIUM_SHARE,
+)
 
 BOARD_COLUMNS = [
     "org", "dep_total", "dep_open", "dep_critical", "dep_high",
@@ -148,13 +156,14 @@ def _max_total(board: DataFrame) -> Column:
 def risk_label(max_total: Column) -> Column:
     """ovw_risk rules, in order."""
     c = F.col
+    critical, high, none, medium, low = RISK_LABELS
     ratio = F.when(max_total > 0, c("total_open") / max_total).otherwise(F.lit(0.0))
     return (
-        F.when((c("dep_critical") > 0) | (c("sec_leaked") > 0), F.lit("Critical"))
-        .when((c("dep_high") > 0) | (c("sec_bypassed") > 0), F.lit("High"))
-        .when((c("total_open") == 0) & (c("total_vulns") == 0), F.lit("None"))
-        .when(ratio >= 0.25, F.lit("Medium"))
-        .otherwise(F.lit("Low"))
+        F.when((c("dep_critical") > 0) | (c("sec_leaked") > 0), F.lit(critical))
+        .when((c("dep_high") > 0) | (c("sec_bypassed") > 0), F.lit(high))
+        .when((c("total_open") == 0) & (c("total_vulns") == 0), F.lit(none))
+        .when(ratio >= RISK_MEDIUM_SHARE, F.lit(medium))
+        .otherwise(F.lit(low))
     )
 
 
@@ -168,7 +177,7 @@ def _ranked(board: DataFrame) -> DataFrame:
     return row_index(board, order, name="rank")
 
 
-def heat(board: DataFrame, cells: int = 40) -> DataFrame:
+def heat(board: DataFrame, cells: int = HEAT_CELLS) -> DataFrame:
     """ovw_heat: intensity of the first ``cells`` orgs.
 
     ``0.25 + min(total/max, 1) * 0.65``; a flat 0.5 when the max is 0 or the
@@ -178,8 +187,9 @@ def heat(board: DataFrame, cells: int = 40) -> DataFrame:
     labelled = board.withColumn("risk", risk_label(mx))
     top = labelled.orderBy(F.col("total_vulns").desc(), F.col("org").asc()).limit(cells)
     t = F.least(F.col("total_vulns") / mx, F.lit(1.0))
-    intensity = F.when((mx == 0) | (F.col("risk") == "None"), F.lit(0.5)).otherwise(
-        F.lit(0.25) + t * F.lit(0.65)
+    none_label = RISK_LABELS[2]
+    intensity = F.when((mx == 0) | (F.col("risk") == none_label), F.lit(HEAT_FLAT)).otherwise(
+        F.lit(HEAT_BASE) + t * F.lit(HEAT_SPAN)
     )
     return top.select("org", "total_vulns", "risk", intensity.alias("intensity"))
 

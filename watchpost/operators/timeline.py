@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 
 from watchpost.functions.clean import iso_text, safe_int
 from watchpost.functions.ordering import row_index
-from watchpost.schema import SNAPSHOT_KEY_ALIASES, SNAPSHOT_METRICS, SNAPSHOT_SCHEMA
+from watchpost.schema import (
+    SNAPSHOT_KEY_ALIASES,
+    SNAPSHOT_METRICS,
+    SNAPSHOT_SCHEMA,
+    ZOOM_IN_SHARE,
+    ZOOM_OUT_SHARE,
+)
 
 KEY = ["source", "fingerprint"]
 ID_ORDER = ["timestamp", "source", "fingerprint"]
@@ -175,13 +181,13 @@ def merge(history: DataFrame) -> DataFrame:
 
 def zoom_in(left: int, right: int) -> tuple[int, int]:
     """Trim a quarter of the span from each side, keeping at least 2 points."""
-    step = max(1, int((right - left) * 0.25))
+    step = max(1, int((right - left) * ZOOM_IN_SHARE))
     return min(left + step, right - 1), max(right - step, left + 1)
 
 
 def zoom_out(left: int, right: int, n: int) -> tuple[int, int]:
     """Widen by half the span on each side, within ``0..n-1``."""
-    step = max(1, int((right - left) * 0.5))
+    step = max(1, int((right - left) * ZOOM_OUT_SHARE))
     return max(0, left - step), min(n - 1, right + step)
 
 
@@ -197,7 +203,7 @@ def zoomed_in_once(merged: DataFrame) -> DataFrame:
     """tl_window after one zoom-in from the full view, bounds as scalars."""
     n = merged.agg(F.count(F.lit(1))).scalar()
     right0 = n - 1
-    step = F.greatest(F.lit(1).cast("long"), F.floor(right0 * 0.25).cast("long"))
+    step = F.greatest(F.lit(1).cast("long"), F.floor(right0 * ZOOM_IN_SHARE).cast("long"))
     left = F.least(step, right0 - 1)
     right = F.greatest(right0 - step, F.lit(1).cast("long"))
     return window(merged, left, right)

@@ -80,6 +80,33 @@ CVE_LINK_BASE = "https://nvd.nist.gov/vuln/detail/"
 TRUNCATE_AT = 80
 ELLIPSIS = "…"
 
+# Top-k sizes of the breakdown charts.
+TOP_ECOSYSTEMS = 10
+TOP_ORGS = 20
+TOP_MANIFESTS = 15
+TOP_REPOS = 20
+TOP_DEPENDENCIES = 20
+
+# CVSS display bands: lower bounds of critical, high, medium (below: low).
+CVSS_BAND_BOUNDS = [9.0, 7.0, 4.0]
+
+# Org risk levels, in the order the rules are tried, and the share of the
+# largest org total above which open volume alone makes an org Medium.
+RISK_LABELS = ["Critical", "High", "None", "Medium", "Low"]
+RISK_MEDIUM_SHARE = 0.25
+
+# Heat map: number of cells, intensity = base + min(total/max, 1) * span,
+# and the flat intensity of an empty map or a None-risk org.
+HEAT_CELLS = 40
+HEAT_BASE = 0.25
+HEAT_SPAN = 0.65
+HEAT_FLAT = 0.5
+
+# Timeline zoom: share of the span trimmed per side on zoom-in, widened per
+# side on zoom-out.
+ZOOM_IN_SHARE = 0.25
+ZOOM_OUT_SHARE = 0.5
+
 # ---------------------------------------------------------------------------
 # Design choices for the secrets dataset, whose defining code is absent.
 # ---------------------------------------------------------------------------
