@@ -759,8 +759,9 @@ def q_tl_append(spark, d):
 
 
 @register("tl_backfill", WS + f"""SELECT {O.iso('ts')} AS timestamp, 'secrets' AS source,
-  'original_seed' AS fingerprint, total, open, 0 AS critical, 0 AS high, 0 AS medium, 0 AS low,
-  0 AS fixed, 0 AS dismissed, leaked, bypassed, orgs, repos
+  'original_seed' AS fingerprint, total, open, CAST(0 AS BIGINT) AS critical,
+  CAST(0 AS BIGINT) AS high, CAST(0 AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low,
+  CAST(0 AS BIGINT) AS fixed, CAST(0 AS BIGINT) AS dismissed, leaked, bypassed, orgs, repos
 FROM (SELECT max(Created_At) - INTERVAL 3 DAY AS ts, count(*) AS total,
              count(*) FILTER (WHERE State = 'open') AS open,
              count(*) FILTER (WHERE CAST(Publicly_Leaked AS VARCHAR) IN ('True', 'true')) AS leaked,
