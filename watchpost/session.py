@@ -28,6 +28,9 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Interactive requests share the cluster instead of queueing behind a
+    # long export or ingest job.
+    "spark.scheduler.mode": "FAIR",
 }
 
 
@@ -57,7 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     storage; it is only read here.  A private temporary folder is created
     solely when the setting is absent, which happens in local tests.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the setting
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None
     )

@@ -67,8 +67,12 @@ def spread(df: DataFrame) -> DataFrame:
     round-robin over all cores, so the store gets enough files for later
     scans to run in parallel.  Large inputs already have far more partitions
     than cores and are written as they are, without a shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - Spark Connect: no RDD view, write as is
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def write_sorted(df: DataFrame, path: str, org: str | None) -> None:

@@ -55,16 +55,22 @@ def _metrics(dataset: str, df: DataFrame) -> DataFrame:
 
 def start(spark: SparkSession, folder: str, dataset: str, store_root: str, checkpoint: str,
           columns: list[str] | None = None, available_now: bool = True,
-          processing_time: str | None = None) -> StreamingQuery:
+          processing_time: str | None = None,
+          max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start ingesting new ``<glob>`` files of ``folder`` into ``store_root``.
 
     ``columns`` is the export header (CSV streams need a schema up front);
     it defaults to the dataset's display columns.  ``available_now`` drains
     what is there and stops; otherwise ``processing_time`` sets the trigger.
+    ``max_files_per_trigger`` bounds one micro-batch when a backlog of
+    exports lands at once.
     """
     cols = columns or _COLUMNS[dataset]
+    reader = spark.readStream
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = (
-        spark.readStream.schema(all_string(cols))
+        reader.schema(all_string(cols))
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
