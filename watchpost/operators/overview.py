@@ -25,13 +25,6 @@ from watchpost.schema import (
     RISK_MEDIUM_SHARE,
 )
 
-BOARD_COLUMNS = [
-    "org", "dep_total", "dep_open", "dep_critical", "dep_high",
-    "sec_total", "sec_open", "sec_leaked", "sec_bypassed",
-    "total_vulns", "total_open", "repos",
-]
-
-
 def org_alerts(alerts: DataFrame) -> DataFrame:
     """ovw_org_alerts: per non-null org: total, open, critical, high, repos."""
     state, sev = F.col("State"), F.col("Severity")

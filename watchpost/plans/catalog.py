@@ -26,7 +26,7 @@ from watchpost.operators import overview as ovw
 from watchpost.operators import paging as pg
 from watchpost.operators import timeline as tl
 from watchpost.plans import oracle as O
-from watchpost.schema import ALERT_DATE_COLUMNS, ALERT_DISPLAY_COLUMNS, DEPS_COLUMNS, DEPS
+from watchpost.schema import ALERT_DATE_COLUMNS, ALERT_DISPLAY_COLUMNS, DEPS_COLUMNS
 from watchpost.session import shared_dir
 from watchpost.sources import csv as src
 from watchpost.sources import export, store, views
