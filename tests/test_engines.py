@@ -44,3 +44,17 @@ def test_other_engines(spark, tmp):
     got = t.get("secrets").collect()
     assert len(got) == 1 and got[0]["total"] == s.df.count()
     assert t.merged().count() == 1
+
+
+def test_engines_serve_stored_summaries(spark, tmp):
+    from watchpost.plans import summaries as summ
+    df = views.alerts(spark, SF_SMALL)
+    summ.build(spark, df, f"{tmp}/root", "alerts", "fpX")
+    live = AlertsEngine(df)
+    stored = AlertsEngine(df, summaries=(f"{tmp}/root", "fpX"))
+    for call in ("metrics", "agg_severity", "agg_org", "agg_trend", "filter_options"):
+        assert [tuple(r) for r in getattr(stored, call)().collect()] == \
+            [tuple(r) for r in getattr(live, call)().collect()], call
+    # a summary that was never built falls back to the live computation
+    other = AlertsEngine(df, summaries=(f"{tmp}/root", "missing"))
+    assert other.metrics().first()["total"] == df.count()

@@ -106,3 +106,17 @@ def test_store_reuses_parse_and_records_snapshot_once(spark, tmp):
     hist = tl.read_history(spark, tl.store_path(root)).collect()
     assert len(hist) == 1 and hist[0]["source"] == "dependabot" and hist[0]["critical"] == 1
     assert hist[0]["fingerprint"] == fp and hist[0]["total"] == 2
+
+
+def test_summaries_equal_live_results(spark, tmp):
+    from watchpost.plans import summaries as summ
+    frames = {"alerts": views.alerts(spark, SF_SMALL), "secrets": views.secrets(spark, SF_SMALL),
+              "deps": views.dependencies(spark, SF_SMALL)}
+    for dataset, df in frames.items():
+        built = summ.build(spark, df, f"{tmp}/root", dataset, "fp0")
+        assert sorted(built) == sorted(summ.SUMMARIES[dataset])
+        assert summ.build(spark, df, f"{tmp}/root", dataset, "fp0") == []  # reused
+        for name, fn in summ.SUMMARIES[dataset].items():
+            live = [tuple(r) for r in fn(df).collect()]
+            stored = [tuple(r) for r in summ.read(spark, f"{tmp}/root", dataset, "fp0", name).collect()]
+            assert stored == live, (dataset, name)

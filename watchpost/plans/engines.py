@@ -6,11 +6,15 @@ datasets, the overview and the snapshot history.  These classes offer the
 same calls over a DataFrame (usually the Parquet store from
 ``sources.store.store``); each call returns a lazy DataFrame (or writes, for
 exports), composed from the operators in ``watchpost.operators``.
+
+Given ``summaries=(root, fingerprint)``, the filter-independent calls
+(metrics, charts, options) read the results computed once at ingest
+(``plans.summaries``) instead of scanning the store again.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +25,7 @@ from watchpost.operators import options as opt
 from watchpost.operators import overview as ovw
 from watchpost.operators import paging as pg
 from watchpost.operators import timeline as tl
+from watchpost.plans import summaries as summ
 from watchpost.schema import ALERTS, DEPS, SECRETS, TYPEAHEAD_DEFAULT
 from watchpost.sources import export
 
@@ -34,32 +39,53 @@ class Page:
 
 
 @dataclass
-class AlertsEngine:
+class _Engine:
     df: DataFrame
+    summaries: tuple[str, str] | None = None
+    _built: set = field(default_factory=set, repr=False)
+    dataset = ""
+
+    def _whole(self, name: str, live) -> DataFrame:
+        """A filter-independent result: stored if built at ingest, else live."""
+        if self.summaries is not None:
+            root, fingerprint = self.summaries
+            spark = self.df.sparkSession
+            if name not in self._built and summ.present(
+                spark, summ.location(root, self.dataset, fingerprint, name)
+            ):
+                self._built.add(name)
+            if name in self._built:
+                return summ.read(spark, root, self.dataset, fingerprint, name)
+        return live(self.df)
+
+
+@dataclass
+class AlertsEngine(_Engine):
+    dataset = "alerts"
 
     def filter_options(self) -> DataFrame:
-        return opt.alerts(self.df)
+        return self._whole("options", opt.alerts)
 
     def search_orgs(self, q: str = "", limit: int = TYPEAHEAD_DEFAULT) -> DataFrame:
         return opt.typeahead(self.df, ALERTS.org, q, limit, alias="org")
 
     def metrics(self) -> DataFrame:
-        return met.alerts(self.df)
+        return self._whole("metrics", met.alerts)
 
     def agg_severity(self) -> DataFrame:
-        return bd.alert_severity(self.df)
+        return self._whole("severity", bd.alert_severity)
 
     def agg_state(self) -> DataFrame:
-        return bd.alert_state(self.df)
+        return self._whole("state", bd.alert_state)
 
     def agg_ecosystem(self) -> DataFrame:
-        return bd.alert_ecosystem(self.df)
+        return self._whole("ecosystem", bd.alert_ecosystem)
 
     def agg_org(self) -> DataFrame:
-        return bd.alert_org(self.df)
+        return self._whole("org", bd.alert_org)
 
     def agg_trend(self) -> DataFrame:
-        return bd.alert_trend(self.df)
+        return self._whole("trend", bd.alert_trend)
 
     def page(self, page: int = 1, page_size: int = 50, **filters) -> Page:
         f = flt.alerts(self.df, **filters)
@@ -70,32 +96,32 @@ class AlertsEngine:
 
 
 @dataclass
-class SecretsEngine:
-    df: DataFrame
+class SecretsEngine(_Engine):
+    dataset = "secrets"
 
     def filter_options(self) -> DataFrame:
-        return opt.secrets(self.df)
+        return self._whole("options", opt.secrets)
 
     def search_orgs(self, q: str = "", limit: int = TYPEAHEAD_DEFAULT) -> DataFrame:
         return opt.typeahead(self.df, SECRETS.org, q, limit, alias="org")
 
     def metrics(self) -> DataFrame:
-        return met.secrets(self.df)
+        return self._whole("metrics", met.secrets)
 
     def agg_secret_type(self) -> DataFrame:
-        return bd.secret_type(self.df)
+        return self._whole("secret_type", bd.secret_type)
 
     def agg_state(self) -> DataFrame:
-        return bd.secret_state(self.df)
+        return self._whole("state", bd.secret_state)
 
     def agg_validity(self) -> DataFrame:
-        return bd.secret_validity(self.df)
+        return self._whole("validity", bd.secret_validity)
 
     def agg_org(self) -> DataFrame:
-        return bd.secret_org(self.df)
+        return self._whole("org", bd.secret_org)
 
     def agg_trend(self) -> DataFrame:
-        return bd.secret_trend(self.df)
+        return self._whole("trend", bd.secret_trend)
 
     def page(self, page: int = 1, page_size: int = 50, **filters) -> Page:
         f = flt.secrets(self.df, **filters)
@@ -106,11 +132,11 @@ class SecretsEngine:
 
 
 @dataclass
-class DepsEngine:
-    df: DataFrame
+class DepsEngine(_Engine):
+    dataset = "deps"
 
     def filter_options(self) -> DataFrame:
-        return opt.deps(self.df)
+        return self._whole("options", opt.deps)
 
     def search_orgs(self, q: str = "", limit: int = TYPEAHEAD_DEFAULT) -> DataFrame:
         return opt.typeahead(self.df, DEPS.org, q, limit, alias="org")
@@ -119,22 +145,22 @@ class DepsEngine:
         return opt.typeahead(self.df, DEPS.repo, q, limit, alias="repo")
 
     def metrics(self) -> DataFrame:
-        return met.deps(self.df)
+        return self._whole("metrics", met.deps)
 
     def agg_package_file(self) -> DataFrame:
-        return bd.deps_manifest(self.df)
+        return self._whole("package_file", bd.deps_manifest)
 
     def agg_org(self) -> DataFrame:
-        return bd.deps_org(self.df)
+        return self._whole("org", bd.deps_org)
 
     def agg_repo(self) -> DataFrame:
-        return bd.deps_repo(self.df)
+        return self._whole("repo", bd.deps_repo)
 
     def agg_top_dependencies(self) -> DataFrame:
-        return bd.deps_top(self.df)
+        return self._whole("top_dependencies", bd.deps_top)
 
     def agg_open_source(self) -> DataFrame:
-        return bd.deps_open_source(self.df)
+        return self._whole("open_source", bd.deps_open_source)
 
     def page(self, page: int = 1, page_size: int = 50, **filters) -> Page:
         f = flt.deps(self.df, **filters)

@@ -94,13 +94,15 @@ def _readable(spark: SparkSession, target: str) -> bool:
 
 
 def store(spark: SparkSession, csv_path: str, root: str, dataset: str,
-          record_snapshot: bool = True) -> DataFrame:
+          record_snapshot: bool = True, summaries: bool = False) -> DataFrame:
     """sink_store: the parsed dataset, from the store when its id matches.
 
     A fresh parse is written sorted inside each file by org, so Parquet
     min/max statistics let org filters skip row groups (``write_sorted``).  For alerts and
     secrets a metric snapshot is appended to the timeline on every ingest,
-    reused store or not (duplicates are skipped by key).
+    reused store or not (duplicates are skipped by key).  With
+    ``summaries`` the filter-independent results (metrics, charts, options)
+    are computed once for this fingerprint (``plans.summaries``).
     """
     fp = fingerprint(spark, csv_path)
     target = f"{root.rstrip('/')}/{dataset}/fingerprint={fp}"
@@ -108,6 +110,10 @@ def store(spark: SparkSession, csv_path: str, root: str, dataset: str,
         parsed = _READERS[dataset](spark, csv_path)
         write_sorted(parsed, target, _ORG[dataset])
     df = spark.read.parquet(target)
+    if summaries:
+        from watchpost.plans import summaries as summ
+
+        summ.build(spark, df, root, dataset, fp)
     if record_snapshot and dataset in _SNAPSHOT_SOURCE:
         try:
             cand = tl.from_metrics(_METRICS[dataset](df), _SNAPSHOT_SOURCE[dataset], fp)
