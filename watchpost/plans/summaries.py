@@ -12,6 +12,7 @@ only (re)built when missing, like the store itself.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,19 +67,29 @@ def present(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def build(spark: SparkSession, df: DataFrame, root: str, dataset: str, fingerprint: str) -> list[str]:
+def build(spark: SparkSession, df: DataFrame, root: str, dataset: str, fingerprint: str,
+          threads: int = 8) -> list[str]:
     """Compute every summary of ``dataset`` that is missing; return the names built.
 
     Each result is a grouped or one-row frame, written as it comes out of its
-    final aggregate (no single-task step is added).
+    final aggregate (no single-task step is added).  The jobs are submitted
+    from ``threads`` driver threads at once; under the FAIR scheduler they
+    share the executors instead of running one after another.
     """
-    built = []
-    for name, fn in SUMMARIES[dataset].items():
-        path = location(root, dataset, fingerprint, name)
-        if not present(spark, path):
-            fn(df).write.mode("overwrite").parquet(path)
-            built.append(name)
-    return built
+    todo = [
+        (name, fn) for name, fn in SUMMARIES[dataset].items()
+        if not present(spark, location(root, dataset, fingerprint, name))
+    ]
+
+    def one(item):
+        name, fn = item
+        fn(df).write.mode("overwrite").parquet(location(root, dataset, fingerprint, name))
+        return name
+
+    if threads <= 1 or len(todo) <= 1:
+        return [one(item) for item in todo]
+    with ThreadPoolExecutor(max_workers=min(threads, len(todo))) as pool:
+        return list(pool.map(one, todo))
 
 
 def read(spark: SparkSession, root: str, dataset: str, fingerprint: str, name: str) -> DataFrame:
