@@ -31,7 +31,7 @@ from watchpost.operators import overview as ovw  # noqa: E402
 from watchpost.operators import paging as pg  # noqa: E402
 from watchpost.operators import timeline as tl  # noqa: E402
 from watchpost.plans import summaries as summ  # noqa: E402
-from watchpost.plans.engines import AlertsEngine, DepsEngine, SecretsEngine  # noqa: E402
+from watchpost.plans.engines import AlertsEngine, DepsEngine, Overview, SecretsEngine  # noqa: E402
 from watchpost.session import get_session, shared_dir  # noqa: E402
 from watchpost.sources import export, views  # noqa: E402
 from watchpost.sources.store import write_sorted  # noqa: E402
@@ -133,12 +133,14 @@ def main() -> None:
     t = time.perf_counter()
     for name in ("alerts", "secrets", "deps"):
         summ.build(spark, frames[name], summary_root, name, "bench")
+    summ.build_overview(spark, A(), S(), summary_root, "bench", "bench")
     summaries_build = time.perf_counter() - t
     engines = {
         "alerts": AlertsEngine(A(), summaries=(summary_root, "bench")),
         "secrets": SecretsEngine(S(), summaries=(summary_root, "bench")),
         "deps": DepsEngine(D(), summaries=(summary_root, "bench")),
     }
+    board = Overview(A(), S(), stored=(summary_root, "bench", "bench"))
     served_cases = {
         "met_alerts": lambda: engines["alerts"].metrics().collect(),
         "met_secrets": lambda: engines["secrets"].metrics().collect(),
@@ -149,6 +151,9 @@ def main() -> None:
         "agg_deps_top": lambda: engines["deps"].agg_top_dependencies().collect(),
         "agg_deps_repo": lambda: engines["deps"].agg_repo().collect(),
         "opt_alerts": lambda: engines["alerts"].filter_options().collect(),
+        "ta_alert_orgs": lambda: engines["alerts"].search_orgs("ation_1", 50).collect(),
+        "ovw_orgs": lambda: board.orgs().collect(),
+        "ovw_totals": lambda: board.totals().collect(),
     }
     served = {}
     for name, fn in served_cases.items():

@@ -58,3 +58,23 @@ def test_engines_serve_stored_summaries(spark, tmp):
     # a summary that was never built falls back to the live computation
     other = AlertsEngine(df, summaries=(f"{tmp}/root", "missing"))
     assert other.metrics().first()["total"] == df.count()
+
+
+def test_typeahead_and_overview_from_summaries(spark, tmp):
+    from watchpost.plans import summaries as summ
+    a, s = views.alerts(spark, SF_SMALL), views.secrets(spark, SF_SMALL)
+    d = views.dependencies(spark, SF_SMALL)
+    summ.build(spark, a, f"{tmp}/r", "alerts", "fa")
+    summ.build(spark, d, f"{tmp}/r", "deps", "fd")
+    for q, n in [("ation_1", 50), ("  ", 3), ("NATION", 200)]:
+        assert [r[0] for r in AlertsEngine(a, summaries=(f"{tmp}/r", "fa")).search_orgs(q, n).collect()] == \
+            [r[0] for r in AlertsEngine(a).search_orgs(q, n).collect()]
+    assert [r[0] for r in DepsEngine(d, summaries=(f"{tmp}/r", "fd")).search_repos("#0000000", 7).collect()] == \
+        [r[0] for r in DepsEngine(d).search_repos("#0000000", 7).collect()]
+    assert summ.build_overview(spark, a, s, f"{tmp}/r", "fa", "fs") is True
+    assert summ.build_overview(spark, a, s, f"{tmp}/r", "fa", "fs") is False
+    stored = Overview(a, s, stored=(f"{tmp}/r", "fa", "fs"))
+    live = Overview(a, s)
+    for call in ("orgs", "totals", "risk", "heat", "rank"):
+        assert [tuple(r) for r in getattr(stored, call)().collect()] == \
+            [tuple(r) for r in getattr(live, call)().collect()], call

@@ -58,6 +58,11 @@ class _Engine:
                 return summ.read(spark, root, self.dataset, fingerprint, name)
         return live(self.df)
 
+    def _typeahead(self, summary: str, alias: str, q: str, limit: int) -> DataFrame:
+        """Typeahead over the stored distinct values when built, else the store."""
+        values = self._whole(summary, summ.SUMMARIES[self.dataset][summary])
+        return opt.typeahead(values, alias, q, limit)
+
 
 @dataclass
 class AlertsEngine(_Engine):
@@ -67,7 +72,7 @@ class AlertsEngine(_Engine):
         return self._whole("options", opt.alerts)
 
     def search_orgs(self, q: str = "", limit: int = TYPEAHEAD_DEFAULT) -> DataFrame:
-        return opt.typeahead(self.df, ALERTS.org, q, limit, alias="org")
+        return self._typeahead("orgs", "org", q, limit)
 
     def metrics(self) -> DataFrame:
         return self._whole("metrics", met.alerts)
@@ -103,7 +108,7 @@ class SecretsEngine(_Engine):
         return self._whole("options", opt.secrets)
 
     def search_orgs(self, q: str = "", limit: int = TYPEAHEAD_DEFAULT) -> DataFrame:
-        return opt.typeahead(self.df, SECRETS.org, q, limit, alias="org")
+        return self._typeahead("orgs", "org", q, limit)
 
     def metrics(self) -> DataFrame:
         return self._whole("metrics", met.secrets)
@@ -139,10 +144,10 @@ class DepsEngine(_Engine):
         return self._whole("options", opt.deps)
 
     def search_orgs(self, q: str = "", limit: int = TYPEAHEAD_DEFAULT) -> DataFrame:
-        return opt.typeahead(self.df, DEPS.org, q, limit, alias="org")
+        return self._typeahead("orgs", "org", q, limit)
 
     def search_repos(self, q: str = "", limit: int = TYPEAHEAD_DEFAULT) -> DataFrame:
-        return opt.typeahead(self.df, DEPS.repo, q, limit, alias="repo")
+        return self._typeahead("repos", "repo", q, limit)
 
     def metrics(self) -> DataFrame:
         return self._whole("metrics", met.deps)
@@ -172,16 +177,31 @@ class DepsEngine(_Engine):
 
 @dataclass
 class Overview:
-    """Landing page over alerts and/or secrets (either may be missing)."""
+    """Landing page over alerts and/or secrets (either may be missing).
+
+    With ``stored=(root, alerts_fp, secrets_fp)`` the board and totals built
+    by ``summaries.build_overview`` for that pair of store versions are read
+    instead of recomputed; risk, heat and rank derive from the board."""
 
     alerts: DataFrame | None
     secrets: DataFrame | None
+    stored: tuple[str, str | None, str | None] | None = None
+
+    def _read(self, name: str) -> DataFrame | None:
+        if self.stored is None:
+            return None
+        root, afp, sfp = self.stored
+        spark = (self.alerts if self.alerts is not None else self.secrets).sparkSession
+        path = f"{summ.overview_location(root, afp, sfp)}/{name}"
+        return summ.read_overview(spark, root, afp, sfp, name) if summ.present(spark, path) else None
 
     def orgs(self) -> DataFrame:
-        return ovw.orgs(self.alerts, self.secrets)
+        board = self._read("board")
+        return board if board is not None else ovw.orgs(self.alerts, self.secrets)
 
     def totals(self) -> DataFrame:
-        return ovw.totals(self.alerts, self.secrets)
+        totals = self._read("totals")
+        return totals if totals is not None else ovw.totals(self.alerts, self.secrets)
 
     def risk(self) -> DataFrame:
         return ovw.risk(self.orgs())

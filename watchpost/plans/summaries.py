@@ -16,12 +16,24 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from watchpost.operators import breakdowns as bd
 from watchpost.operators import metrics as met
 from watchpost.operators import options as opt
+from watchpost.operators import overview as ovw
+from watchpost.schema import ALERTS, DEPS, SECRETS
 
 Build = Callable[[DataFrame], DataFrame]
 
+
+def distinct_values(column: str, alias: str) -> Build:
+    """Distinct non-null values of a column: what typeahead searches."""
+    def run(df: DataFrame) -> DataFrame:
+        c = F.col(column)
+        return df.where(c.isNotNull()).select(c.alias(alias)).distinct()
+    return run
+
 SUMMARIES: dict[str, dict[str, Build]] = {
     "alerts": {
         "metrics": met.alerts,
@@ -31,6 +43,7 @@ SUMMARIES: dict[str, dict[str, Build]] = {
         "ecosystem": bd.alert_ecosystem,
         "org": bd.alert_org,
         "trend": bd.alert_trend,
+        "orgs": distinct_values(ALERTS.org, "org"),
     },
     "secrets": {
         "metrics": met.secrets,
@@ -40,6 +53,7 @@ SUMMARIES: dict[str, dict[str, Build]] = {
         "validity": bd.secret_validity,
         "org": bd.secret_org,
         "trend": bd.secret_trend,
+        "orgs": distinct_values(SECRETS.org, "org"),
     },
     "deps": {
         "metrics": met.deps,
@@ -49,6 +63,8 @@ SUMMARIES: dict[str, dict[str, Build]] = {
         "repo": bd.deps_repo,
         "top_dependencies": bd.deps_top,
         "open_source": bd.deps_open_source,
+        "orgs": distinct_values(DEPS.org, "org"),
+        "repos": distinct_values(DEPS.repo, "repo"),
     },
 }
 
@@ -111,3 +127,26 @@ def read(spark: SparkSession, root: str, dataset: str, fingerprint: str, name: s
         if measure in cols:
             return one.sortWithinPartitions(df[measure].desc(), *keys)
     return df
+
+
+def overview_location(root: str, alerts_fp: str | None, secrets_fp: str | None) -> str:
+    return f"{root.rstrip('/')}/overview/alerts={alerts_fp or 'none'}/secrets={secrets_fp or 'none'}"
+
+
+def build_overview(spark: SparkSession, alerts: DataFrame | None, secrets: DataFrame | None,
+                   root: str, alerts_fp: str | None, secrets_fp: str | None) -> bool:
+    """The org board and the totals for one pair of store versions."""
+    path = overview_location(root, alerts_fp, secrets_fp)
+    if present(spark, f"{path}/board") and present(spark, f"{path}/totals"):
+        return False
+    ovw.orgs(alerts, secrets).write.mode("overwrite").parquet(f"{path}/board")
+    ovw.totals(alerts, secrets).write.mode("overwrite").parquet(f"{path}/totals")
+    return True
+
+
+def read_overview(spark: SparkSession, root: str, alerts_fp: str | None,
+                  secrets_fp: str | None, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{overview_location(root, alerts_fp, secrets_fp)}/{name}")
+    if name == "board":
+        return df.orderBy(F.col("total_vulns").desc(), F.col("org").asc())
+    return df
