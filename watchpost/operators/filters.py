@@ -48,6 +48,8 @@ def predicate(df: DataFrame, binding: Binding, search: str = "",
     preds: list[Column] = []
     for arg, col in binding.members.items():
         values = members.get(arg)
+        if isinstance(values, str):
+            values = [values]
         if values:
             preds.append(F.col(col).isin(list(values)))
     if is_open_source is not None:
