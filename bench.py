@@ -23,6 +23,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from watchpost.operators import breakdowns as bd  # noqa: E402
 from watchpost.operators import filters as flt  # noqa: E402
 from watchpost.operators import metrics as met  # noqa: E402
@@ -81,8 +83,15 @@ def main() -> None:
     def export_alerts():
         export.alerts(A(), f"{scratch}/export-{time.time_ns()}", state=["open"])
 
+    runs = iter(range(1_000_000))
+
     def timeline():
-        tl.append(spark, history_path, spark.read.parquet(cands_path))
+        # Every run records new snapshots (fresh fingerprints), then reads
+        # and merges the whole history.
+        run = next(runs)
+        cands = spark.read.parquet(cands_path).withColumn(
+            "fingerprint", F.concat(F.col("fingerprint"), F.lit(f"-run{run}")))
+        assert tl.append(spark, history_path, cands) > 0
         h = tl.read_history(spark, history_path)
         tl.merge(h).collect()
 

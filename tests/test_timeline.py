@@ -116,8 +116,8 @@ def test_racing_appends_of_one_key_leave_one_row(spark, tmp):
     rows_a = tl.new_rows(tl.read_history(spark, path), c)
     rows_b = tl.new_rows(tl.read_history(spark, path), c)
     for rows in (rows_a, rows_b):
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy(*tl.KEY).parquet(path)
+        rows.write.mode("append").partitionBy("source").parquet(path)
     h = tl.read_history(spark, path)
     assert h.count() == 1 and h.where(F.col("source") == "secrets").count() == 1
+    assert tl.append(spark, path, c) == 0
     assert h.columns == ["id", "timestamp", "source", "fingerprint", *SNAPSHOT_METRICS]

@@ -1,14 +1,15 @@
 """Append-only history of metric snapshots (``tl_*``).
 
-Storage is a Parquet table partitioned by ``(source, fingerprint)``, the
-snapshot key.  Appending is "new candidates anti-join history", so re-running
-an append (a retried job, a restarted app re-ingesting the same file) inserts
-nothing twice.  New rows are written with dynamic partition overwrite: a
-write replaces exactly the key directories it carries, so even two appenders
-racing on the same key leave one row for it, not two.  Spark's file commit
-protocol makes each append all-or-nothing, so a lost executor cannot leave
-half a batch behind.  Ids of racing appenders may collide; ids are internal
-(dropped on read) and only break ties inside one minute bucket.
+Storage is a Parquet table partitioned by ``source``.  A snapshot is keyed by
+``(source, fingerprint)``; appending is "new candidates anti-join history",
+so re-running an append (a retried job, a restarted app re-ingesting the same
+file) inserts nothing twice.  Spark's file commit protocol makes each append
+all-or-nothing, so a lost executor cannot leave half a batch behind.  Two
+appenders racing on one key can both pass the anti join; ``read_history``
+therefore keeps the first row per key (earliest timestamp, then lowest id),
+so every reader still sees one snapshot per key.  Ids of racing appenders may
+collide; ids are internal (dropped on read) and only break ties inside one
+minute bucket.
 """
 
 from __future__ import annotations
@@ -74,19 +75,23 @@ def empty_history(spark: SparkSession) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The stored history, or an empty frame when nothing was recorded yet.
-
-    Key values come back from the partition folders; only the snapshot key
-    is a partition column, so filters on ``source`` prune folders."""
+    """The stored history (one row per key), or an empty frame when nothing
+    was recorded yet.  Filters on ``source`` prune partition folders."""
     try:
-        df = (
-            spark.read.schema(SNAPSHOT_SCHEMA)
-            .option("basePath", path)
-            .parquet(path)
-        )
-        return df.select(*[f.name for f in SNAPSHOT_SCHEMA.fields])
+        raw = spark.read.schema(SNAPSHOT_SCHEMA).option("basePath", path).parquet(path)
     except Exception:  # noqa: BLE001 - no table written yet
         return empty_history(spark)
+    return first_recorded(raw)
+
+
+def first_recorded(raw: DataFrame) -> DataFrame:
+    """The first stored row of every key (earliest timestamp, then lowest id):
+    what a reader sees even if racing appenders both wrote a key."""
+    row = F.struct("timestamp", "id", *SNAPSHOT_METRICS)
+    return raw.groupBy(*KEY).agg(F.min(row).alias("r")).select(
+        F.col("r.id").alias("id"), F.col("r.timestamp").alias("timestamp"), *KEY,
+        *[F.col(f"r.{m}").alias(m) for m in SNAPSHOT_METRICS],
+    )
 
 
 def first_per_key(candidates: DataFrame) -> DataFrame:
@@ -103,14 +108,25 @@ def first_per_key(candidates: DataFrame) -> DataFrame:
     )
 
 
-def new_rows(history: DataFrame, candidates: DataFrame) -> DataFrame:
+def fresh_keys(history: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One candidate per key not yet in history (left anti join on the key)."""
+    return first_per_key(candidates).join(history.select(*KEY), KEY, "left_anti")
+
+
+def new_rows(history: DataFrame, candidates: DataFrame,
+             fresh: DataFrame | None = None, max_id: int | None = None) -> DataFrame:
     """tl_append (pure part): the rows an append would insert.
 
     Keys already in history are dropped (left anti join); ids continue from
-    the largest stored id in (timestamp, source, fingerprint) order.
+    the largest stored id in (timestamp, source, fingerprint) order.  Without
+    ``max_id`` the largest id is a scalar subquery over ``history``.
     """
-    fresh = first_per_key(candidates).join(history.select(*KEY), KEY, "left_anti")
-    max_id = history.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).scalar()
+    if fresh is None:
+        fresh = fresh_keys(history, candidates)
+    if max_id is None:
+        max_id = history.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).scalar()
+    else:
+        max_id = F.lit(max_id).cast("long")
     numbered = row_index(fresh, [F.col(c).asc() for c in ID_ORDER], name="pos")
     return numbered.select(
         (max_id + F.col("pos")).cast("long").alias("id"),
@@ -129,19 +145,19 @@ def append(spark: SparkSession, path: str, candidates: DataFrame) -> int:
     """tl_append: write new snapshots to the history at ``path``.
 
     Returns the number of rows inserted (0 when every key was known).  The
-    new rows are checkpointed before the count and the write, so both see
-    the same ids even if an executor is lost in between.
+    largest stored id is read once as a value and the new rows are numbered
+    from a checkpoint (``row_index``), so the count and the write see the
+    same ids even if an executor is lost in between.
     """
     history = read_history(spark, path)
-    rows = new_rows(history, candidates).checkpoint()
+    max_id = history.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
+    # The new keys are computed once, inside the numbering checkpoint; the
+    # count reads that checkpoint, and a re-ingest of known files (a restart,
+    # a retried job) ends here with nothing written.
+    rows = new_rows(history, candidates, max_id=max_id)
     inserted = rows.count()
     if inserted:
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*KEY)
-            .parquet(path)
-        )
+        rows.write.mode("append").partitionBy("source").parquet(path)
     return inserted
 
 
