@@ -5,11 +5,20 @@ it.  Here the drop folder is a file stream: each micro-batch of new export
 rows is typed and cleaned, appended to the dataset's Parquet store, and a
 snapshot of the store's metrics is appended to the timeline.
 
+Snapshots are incremental.  A snapshot holds whole-store metrics, but an
+epoch only reads its own rows: it writes its additive counts (total, open,
+severities, states, leaked, bypassed) and the org and repo values that no
+earlier epoch has seen (epoch values anti-join the stored values).  The
+snapshot is the sum of the per-epoch counts plus the number of stored
+distinct values: small tables, however large the store grows.
+
 Exactly-once: ``foreachBatch`` may replay an epoch after a failure, so each
-epoch writes its own store folder in overwrite mode (a replay replaces, never
-duplicates), and its snapshot is keyed by the epoch id (a replay is skipped
-by the timeline's anti join).  The streaming checkpoint must live on shared
-storage; pass a folder under ``spark.checkpoint.dir``.
+epoch writes its own store, count and value folders in overwrite mode (a
+replay replaces, never duplicates; values are compared with *earlier* epochs
+only, so a replay computes the same set), and its snapshot is keyed by the
+epoch id (a replay is skipped by the timeline's anti join).  The streaming
+checkpoint must live on shared storage; pass a folder under
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -19,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from watchpost.functions.clean import empty_to_null, try_timestamp
-from watchpost.operators import metrics as met
+from watchpost.functions.scalar import flag_text
 from watchpost.operators import timeline as tl
 from watchpost.schema import (
     ALERT_DATE_COLUMNS,
@@ -49,8 +58,51 @@ def _typed(df: DataFrame, dataset: str) -> DataFrame:
     return out
 
 
-def _metrics(dataset: str, df: DataFrame) -> DataFrame:
-    return met.alerts(df) if dataset == "alerts" else met.secrets(df)
+def _epoch_counts(dataset: str, df: DataFrame) -> DataFrame:
+    """The additive part of a snapshot over one epoch's rows (one row)."""
+    state, c = F.col("State"), F.count_if
+    if dataset == "alerts":
+        sev = F.col("Severity")
+        aggs = [
+            c(state == "open").alias("open"),
+            c(sev == "critical").alias("critical"), c(sev == "high").alias("high"),
+            c(sev == "medium").alias("medium"), c(sev == "low").alias("low"),
+            c(state == "fixed").alias("fixed"),
+            c(state.isin("dismissed", "auto_dismissed")).alias("dismissed"),
+        ]
+    else:
+        aggs = [
+            c(state == "open").alias("open"),
+            c(flag_text("Publicly_Leaked")).alias("leaked"),
+            c(flag_text("Push_Protection_Bypassed")).alias("bypassed"),
+        ]
+    return df.agg(F.count(F.lit(1)).alias("total"), *aggs)
+
+
+_DISTINCT = {"orgs": "Organization_Name", "repos": "Repository_Name"}
+
+
+def _record_epoch(spark: SparkSession, state_dir: str, dataset: str, epoch_rows: DataFrame,
+                  epoch_id: int) -> DataFrame:
+    """Write this epoch's counts and first-seen values; return the whole-store
+    metrics (one row) from the per-epoch state."""
+    _epoch_counts(dataset, epoch_rows).write.mode("overwrite").parquet(
+        f"{state_dir}/counts/epoch={epoch_id}")
+    for kind, col in _DISTINCT.items():
+        values = epoch_rows.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
+        try:
+            seen = spark.read.parquet(f"{state_dir}/{kind}").where(F.col("epoch") < epoch_id)
+            values = values.join(seen.select("value"), "value", "left_anti")
+        except Exception:  # noqa: BLE001 - first epoch: nothing seen yet
+            pass
+        values.write.mode("overwrite").parquet(f"{state_dir}/{kind}/epoch={epoch_id}")
+    counts = spark.read.parquet(f"{state_dir}/counts").drop("epoch")
+    totals = counts.agg(*[F.sum(c).cast("long").alias(c) for c in counts.columns])
+    distinct = [
+        spark.read.parquet(f"{state_dir}/{kind}").agg(F.count(F.lit(1))).scalar().alias(kind)
+        for kind in _DISTINCT
+    ]
+    return totals.select("*", *distinct)
 
 
 def start(spark: SparkSession, folder: str, dataset: str, store_root: str, checkpoint: str,
@@ -80,15 +132,18 @@ def start(spark: SparkSession, folder: str, dataset: str, store_root: str, check
         .csv(folder)
     )
     store_dir = f"{store_root.rstrip('/')}/{dataset}"
+    state_dir = f"{store_root.rstrip('/')}/_stream_state/{dataset}"
     history = tl.store_path(store_root)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        typed = _typed(df, dataset)
-        typed.write.mode("overwrite").parquet(f"{store_dir}/epoch={epoch_id}")
+        epoch_dir = f"{store_dir}/epoch={epoch_id}"
+        _typed(df, dataset).write.mode("overwrite").parquet(epoch_dir)
         if dataset in _SOURCE:
-            stored = spark.read.parquet(store_dir).drop("epoch")
-            cand = tl.from_metrics(_metrics(dataset, stored), _SOURCE[dataset], f"epoch-{epoch_id}")
-            tl.append(spark, history, cand)
+            # Everything below reads this epoch's rows back from the store
+            # (columnar, already typed), never the whole store.
+            epoch_rows = spark.read.parquet(epoch_dir)
+            metrics = _record_epoch(spark, state_dir, dataset, epoch_rows, epoch_id)
+            tl.append(spark, history, tl.from_metrics(metrics, _SOURCE[dataset], f"epoch-{epoch_id}"))
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     if available_now:
