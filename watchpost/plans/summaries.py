@@ -15,7 +15,6 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from watchpost.operators import breakdowns as bd
@@ -34,6 +33,7 @@ def distinct_values(column: str, alias: str) -> Build:
         return df.where(c.isNotNull()).select(c.alias(alias)).distinct()
     return run
 
+
 SUMMARIES: dict[str, dict[str, Build]] = {
     "alerts": {
         "metrics": met.alerts,
