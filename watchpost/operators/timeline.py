@@ -74,14 +74,19 @@ def empty_history(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SNAPSHOT_SCHEMA)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The stored history (one row per key), or an empty frame when nothing
-    was recorded yet.  Filters on ``source`` prune partition folders."""
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Every stored row (racing appenders may have written a key twice)."""
     try:
         raw = spark.read.schema(SNAPSHOT_SCHEMA).option("basePath", path).parquet(path)
     except Exception:  # noqa: BLE001 - no table written yet
         return empty_history(spark)
-    return first_recorded(raw)
+    return raw.select(*[f.name for f in SNAPSHOT_SCHEMA.fields])
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The stored history (one row per key), or an empty frame when nothing
+    was recorded yet.  Filters on ``source`` prune partition folders."""
+    return first_recorded(read_raw(spark, path))
 
 
 def first_recorded(raw: DataFrame) -> DataFrame:
@@ -149,7 +154,9 @@ def append(spark: SparkSession, path: str, candidates: DataFrame) -> int:
     from a checkpoint (``row_index``), so the count and the write see the
     same ids even if an executor is lost in between.
     """
-    history = read_history(spark, path)
+    # The key set and the largest id are the same with or without the
+    # first-wins dedup, so the append reads the raw rows (no aggregation).
+    history = read_raw(spark, path)
     max_id = history.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
     # The new keys are computed once, inside the numbering checkpoint; the
     # count reads that checkpoint, and a re-ingest of known files (a restart,
