@@ -40,7 +40,8 @@ def shape(df) -> list[str]:
             indent = len(line) - len(line.lstrip(" :+-"))
             if "FileScan" in body or "Scan parquet" in body:
                 m_loc = re.search(r"Location: \w+\([^)]*\)\[[^\]]*/([^/\]]+)\]", body)
-                m_push = re.search(r"PushedFilters: (\[.*?\])(?:, ReadSchema|$)", body)
+                m_push = (re.search(r"PushedFilters: (\[.*?\])(?:, ReadSchema|$)", body)
+                          or re.search(r"PushedFilters: (\[.*)$", body))
                 m_read = re.search(r"ReadSchema: (struct<[^>]*>)", body)
                 body = "Scan " + (m_loc.group(1) if m_loc else "") \
                     + (f" PushedFilters={m_push.group(1)}" if m_push and m_push.group(1) != "[]" else "") \
