@@ -120,3 +120,15 @@ def test_summaries_equal_live_results(spark, tmp):
             live = [tuple(r) for r in fn(df).collect()]
             stored = [tuple(r) for r in summ.read(spark, f"{tmp}/root", dataset, "fp0", name).collect()]
             assert stored == live, (dataset, name)
+
+
+def test_store_builds_summaries_on_request(spark, tmp):
+    from watchpost.plans import summaries as summ
+    p = f"{tmp}/dependabot_alerts.csv"
+    write(p, HEADER + "1,a,r,open,critical,npm,p,c,9.1,s,2024-01-01,u,x\n2,b,r,fixed,low,npm,p,,n/a,s,,u,x\n")
+    root = f"{tmp}/store"
+    df = store.store(spark, p, root, "alerts", record_snapshot=False, summaries=True)
+    fp = store.fingerprint(spark, p)
+    for name in summ.SUMMARIES["alerts"]:
+        assert summ.present(spark, summ.location(root, "alerts", fp, name)), name
+    assert summ.read(spark, root, "alerts", fp, "metrics").first()["total"] == df.count() == 2

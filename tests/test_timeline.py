@@ -159,3 +159,17 @@ def test_replayed_epoch_does_not_double_count(spark, tmp):
     first = _record_epoch(spark, state, "secrets", e1, 1).first().asDict()
     replay = _record_epoch(spark, state, "secrets", e1, 1).first().asDict()
     assert first == replay == {"total": 3, "open": 2, "leaked": 2, "bypassed": 1, "orgs": 2, "repos": 2}
+
+
+def test_streaming_deps_ingest_has_no_snapshot(spark, tmp):
+    drop = f"{tmp}/drop"
+    os.makedirs(drop)
+    with open(f"{drop}/github_dependencies_1.csv", "w") as f:
+        f.write("org_name,repo_name,package_name,dependency_name,is_open_source\n"
+                "o,r,package.json,react,true\no,,pom.xml,NA,\n")
+    root = f"{tmp}/store"
+    ingest.start(spark, drop, "deps", root, f"{tmp}/ckpt").awaitTermination(120)
+    rows = ingest.read_store(spark, root, "deps").orderBy("package_name").collect()
+    assert rows[1]["repo_name"] is None and rows[1]["is_open_source"] is None
+    assert rows[0]["dependency_name"] == "react" and rows[1]["dependency_name"] == "NA"
+    assert tl.read_history(spark, tl.store_path(root)).count() == 0
