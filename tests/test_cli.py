@@ -34,3 +34,14 @@ def test_cli_flow(spark, tmp, capsys):
     assert len(hist) == 1 and hist[0]["source"] == "dependabot"
     exp = run(capsys, "export", *base, "--out", f"{tmp}/out", "--filter", "severity=high")
     assert exp[0]["export"] == f"{tmp}/out"
+
+
+def test_cli_seek_paging(spark, tmp, capsys):
+    os.makedirs(f"{tmp}/drop")
+    with open(f"{tmp}/drop/dependabot_alerts_1.csv", "w") as f:
+        f.write(HEADER + "".join(f"{i},acme,api,open,high,npm,p,CVE-{i},5.0,x,2024-01-02,u\n" for i in range(1, 8)))
+    base = ["--dataset", "alerts", "--csv", f"{tmp}/drop", "--store", f"{tmp}/store"]
+    first = run(capsys, "call", *base, "page_after", "--page-size", "3")
+    assert [r["Alert_Number"] for r in first] == [1, 2, 3]
+    nxt = run(capsys, "call", *base, "page_after", "--page-size", "3", "--after", '["acme", "api", 3]')
+    assert [r["Alert_Number"] for r in nxt] == [4, 5, 6]

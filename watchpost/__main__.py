@@ -5,6 +5,8 @@
   python -m watchpost call     --dataset alerts --csv PATH --store ROOT page --page 2 \\
                                --filter severity=critical --filter state=open --search log4j
   python -m watchpost call     --dataset deps --csv PATH --store ROOT search_repos --q api
+  python -m watchpost call     --dataset alerts --csv PATH --store ROOT page_after \
+                               --after '["acme", "api", 41]' --page-size 50
   python -m watchpost export   --dataset alerts --csv PATH --store ROOT --out DIR [filters]
   python -m watchpost overview --alerts-csv PATH --secrets-csv PATH --store ROOT [risk|heat|rank|totals]
   python -m watchpost timeline --store ROOT [--source secrets] [--merged]
@@ -84,6 +86,7 @@ def main(argv: list[str] | None = None) -> int:
     dataset_args(call)
     call.add_argument("name", help="engine method, e.g. metrics, agg_org, page, search_orgs")
     call.add_argument("--page", type=int, default=1)
+    call.add_argument("--after", help="page_after: JSON list, the last row's page-order key")
     call.add_argument("--page-size", type=int, default=50)
     call.add_argument("--q", default="")
     call.add_argument("--limit", type=int, default=50)
@@ -119,6 +122,9 @@ def main(argv: list[str] | None = None) -> int:
             page = eng.page(args.page, args.page_size, **_filters(args))
             _rows(page.envelope)
             _rows(page.rows)
+        elif args.name == "page_after":
+            last = json.loads(args.after) if args.after else None
+            _rows(eng.page_after(last, args.page_size, **_filters(args)))
         elif args.name.startswith("search_"):
             _rows(getattr(eng, args.name)(args.q, args.limit))
         else:

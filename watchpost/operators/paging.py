@@ -96,7 +96,15 @@ def _after(columns: list[str], last: list) -> Column:
 
 def page_after(df: DataFrame, binding: Binding, last: list | None, page_size: int = 50) -> DataFrame:
     """Seek paging: the ``page_size`` rows following the row whose order key
-    is ``last`` (``None`` for the first page)."""
+    is ``last`` (``None`` for the first page).
+
+    Exact only when the page order identifies a row: with duplicate rows a
+    page could end inside a run of equal keys and ``key > last`` would skip
+    the rest of the run.  Such bindings (dependencies) must use ``page``,
+    whose deep path folds duplicates with their multiplicity.
+    """
+    if not binding.unique_order:
+        raise ValueError(f"seek paging needs a unique page order; use page() for {binding.name}")
     check_page(1, page_size)
     shown = select_existing(df, binding.display)
     cols = [c for c in binding.page_order if c in shown.columns]

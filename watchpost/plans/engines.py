@@ -58,6 +58,14 @@ class _Engine:
                 return summ.read(spark, root, self.dataset, fingerprint, name)
         return live(self.df)
 
+    binding = None
+
+    def page_after(self, last: list | None, page_size: int = 50, **filters) -> DataFrame:
+        """Seek paging: the rows after the row whose page-order key is ``last``
+        (``None`` for the first page).  Cost does not grow with depth."""
+        f = flt.apply(self.df, self.binding, **filters)
+        return pg.page_after(f, self.binding, last, page_size)
+
     def _typeahead(self, summary: str, alias: str, q: str, limit: int) -> DataFrame:
         """Typeahead over the stored distinct values when built, else the store."""
         values = self._whole(summary, summ.SUMMARIES[self.dataset][summary])
@@ -67,6 +75,7 @@ class _Engine:
 @dataclass
 class AlertsEngine(_Engine):
     dataset = "alerts"
+    binding = ALERTS
 
     def filter_options(self) -> DataFrame:
         return self._whole("options", opt.alerts)
@@ -103,6 +112,7 @@ class AlertsEngine(_Engine):
 @dataclass
 class SecretsEngine(_Engine):
     dataset = "secrets"
+    binding = SECRETS
 
     def filter_options(self) -> DataFrame:
         return self._whole("options", opt.secrets)
@@ -139,6 +149,7 @@ class SecretsEngine(_Engine):
 @dataclass
 class DepsEngine(_Engine):
     dataset = "deps"
+    binding = DEPS
 
     def filter_options(self) -> DataFrame:
         return self._whole("options", opt.deps)

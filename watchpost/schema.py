@@ -135,6 +135,8 @@ class Binding:
     page_order: list[str] = field(default_factory=list)
     state: str | None = None
     created: str | None = None
+    # whether page_order identifies a row (required for seek paging)
+    unique_order: bool = True
 
 
 ALERTS = Binding(
@@ -187,6 +189,7 @@ DEPS = Binding(
     # The reference orders by org, repo, dependency; rows can repeat, so the
     # remaining display columns complete the order.
     page_order=["org_name", "repo_name", "dependency_name", "package_name", "is_open_source"],
+    unique_order=False,
 )
 
 # ---------------------------------------------------------------------------
