@@ -6,9 +6,9 @@ and the survivors are merged, so no full sort or shuffle of the table
 happens.  Deep pages would grow that per-task heap without bound, so past
 ``DEEP_PAGE_ROWS`` identical rows are folded into (row, multiplicity), the
 folded rows are numbered by a distributed range sort with weighted
-positions, and the page is picked by position.  ``page_after`` offers seek paging
-(``WHERE key > last ORDER BY key LIMIT n``), whose cost does not depend on
-how deep the page is.
+positions, and the page is picked by position.  ``page_after`` offers seek
+paging (``WHERE key > last ORDER BY key LIMIT n``) for bindings whose page
+order identifies a row; its cost does not depend on how deep the page is.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def order_columns(df: DataFrame, binding: Binding) -> list[Column]:
 # A top-k page makes every task keep a heap of ``offset + n`` rows and sends
 # all heaps to one final merge (partitions x (offset + n) rows).  Past this
 # depth the page is picked by position from a distributed numbering instead.
-# For very deep paging over huge tables prefer ``page_after`` (seek paging).
+# For very deep paging over huge alert or secret tables prefer ``page_after``.
 DEEP_PAGE_ROWS = 10_000
 
 
