@@ -43,5 +43,5 @@ def test_cli_seek_paging(spark, tmp, capsys):
     base = ["--dataset", "alerts", "--csv", f"{tmp}/drop", "--store", f"{tmp}/store"]
     first = run(capsys, "call", *base, "page_after", "--page-size", "3")
     assert [r["Alert_Number"] for r in first] == [1, 2, 3]
-    nxt = run(capsys, "call", *base, "page_after", "--page-size", "3", "--after", '["acme", "api", 3]')
+    nxt = run(capsys, "call", *base, "page_after", "--page-size", "3", "--after", json.dumps(first[-1]))
     assert [r["Alert_Number"] for r in nxt] == [4, 5, 6]

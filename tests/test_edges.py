@@ -77,7 +77,7 @@ def test_try_timestamp_bad_and_absent_columns(spark):
 def test_safe_int_and_nonfinite(spark):
     df = spark.createDataFrame([("12.7",), ("-3.9",), ("abc",), (None,), ("NaN",), ("Infinity",)], "v string")
     got = [r[0] for r in df.select(clean.safe_int("v")).collect()]
-    assert got == [12, -3, 0, 0, 0, 0]
+    assert got == [0, 0, 0, 0, 0, 0]  # text that is no whole number
     d = spark.createDataFrame([(1.5,), (float("nan"),), (float("inf"),), (float("-inf"),)], "x double")
     assert [r[0] for r in clean.nonfinite_to_null(d).collect()] == [1.5, None, None, None]
 
@@ -147,7 +147,7 @@ def test_page_orders_nulls_last_and_projects_display(spark):
 def test_seek_paging_matches_offset_paging(spark):
     rows = [alert(i, org=[None, "a", "b"][i % 3], repo=[None, "r1", "r2", "r3"][i % 4]) for i in range(40)]
     df = spark.createDataFrame(rows, ALERT_SCHEMA)
-    cols = ALERTS.page_order
+    cols = pg.order_names(df, ALERTS)
     last = None
     seen = []
     for page_no in range(1, 6):
@@ -241,24 +241,46 @@ def test_unknown_filter_argument_rejected(spark):
         flt.apply(df, DEPS, severity=["x"])
 
 
-def test_deep_pages_use_positions(spark, monkeypatch):
-    rows = [alert(i, org=[None, "a", "b"][i % 3], repo=[None, "r1", "r2"][i % 4 % 3]) for i in range(60)]
-    df = spark.createDataFrame(rows, ALERT_SCHEMA)
-    shallow = [[r["Alert_Number"] for r in pg.alerts(df, p, 7).collect()] for p in range(1, 11)]
-    monkeypatch.setattr(pg, "DEEP_PAGE_ROWS", 0)
-    deep = [[r["Alert_Number"] for r in pg.alerts(df, p, 7).collect()] for p in range(1, 11)]
-    assert deep == shallow
-    assert "__wp_pos" not in pg.alerts(df, 2, 7).columns
+def test_pages_of_tied_keys_hold_every_row_once(spark):
+    """Repeated alert numbers, pages on either side of row 10,000."""
+    rows = [alert(i % 10, org="a", repo="r")[:-1] + (dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i * 7919 % 11000),)
+            for i in range(11_000)]
+    df = spark.createDataFrame(rows, ALERT_SCHEMA).repartition(7)
+    key = lambda rs: [tuple(r) for r in rs]
+    pages = sum((key(pg.alerts(df, p, 500).collect()) for p in range(18, 24)), [])
+    assert len(pages) == 11_000 - 17 * 500 == len(set(pages))
+    everything = key(pg.alerts(df, 1, 500).collect()) + pages
+    assert len(set(everything)) == len(everything)
 
 
-def test_deep_pages_with_heavy_duplicates(spark, monkeypatch):
-    from watchpost.functions.ordering import row_index
-    rows = [("o", "r", "p", "hot", "true")] * 50 + [("o", "r", "p", f"d{i:02d}", None) for i in range(23)]
+def test_seek_paging_through_repeated_rows(spark):
+    rows = [("o", "r", "p", "hot", "true")] * 23 + [("o", "r", "p", f"d{i:02d}", None) for i in range(9)]
     df = spark.createDataFrame(rows, DEPS_SCHEMA)
-    shallow = [[tuple(r) for r in pg.deps(df, p, 10).collect()] for p in range(1, 9)]
-    monkeypatch.setattr(pg, "DEEP_PAGE_ROWS", 0)
-    deep = [[tuple(r) for r in pg.deps(df, p, 10).collect()] for p in range(1, 9)]
-    assert deep == shallow and sum(len(p) for p in deep) == 73
-    w = spark.createDataFrame([("a", 3), ("b", 0), ("c", 2), ("d", 1)], "k string, n long")
-    got = {r["k"]: r["row_index"] for r in row_index(w, [F.col("k")], weight="n", start=0, partitions=3).collect()}
-    assert got == {"a": 0, "b": 3, "c": 3, "d": 5}
+    last, repeats, seen = None, 1, []
+    while True:
+        page = [tuple(r) for r in pg.page_after(df, DEPS, last, 7, repeats).collect()]
+        if not page:
+            break
+        seen += page
+        cols = pg.order_names(df, DEPS)
+        last = [dict(zip(df.columns, page[-1], strict=True))[c] for c in cols]
+        repeats = seen.count(page[-1])
+    assert sorted(seen, key=str) == sorted(rows, key=str)
+    with pytest.raises(ValueError):
+        pg.page_after(df, DEPS, ["o"], 7)
+
+
+def test_safe_int_by_type(spark):
+    got = spark.sql("""SELECT '12.7' a, '1e3' b, '1.5d' c, ' -7 ' d, '1_000' e, 12.7D f, -12.7D g, double('nan') h,
+      9007199254740993L i, true j, cast('12.7' as decimal(5,2)) k, cast(null as string) l, '99999999999999999999' m""")
+    row = got.select(*[clean.safe_int(c).alias(c) for c in got.columns]).first()
+    assert tuple(row) == (0, 0, 0, -7, 1000, 12, -12, 0, 9007199254740993, 1, 12, 0, 0)
+
+
+def test_dates_need_a_full_date(spark):
+    df = spark.createDataFrame([("12:30:00",), ("2024",), ("2024-05",), ("2024-05-06",), ("2024-05-06 07:08:09",),
+                                ("2024-05-06T07:08:09",), ("x",), (None,)], "Created_At string")
+    got = [r[0] for r in clean.try_timestamp(df, ["Created_At"]).collect()]
+    assert [g is None for g in got] == [True, True, True, False, False, False, True, True]
+    doubles = spark.createDataFrame([("1.5d",), ("1.5F",), ("1.5",), ("1e3",), ("x",)], "s string")
+    assert [r[0] for r in doubles.select(clean.try_double("s")).collect()] == [None, None, 1.5, 1000.0, None]

@@ -132,3 +132,49 @@ def test_store_builds_summaries_on_request(spark, tmp):
     for name in summ.SUMMARIES["alerts"]:
         assert summ.present(spark, summ.location(root, "alerts", fp, name)), name
     assert summ.read(spark, root, "alerts", fp, "metrics").first()["total"] == df.count() == 2
+
+
+def test_export_keeps_blanks_around_text(spark, tmp):
+    df = spark.createDataFrame([("  lead", "tail  ", "p", " both ", None)],
+                               "org_name string, repo_name string, package_name string, dependency_name string, "
+                               "is_open_source string")
+    back = src.deps(spark, export.write_csv(df, f"{tmp}/out"))
+    assert [tuple(r) for r in back.select(df.columns).collect()] == [tuple(r) for r in df.collect()]
+
+
+def test_columns_come_by_each_files_header(spark, tmp):
+    write(f"{tmp}/in/a.csv", "State,Severity,Alert_Number\nopen,high,1\n")
+    write(f"{tmp}/in/b.csv", "Severity,State,Alert_Number,Extra\nlow,fixed,2,x\n")
+    write(f"{tmp}/in/c.csv", "")
+    got = {r["Alert_Number"]: (r["State"], r["Severity"], r["Extra"]) for r in src.alerts(spark, f"{tmp}/in").collect()}
+    assert got == {1: ("open", "high", None), 2: ("fixed", "low", "x")}
+    write(f"{tmp}/d.csv", "dependency_name,org_name,added\nNA,o,1\n")
+    assert [r.asDict() for r in src.deps(spark, f"{tmp}/d.csv").collect()] == [
+        {"dependency_name": "NA", "org_name": "o", "added": "1"}]
+
+
+def test_discovery_takes_underscores_literally(spark, tmp):
+    write(f"{tmp}/dependabot-alerts.csv", "x\n")
+    write(f"{tmp}/deeper/dependabot_alerts_0.csv", "x\n")
+    assert src.discover(spark, tmp, "alerts") is None
+    write(f"{tmp}/dependabot_alerts.csv", "x\n")
+    assert src.discover(spark, tmp, "alerts") == f"{tmp}/dependabot_alerts.csv"
+
+
+def test_half_written_store_is_made_again(spark, tmp):
+    p = f"{tmp}/dependabot_alerts.csv"
+    write(p, HEADER + "1,a,r,open,critical,npm,p,c,9.1,s,2024-01-01,u,x\n2,b,r,fixed,low,npm,p,,n/a,s,,u,x\n")
+    root = f"{tmp}/store"
+    df = store.store(spark, p, root, "alerts", record_snapshot=False)
+    target = f"{root}/alerts/fingerprint={store.fingerprint(spark, p)}"
+    df.limit(1).write.mode("overwrite").parquet(target)
+    os.remove(f"{target}/_SUCCESS")  # as a killed job leaves it
+    assert store.store(spark, p, root, "alerts", record_snapshot=False).count() == 2
+
+
+def test_damaged_history_is_not_taken_for_an_empty_one(spark, tmp):
+    import pytest
+    write(f"{tmp}/hist/source=secrets/part-0.parquet", "not parquet")
+    with pytest.raises(Exception):
+        tl.read_raw(spark, f"{tmp}/hist").collect()
+    assert tl.read_raw(spark, f"{tmp}/none").count() == 0

@@ -33,7 +33,7 @@ ENGINES = {"alerts": AlertsEngine, "secrets": SecretsEngine, "deps": DepsEngine}
 
 
 def _rows(df) -> None:
-    for row in deliver(df).collect():
+    for row in deliver(df).toLocalIterator():
         print(json.dumps(row.asDict(recursive=True), default=str))
 
 
@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
     dataset_args(call)
     call.add_argument("name", help="engine method, e.g. metrics, agg_org, page, search_orgs")
     call.add_argument("--page", type=int, default=1)
-    call.add_argument("--after", help="page_after: JSON list, the last row's page-order key")
+    call.add_argument("--after", help="page_after: the last row as JSON")
     call.add_argument("--page-size", type=int, default=50)
     call.add_argument("--q", default="")
     call.add_argument("--limit", type=int, default=50)

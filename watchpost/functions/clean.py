@@ -12,21 +12,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Text that starts with year, month and day.
+FULL_DATE = r"^\s*\d{4,}-\d{1,2}-\d{1,2}($|[\sT])"
+#: A number with a Java type letter.
+TYPE_LETTER = r"[0-9.][dDfF]\s*$"
+#: What counts as a whole number in text: digits, single underscores between them.
+WHOLE_NUMBER = r"^\s*[+-]?\d+(_\d+)*\s*$"
+
+
 def try_timestamp(df: DataFrame, columns: list[str]) -> DataFrame:
     """cln_try_timestamp: text date columns to timestamp; bad text -> NULL.
 
     Columns that are absent are skipped, columns that are already temporal
-    are left alone (the reference only repairs VARCHAR columns).
+    are left alone (the reference only repairs VARCHAR columns).  A value needs
+    a full date: Spark alone would read a bare time as today's and a bare year
+    or month as its first day.
     """
     types = dict(df.dtypes)
-    fix = {c: F.col(c).try_cast("timestamp") for c in columns if types.get(c) == "string"}
+    fix = {
+        c: F.when(F.col(c).rlike(FULL_DATE), F.col(c).try_cast("timestamp"))
+        for c in columns if types.get(c) == "string"
+    }
     return df.withColumns(fix) if fix else df
 
 
 def try_double(col: str | Column) -> Column:
     """cln_try_double: text or number to double, unparseable -> NULL."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.try_cast("double")
+    # Java's parser takes a type letter after a number; no export means one.
+    return F.when(~c.cast("string").rlike(TYPE_LETTER), c.try_cast("double"))
 
 
 def empty_to_null(df: DataFrame) -> DataFrame:
@@ -57,11 +71,23 @@ def nonfinite_to_null(df: DataFrame) -> DataFrame:
 def safe_int(col: str | Column) -> Column:
     """cln_safe_int: any value to a whole number; NULL, NaN, Inf, bad -> 0.
 
-    Floats are truncated toward zero, as Python's ``int()`` does.
+    By type, as Python's ``int()`` does: whole numbers and booleans as they
+    are, other numbers truncated toward zero, text only if it is a whole
+    number (``'12.7'`` and ``'1e3'`` are 0).
     """
     c = F.col(col) if isinstance(col, str) else col
-    as_double = finite(c.try_cast("double"))
-    return F.coalesce(as_double.try_cast("long"), F.lit(0).cast("long"))
+    kind = F.typeof(c)
+    text = c.cast("string")
+    digits = F.when(text.rlike(WHOLE_NUMBER), F.regexp_replace(F.trim(text), "_", ""))
+    real = finite(text.try_cast("double"))
+    whole = (
+        F.when(kind.isin("tinyint", "smallint", "int", "bigint"), text.try_cast("long"))
+        .when(kind.isin("double", "float"), real.try_cast("long"))
+        .when(kind.startswith("decimal"), F.regexp_extract(text, r"^-?\d+", 0).try_cast("long"))
+        .when(kind == "boolean", F.when(text == "true", F.lit(1)).otherwise(F.lit(0)).cast("long"))
+        .when(kind == "string", digits.try_cast("long"))
+    )
+    return F.coalesce(whole, F.lit(0).cast("long"))
 
 
 def select_existing(df: DataFrame, wanted: list[str]) -> DataFrame:

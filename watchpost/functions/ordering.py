@@ -33,34 +33,19 @@ def _partitions(df: DataFrame, requested: int | None) -> int:
 
 
 def row_index(df: DataFrame, order: list[Column], name: str = "row_index", start: int = 1,
-              partitions: int | None = None, weight: str | None = None) -> DataFrame:
-    """Add ``name`` = ``start`` + position of the row in ``order``.
-
-    With ``weight`` (a non-negative count column) each row stands for that
-    many rows and ``name`` is the position of its first one: the sum of the
-    weights of all rows before it.  Used to page frames whose duplicate rows
-    are first folded into (row, multiplicity), so no run of identical keys
-    can pile up in one range partition.
-    """
+              partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = ``start`` + position of the row in ``order``."""
     n = _partitions(df, partitions)
     pid = F.spark_partition_id()
     sorted_parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint()
     ranged = sorted_parts.withColumn(_PART, pid)
-    if weight is None:
-        # The id generator counts rows in partition order (its low 33 bits
-        # are the position within the partition): no second shuffle.
-        local = ranged.withColumn(
-            _LOCAL, F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
-        )
-        size = F.count(F.lit(1))
-    else:
-        # Weighted prefix sums inside each range partition.  The window is
-        # keyed by the partition id, one group per range partition.
-        w = Window.partitionBy(_PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        local = ranged.withColumn(_LOCAL, F.coalesce(F.sum(weight).over(w), F.lit(0)))
-        size = F.coalesce(F.sum(weight), F.lit(0))
+    # The id generator counts rows in partition order (its low 33 bits are the
+    # position within the partition): no second shuffle.
+    local = ranged.withColumn(
+        _LOCAL, F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
+    )
     # One row per range partition: its size and the rows before it.
-    counts = ranged.groupBy(_PART).agg(size.alias("__wp_n"))
+    counts = ranged.groupBy(_PART).agg(F.count(F.lit(1)).alias("__wp_n"))
     offsets = counts.select(
         F.col(_PART),
         (F.sum("__wp_n").over(Window.orderBy(_PART)) - F.col("__wp_n")).alias(_OFFSET),

@@ -11,7 +11,7 @@ rank is a distributed ``row_index``; no step sends the board to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchpost.functions.ordering import row_index
@@ -178,9 +178,12 @@ def heat(board: DataFrame, cells: int = HEAT_CELLS) -> DataFrame:
     ``0.25 + min(total/max, 1) * 0.65``; a flat 0.5 when the max is 0 or the
     risk is None.
     """
-    mx = _max_total(board)
-    labelled = board.withColumn("risk", risk_label(mx))
-    top = labelled.orderBy(F.col("total_vulns").desc(), F.col("org").asc()).limit(cells)
+    top = board.orderBy(F.col("total_vulns").desc(), F.col("org").asc()).limit(cells)
+    # The first cell holds the largest total, so the few cells are enough.
+    mx = F.coalesce(F.max("total_vulns").over(Window.partitionBy()), F.lit(0).cast("long"))
+    top = top.withColumn("mx", mx)
+    mx = F.col("mx")
+    top = top.withColumn("risk", risk_label(mx))
     t = F.least(F.col("total_vulns") / mx, F.lit(1.0))
     none_label = RISK_LABELS[2]
     intensity = F.when((mx == 0) | (F.col("risk") == none_label), F.lit(HEAT_FLAT)).otherwise(
@@ -191,7 +194,8 @@ def heat(board: DataFrame, cells: int = HEAT_CELLS) -> DataFrame:
 
 def rank(board: DataFrame) -> DataFrame:
     """ovw_rank: 1-based position in overview order and bar width in percent."""
-    mx = _max_total(board)
+    # The ranks are numbered from a checkpoint; the largest total is read from it too.
     ranked = _ranked(board)
+    mx = _max_total(ranked)
     bar = F.when(mx > 0, F.col("total_vulns") / mx * 100).otherwise(F.lit(0.0))
     return ranked.select("rank", "org", "total_vulns", bar.alias("bar")).orderBy("rank")

@@ -1,14 +1,15 @@
-"""Paging (``page_*``): a total order, then OFFSET/LIMIT or a seek key.
+"""Paging (``page_*``): a complete order, then OFFSET/LIMIT or a seek key.
 
 ``orderBy(...).offset(o).limit(n)`` is planned as a single
 ``TakeOrderedAndProject``: every partition keeps only its best ``o + n`` rows
 and the survivors are merged, so no full sort or shuffle of the table
-happens.  Deep pages would grow that per-task heap without bound, so past
-``DEEP_PAGE_ROWS`` identical rows are folded into (row, multiplicity), the
-folded rows are numbered by a distributed range sort with weighted
-positions, and the page is picked by position.  ``page_after`` offers seek
-paging (``WHERE key > last ORDER BY key LIMIT n``) for bindings whose page
-order identifies a row; its cost does not depend on how deep the page is.
+happens.  There is one path for every depth.  The order ends with all display
+columns, so rows that tie in it are equal as shown and every row is on exactly
+one page.  Spark itself turns to a distributed sort once ``o + n`` exceeds
+``spark.sql.execution.topKSortFallbackThreshold``.
+
+``page_after`` offers seek paging (``WHERE key >= last ORDER BY key``), whose
+cost does not depend on how deep the page is.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchpost.functions.clean import select_existing
-from watchpost.functions.ordering import row_index
 from watchpost.schema import ALERTS, DEPS, PAGE_SIZE_MAX, SECRETS, Binding
 
 
@@ -31,48 +31,21 @@ def check_page(page: int, page_size: int) -> None:
         raise ValueError(f"page_size must be within 1..{PAGE_SIZE_MAX}")
 
 
-def order_columns(df: DataFrame, binding: Binding) -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in binding.page_order if c in df.columns]
+def order_names(df: DataFrame, binding: Binding) -> list[str]:
+    """The page order's columns, completed by the remaining display columns."""
+    names = [*binding.page_order, *[c for c in binding.display if c not in binding.page_order]]
+    return [c for c in names if c in df.columns] or df.columns
 
 
-# A top-k page makes every task keep a heap of ``offset + n`` rows and sends
-# all heaps to one final merge (partitions x (offset + n) rows).  Past this
-# depth the page is picked by position from a distributed numbering instead.
-# For very deep paging over huge alert or secret tables prefer ``page_after``.
-DEEP_PAGE_ROWS = 10_000
+def order_columns(df: DataFrame, binding: Binding) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in order_names(df, binding)]
 
 
 def page(df: DataFrame, binding: Binding, page: int = 1, page_size: int = 50) -> DataFrame:
     """Rows of one page of an (already filtered) frame, display columns only."""
     check_page(page, page_size)
     shown = select_existing(df, binding.display)
-    order = order_columns(shown, binding)
-    offset = (page - 1) * page_size
-    if offset + page_size <= DEEP_PAGE_ROWS:
-        return shown.orderBy(*order).offset(offset).limit(page_size)
-    return _deep_page(shown, order, offset, page_size)
-
-
-def _deep_page(shown: DataFrame, order: list[Column], offset: int, page_size: int) -> DataFrame:
-    """Rows ``offset .. offset+page_size-1`` by position, fully distributed.
-
-    Identical rows are folded into one row with a multiplicity first (a
-    partial aggregate, so a value repeated a billion times is one row per
-    task), positions are weighted prefix sums, and only the folded rows that
-    overlap the page are expanded back.
-    """
-    cols = shown.columns
-    folded = shown.groupBy(*cols).agg(F.count(F.lit(1)).alias("__wp_n"))
-    numbered = row_index(folded, order, name="__wp_first", start=0, weight="__wp_n")
-    first, n = F.col("__wp_first"), F.col("__wp_n")
-    lo, hi = F.lit(offset), F.lit(offset + page_size)
-    overlap = numbered.where((first < hi) & (first + n > lo))
-    pos = F.explode(F.sequence(F.greatest(first, lo), F.least(first + n, hi) - 1))
-    return (
-        overlap.select(*cols, pos.alias("__wp_pos"))
-        .orderBy("__wp_pos")
-        .drop("__wp_pos")
-    )
+    return shown.orderBy(*order_columns(shown, binding)).offset((page - 1) * page_size).limit(page_size)
 
 
 def _after(columns: list[str], last: list) -> Column:
@@ -94,23 +67,28 @@ def _after(columns: list[str], last: list) -> Column:
     return F.coalesce(reduce(or_, terms), F.lit(False))
 
 
-def page_after(df: DataFrame, binding: Binding, last: list | None, page_size: int = 50) -> DataFrame:
+def page_after(df: DataFrame, binding: Binding, last: list | None, page_size: int = 50,
+               repeats: int = 1) -> DataFrame:
     """Seek paging: the ``page_size`` rows following the row whose order key
     is ``last`` (``None`` for the first page).
 
-    Exact only when the page order identifies a row: with duplicate rows a
-    page could end inside a run of equal keys and ``key > last`` would skip
-    the rest of the run.  Such bindings (dependencies) must use ``page``,
-    whose deep path folds duplicates with their multiplicity.
+    ``last`` holds the values of ``order_names``, all of them.  ``repeats`` is
+    the number of rows equal to ``last`` that were already shown, so a page
+    may end inside a run of equal rows.
     """
-    if not binding.unique_order:
-        raise ValueError(f"seek paging needs a unique page order; use page() for {binding.name}")
     check_page(1, page_size)
+    if repeats < 1:
+        raise ValueError("repeats must be >= 1")
     shown = select_existing(df, binding.display)
-    cols = [c for c in binding.page_order if c in shown.columns]
-    if last is not None:
-        shown = shown.where(_after(cols, list(last)))
-    return shown.orderBy(*order_columns(shown, binding)).limit(page_size)
+    cols = order_names(shown, binding)
+    ordered = order_columns(shown, binding)
+    if last is None:
+        return shown.orderBy(*ordered).limit(page_size)
+    if len(last) != len(cols):
+        raise ValueError(f"seek paging needs the whole key: {', '.join(cols)}")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(cols, last, strict=True)])
+    at_or_after = shown.where(_after(cols, list(last)) | same)
+    return at_or_after.orderBy(*ordered).offset(repeats).limit(page_size)
 
 
 def envelope(df: DataFrame, page: int = 1, page_size: int = 50) -> DataFrame:

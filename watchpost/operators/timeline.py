@@ -29,6 +29,7 @@ from watchpost.schema import (
     ZOOM_IN_SHARE,
     ZOOM_OUT_SHARE,
 )
+from watchpost.session import exists
 
 KEY = ["source", "fingerprint"]
 ID_ORDER = ["timestamp", "source", "fingerprint"]
@@ -62,10 +63,11 @@ def from_metrics(metrics: DataFrame, source: str, fingerprint: str | Column,
 
 
 def backfill(metrics: DataFrame, source: str, fingerprint: str,
-             now: datetime | None = None, days: int = 3) -> DataFrame:
+             now: datetime | Column | None = None, days: int = 3) -> DataFrame:
     """tl_backfill: a candidate stamped ``days`` before ``now``."""
-    now = now or datetime.now(timezone.utc)
-    return from_metrics(metrics, source, fingerprint, now - timedelta(days=days))
+    now = now if now is not None else datetime.now(timezone.utc)
+    past = now - (F.make_dt_interval(F.lit(days)) if isinstance(now, Column) else timedelta(days=days))
+    return from_metrics(metrics, source, fingerprint, past)
 
 
 # ---- append ------------------------------------------------------------------
@@ -76,10 +78,9 @@ def empty_history(spark: SparkSession) -> DataFrame:
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Every stored row (racing appenders may have written a key twice)."""
-    try:
-        raw = spark.read.schema(SNAPSHOT_SCHEMA).option("basePath", path).parquet(path)
-    except Exception:  # noqa: BLE001 - no table written yet
+    if not exists(spark, path):  # no table written yet
         return empty_history(spark)
+    raw = spark.read.schema(SNAPSHOT_SCHEMA).option("basePath", path).parquet(path)
     return raw.select(*[f.name for f in SNAPSHOT_SCHEMA.fields])
 
 

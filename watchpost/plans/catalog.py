@@ -10,7 +10,6 @@ tie-breaks; IDs with no SQL equivalent have no oracle entry.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ from watchpost.operators import paging as pg
 from watchpost.operators import timeline as tl
 from watchpost.plans import oracle as O
 from watchpost.schema import ALERT_DATE_COLUMNS, ALERT_DISPLAY_COLUMNS, DEPS_COLUMNS
-from watchpost.session import shared_dir
+from watchpost.session import scratch_dir
 from watchpost.sources import csv as src
 from watchpost.sources import export, store, views
 
@@ -65,7 +64,7 @@ WAS = O.with_(O.ALERTS, O.SECRETS)
 
 
 def _scratch(spark: SparkSession, what: str) -> str:
-    return shared_dir(spark, f"watchpost-io/{what}-{uuid.uuid4().hex}")
+    return scratch_dir(spark, f"watchpost-io/{what}")
 
 
 # ---- parameters of the registered filter / page / typeahead calls ------------
@@ -130,12 +129,29 @@ def q_src_secrets_csv(spark, d):
     return deliver(src.secrets(spark, path))
 
 
-@register("src_deps_csv", f"{WD}SELECT {O.DEPS_COLS} FROM deps")
+@register("src_deps_csv", f"""{WD}SELECT org_name, repo_name, package_name,
+  CASE WHEN is_open_source = 'true' THEN '  ' || dependency_name || ' ' ELSE dependency_name END
+    AS dependency_name, is_open_source,
+  CASE WHEN is_open_source = 'true' THEN '/' || package_name END AS manifest_path FROM deps""")
 def q_src_deps_csv(spark, d):
-    path = export.write_csv(_deps(spark, d), _scratch(spark, "deps-csv"))
+    """Part files with two headers: other column order, and an extra column in some."""
+    path = _scratch(spark, "deps-csv")
+    rows = _odd_csv(spark, d)
+    extra = rows.where("is_open_source = 'true'").select(
+        F.concat(F.lit("/"), "package_name").alias("manifest_path"), *reversed(DEPS_COLUMNS))
+    export.write_csv(extra, path)
+    export.write_csv(rows.where("is_open_source IS NULL OR is_open_source <> 'true'"), path, mode="append")
     return deliver(src.deps(spark, path))
 
 
+def _odd_csv(spark, d):
+    """Dependencies with blanks at both ends of a text."""
+    padded = F.concat(F.lit("  "), F.col("dependency_name"), F.lit(" "))
+    return _deps(spark, d).withColumn(
+        "dependency_name", F.when(F.col("is_open_source") == "true", padded).otherwise(F.col("dependency_name"))
+    )
+
+
 @register("src_discover", f"{WA}SELECT {O.ALERT_COLS} FROM alerts WHERE State = 'open'")
 def q_src_discover(spark, d):
     drop = _scratch(spark, "drop")
@@ -143,23 +159,38 @@ def q_src_discover(spark, d):
     export.write_csv(a, f"{drop}/dependabot_alerts_b.csv")
     export.write_csv(a.where(F.col("State") == "open"), f"{drop}/dependabot_alerts_a.csv")
     export.write_csv(_secrets(spark, d), f"{drop}/secret_scanning_0.csv")
+    # Not a match: the underscore of the pattern is no wildcard.
+    export.write_csv(a, f"{drop}/dependabot-alerts.csv")
     chosen = src.discover(spark, drop, "alerts")
     return deliver(src.alerts(spark, chosen))
 
 
-@register("src_fingerprint")
+@register("src_fingerprint", "SELECT true AS is_12_hex, true AS is_stable, true AS follows_change")
 def q_src_fingerprint(spark, d):
+    """The id is 12 hex digits, the same for the same files, another after a change."""
     path = export.write_csv(_deps(spark, d), _scratch(spark, "fp"))
-    return store.fingerprint_frame(spark, path)
+    first, again = store.fingerprint(spark, path), store.fingerprint(spark, path)
+    export.write_csv(_deps(spark, d).where("is_open_source IS NULL"), path, mode="append")
+    changed = store.fingerprint_frame(spark, path)
+    return changed.select(
+        F.col("fingerprint").rlike("^[0-9a-f]{12}$").alias("is_12_hex"), F.lit(first == again).alias("is_stable"),
+        (F.col("fingerprint") != F.lit(first)).alias("follows_change"),
+    )
 
 
-@register("sink_store", f"{WA}SELECT {O.ALERT_COLS} FROM alerts")
+@register("sink_store", f"{WA}SELECT {O.ALERT_COLS}, true AS reused FROM alerts")
 def q_sink_store(spark, d):
     path = export.write_csv(_alerts(spark, d), _scratch(spark, "store-in"))
     root = _scratch(spark, "store")
-    store.store(spark, path, root, "alerts", record_snapshot=False)
-    # Second ingest of the unchanged file reuses the stored Parquet.
-    return deliver(store.store(spark, path, root, "alerts", record_snapshot=False))
+
+    def ingest():
+        df = store.store(spark, path, root, "alerts", record_snapshot=False)
+        return df, sorted(df.inputFiles())
+
+    _, written = ingest()
+    # The second ingest of the unchanged file reads the very files of the first.
+    df, reused = ingest()
+    return deliver(df.withColumn("reused", F.lit(written == reused)))
 
 
 @register("sink_alerts_export",
@@ -187,7 +218,8 @@ def q_sink_secrets_export(spark, d):
 # =============================================================================
 
 _RAW_DATES_SQL = (
-    "CASE WHEN Alert_Number % 11 = 0 THEN 'not a date' "
+    "CASE WHEN Alert_Number % 11 = 0 THEN 'not a date' WHEN Alert_Number % 11 = 1 THEN '12:30:00' "
+    "WHEN Alert_Number % 11 = 2 THEN '2024' WHEN Alert_Number % 11 = 3 THEN '2024-05' "
     "ELSE strftime(Created_At, '%Y-%m-%d %H:%M:%S') END"
 )
 _RAW_UPDATED_SQL = (
@@ -206,7 +238,8 @@ def q_cln_try_timestamp(spark, d):
     key = F.col("Alert_Number")
     raw = a.select(
         "Alert_Number",
-        F.when(key % 11 == 0, F.lit("not a date"))
+        F.when(key % 11 == 0, F.lit("not a date")).when(key % 11 == 1, F.lit("12:30:00"))
+        .when(key % 11 == 2, F.lit("2024")).when(key % 11 == 3, F.lit("2024-05"))
         .otherwise(F.date_format("Created_At", "yyyy-MM-dd HH:mm:ss")).alias("Created_At"),
         F.when(key % 3 == 0, F.lit(""))
         .otherwise(F.date_format(F.col("Created_At") + F.expr("INTERVAL 1 DAY"),
@@ -216,9 +249,12 @@ def q_cln_try_timestamp(spark, d):
 
 
 @register("cln_try_double",
-          f"{WA}SELECT Alert_Number, TRY_CAST(CVSS_Score AS DOUBLE) AS CVSS_Score FROM alerts")
+          f"{WA}SELECT Alert_Number, TRY_CAST(CASE WHEN Alert_Number % 5 = 0 THEN CVSS_Score || 'd' "
+          "WHEN Alert_Number % 5 = 1 THEN CVSS_Score || 'F' ELSE CVSS_Score END AS DOUBLE) AS CVSS_Score FROM alerts")
 def q_cln_try_double(spark, d):
-    a = _alerts(spark, d)
+    key, score = F.col("Alert_Number"), F.col("CVSS_Score")
+    text = F.when(key % 5 == 0, F.concat(score, F.lit("d"))).when(key % 5 == 1, F.concat(score, F.lit("F")))
+    a = _alerts(spark, d).select("Alert_Number", text.otherwise(score).alias("CVSS_Score"))
     return deliver(a.select("Alert_Number", clean.try_double("CVSS_Score").alias("CVSS_Score")))
 
 
@@ -247,13 +283,29 @@ def q_cln_nonfinite_to_null(spark, d):
     return clean.nonfinite_to_null(scored)
 
 
-@register("cln_safe_int",
-          f"{WA}SELECT Alert_Number, COALESCE(TRY_CAST(trunc("
-          f"{O.finite('TRY_CAST(' + _NONFINITE_TEXT_SQL + ' AS DOUBLE)')}) AS BIGINT), 0) AS n "
-          f"FROM alerts")
+# Text as it may come: whole numbers, and what only looks like one.
+_NUMBER_TEXT = ["12", " -7 ", "+3", "1_000", "12.7", "1e3", "1.5d", "", "n/a", "9007199254740993"]
+_NUMBER_TEXT_SQL = ("[" + ", ".join(f"'{t}'" for t in _NUMBER_TEXT) + "]"
+                    f"[CAST(Alert_Number % {len(_NUMBER_TEXT)} AS INTEGER) + 1]")
+
+
+@register("cln_safe_int", f"""{WA}SELECT Alert_Number,
+  CASE WHEN regexp_full_match(trim(t), '[+-]?[0-9]+(_[0-9]+)*')
+       THEN CAST(replace(trim(t), '_', '') AS BIGINT) ELSE 0 END AS from_text,
+  COALESCE(TRY_CAST(trunc({O.finite('x')}) AS BIGINT), 0) AS from_double,
+  9007199254740993 + Alert_Number AS from_long
+FROM (SELECT Alert_Number, {_NUMBER_TEXT_SQL} AS t, TRY_CAST({_NONFINITE_TEXT_SQL} AS DOUBLE) AS x FROM alerts)""")
 def q_cln_safe_int(spark, d):
     a = _alerts(spark, d)
-    return a.select("Alert_Number", clean.safe_int(_nonfinite_text(a)).alias("n"))
+    key = F.col("Alert_Number")
+    text = F.element_at(F.array(*[F.lit(t) for t in _NUMBER_TEXT]), (key % len(_NUMBER_TEXT)).cast("int") + 1)
+    return a.select(
+        "Alert_Number", text.alias("t"), clean.try_double(_nonfinite_text(a)).alias("x"),
+        (F.lit(9007199254740993) + key).alias("n"),
+    ).select(
+        "Alert_Number", clean.safe_int("t").alias("from_text"), clean.safe_int("x").alias("from_double"),
+        clean.safe_int("n").alias("from_long"),
+    )
 
 
 @register("cln_empty_to_null", f"{WD}SELECT {O.DEPS_COLS} FROM deps")
@@ -382,10 +434,10 @@ def q_page_alerts(spark, d):
 
 
 @register("page_deps",
-          f"{WD}SELECT {O.DEPS_COLS} FROM deps {_deps_where({}, 'bolt')} {_DEPS_ORDER} "
-          "LIMIT 100 OFFSET 100")
+          f"{WD}SELECT {O.DEPS_COLS} FROM deps {_DEPS_ORDER} LIMIT 500 OFFSET 12000")
 def q_page_deps(spark, d):
-    return deliver(pg.deps(flt.deps(_deps(spark, d), search="bolt"), 2, 100))
+    """A deep page over rows that repeat."""
+    return deliver(pg.deps(_deps(spark, d), 25, 500))
 
 
 @register("page_secrets",
@@ -744,9 +796,11 @@ def q_ovw_rank(spark, d):
 
 def _history(spark, d) -> DataFrame:
     """Two appends: candidates of days 1-15 into an empty history, then all."""
+    path = _scratch(spark, "timeline")
     cands = views.snapshot_candidates(spark, d)
-    h1 = tl.appended(tl.empty_history(spark), cands.where(F.dayofmonth("timestamp") <= 15))
-    return tl.appended(h1, cands)
+    tl.append(spark, path, cands.where(F.dayofmonth("timestamp") <= 15))
+    tl.append(spark, path, cands)
+    return tl.read_raw(spark, path)
 
 
 WTL = O.with_(*O.TIMELINE_CTES)
@@ -758,23 +812,34 @@ def q_tl_append(spark, d):
     return deliver(_history(spark, d))
 
 
-@register("tl_backfill", WS + f"""SELECT {O.iso('ts')} AS timestamp, 'secrets' AS source,
-  'original_seed' AS fingerprint, total, open, CAST(0 AS BIGINT) AS critical,
-  CAST(0 AS BIGINT) AS high, CAST(0 AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low,
-  CAST(0 AS BIGINT) AS fixed, CAST(0 AS BIGINT) AS dismissed, leaked, bypassed, orgs, repos
-FROM (SELECT max(Created_At) - INTERVAL 3 DAY AS ts, count(*) AS total,
-             count(*) FILTER (WHERE State = 'open') AS open,
-             count(*) FILTER (WHERE CAST(Publicly_Leaked AS VARCHAR) IN ('True', 'true')) AS leaked,
-             count(*) FILTER (WHERE CAST(Push_Protection_Bypassed AS VARCHAR) IN ('True', 'true'))
-               AS bypassed,
-             count(DISTINCT Organization_Name) AS orgs, count(DISTINCT Repository_Name) AS repos
-      FROM secrets)""")
+_SEED_SQL = ("SELECT {id} AS id, {iso} AS timestamp, '{source}' AS source, '{fp}' AS fingerprint, total, open, "
+             "critical, high, medium, low, fixed, dismissed, leaked, bypassed, orgs, repos FROM {frm}")
+
+
+@register("tl_backfill", WAS + f""", past AS (SELECT max(Created_At) - INTERVAL 3 DAY AS ts FROM secrets),
+dep AS (SELECT count(*) AS total, count(*) FILTER (WHERE State = 'open') AS open,
+  count(*) FILTER (WHERE Severity = 'critical') AS critical, count(*) FILTER (WHERE Severity = 'high') AS high,
+  count(*) FILTER (WHERE Severity = 'medium') AS medium, count(*) FILTER (WHERE Severity = 'low') AS low,
+  count(*) FILTER (WHERE State = 'fixed') AS fixed,
+  count(*) FILTER (WHERE State IN ('dismissed', 'auto_dismissed')) AS dismissed,
+  CAST(0 AS BIGINT) AS leaked, CAST(0 AS BIGINT) AS bypassed,
+  count(DISTINCT Organization_Name) AS orgs, count(DISTINCT Repository_Name) AS repos FROM alerts),
+sec AS (SELECT count(*) AS total, count(*) FILTER (WHERE State = 'open') AS open, CAST(0 AS BIGINT) AS critical,
+  CAST(0 AS BIGINT) AS high, CAST(0 AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS fixed,
+  CAST(0 AS BIGINT) AS dismissed, count(*) FILTER (WHERE Publicly_Leaked IN ('True', 'true')) AS leaked,
+  count(*) FILTER (WHERE Push_Protection_Bypassed IN ('True', 'true')) AS bypassed,
+  count(DISTINCT Organization_Name) AS orgs, count(DISTINCT Repository_Name) AS repos FROM secrets)
+{_SEED_SQL.format(id="CAST(1 AS BIGINT)", iso=O.iso("ts"), source="dependabot", fp="baseline", frm="dep, past")}
+UNION ALL
+{_SEED_SQL.format(id="CAST(2 AS BIGINT)", iso=O.iso("ts"), source="secrets", fp="original_seed", frm="sec, past")}""")
 def q_tl_backfill(spark, d):
-    s = _secrets(spark, d)
-    now = s.agg(F.max("Created_At")).scalar()
-    cand = tl.from_metrics(met.secrets(s), "secrets", "original_seed",
-                           now - F.expr("INTERVAL 3 DAYS"))
-    return deliver(cand)
+    """Both baselines, stamped three days back, inserted once however often they are."""
+    path = _scratch(spark, "backfill")
+    now = _secrets(spark, d).agg(F.max("Created_At")).first()[0]
+    for _ in range(2):
+        tl.append(spark, path, tl.backfill(met.alerts(_alerts(spark, d)), "dependabot", "baseline", now))
+        tl.append(spark, path, tl.backfill(met.secrets(_secrets(spark, d)), "secrets", "original_seed", now))
+    return deliver(tl.read_raw(spark, path))
 
 
 @register("tl_read", WTL + f"SELECT {O.iso('timestamp')} AS timestamp, source, "

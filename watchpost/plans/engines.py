@@ -60,11 +60,14 @@ class _Engine:
 
     binding = None
 
-    def page_after(self, last: list | None, page_size: int = 50, **filters) -> DataFrame:
+    def page_after(self, last: list | dict | None, page_size: int = 50, repeats: int = 1, **filters) -> DataFrame:
         """Seek paging: the rows after the row whose page-order key is ``last``
-        (``None`` for the first page).  Cost does not grow with depth."""
+        (``None`` for the first page; a dict is a whole row).  Cost does not
+        grow with depth.  ``repeats``: rows equal to it already shown."""
         f = flt.apply(self.df, self.binding, **filters)
-        return pg.page_after(f, self.binding, last, page_size)
+        if isinstance(last, dict):
+            last = [last.get(c) for c in pg.order_names(f, self.binding)]
+        return pg.page_after(f, self.binding, last, page_size, repeats)
 
     def _typeahead(self, summary: str, alias: str, q: str, limit: int) -> DataFrame:
         """Typeahead over the stored distinct values when built, else the store."""

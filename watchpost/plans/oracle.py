@@ -12,7 +12,7 @@ from __future__ import annotations
 
 ALERTS = """alerts AS (
   SELECT o.o_orderkey AS Alert_Number,
-         n.n_name AS Organization_Name,
+         CASE WHEN n.n_nationkey NOT IN (23, 24) THEN n.n_name END AS Organization_Name,
          c.c_name AS Repository_Name,
          CASE WHEN o.o_orderstatus = 'O' THEN 'open'
               WHEN o.o_orderstatus = 'F' THEN 'fixed'
@@ -34,13 +34,12 @@ ALERTS = """alerts AS (
          CAST(o.o_orderdate AS TIMESTAMP) AS Created_At
   FROM orders o
   JOIN customer c ON o.o_custkey = c.c_custkey
-  LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (23, 24)) n
-    ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 )"""
 
 SECRETS = """secrets AS (
   SELECT e.event_id AS Alert_Number,
-         n.n_name AS Organization_Name,
+         CASE WHEN n.n_nationkey >= 3 THEN n.n_name END AS Organization_Name,
          'repo-' || CAST(e.user_id AS VARCHAR) AS Repository_Name,
          e.event_type AS Secret_Type,
          CASE WHEN e.event_id % 3 = 0 THEN 'open' ELSE 'resolved' END AS State,
@@ -51,8 +50,7 @@ SECRETS = """secrets AS (
          CASE WHEN e.event_id % 40 = 0 THEN 'true' END AS Push_Protection_Bypassed,
          CAST(e.ts AS TIMESTAMP) AS Created_At
   FROM events e
-  LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 3) n
-    ON e.user_id % 30 = n.n_nationkey
+  LEFT JOIN nation n ON e.user_id % 30 = n.n_nationkey
 )"""
 
 DEPS = """deps AS (

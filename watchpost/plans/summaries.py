@@ -22,6 +22,7 @@ from watchpost.operators import metrics as met
 from watchpost.operators import options as opt
 from watchpost.operators import overview as ovw
 from watchpost.schema import ALERTS, DEPS, SECRETS
+from watchpost.session import finished
 
 Build = Callable[[DataFrame], DataFrame]
 
@@ -74,13 +75,8 @@ def location(root: str, dataset: str, fingerprint: str, name: str) -> str:
 
 
 def present(spark: SparkSession, path: str) -> bool:
-    """Whether a finished summary exists (schema read only, no job).  A write
-    in progress holds no data files yet, so it reads as absent."""
-    try:
-        spark.read.parquet(path)
-        return True
-    except Exception:  # noqa: BLE001 - not built yet
-        return False
+    """Whether a finished summary exists: one whose job has committed."""
+    return finished(spark, path)
 
 
 def build(spark: SparkSession, df: DataFrame, root: str, dataset: str, fingerprint: str,

@@ -131,12 +131,10 @@ class Binding:
     search: list[str]
     # filter argument name -> column
     members: dict[str, str] = field(default_factory=dict)
-    # ordered columns that give a total order for paging
+    # leading columns of the page order; the other display columns follow
     page_order: list[str] = field(default_factory=list)
     state: str | None = None
     created: str | None = None
-    # whether page_order identifies a row (required for seek paging)
-    unique_order: bool = True
 
 
 ALERTS = Binding(
@@ -189,7 +187,6 @@ DEPS = Binding(
     # The reference orders by org, repo, dependency; rows can repeat, so the
     # remaining display columns complete the order.
     page_order=["org_name", "repo_name", "dependency_name", "package_name", "is_open_source"],
-    unique_order=False,
 )
 
 # ---------------------------------------------------------------------------

@@ -9,7 +9,9 @@ always wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,8 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured by the operator and must be shared
-    storage; it is only read here.  A private temporary folder is created
-    solely when the setting is absent, which happens in local tests.
+    storage; it is only read here, and its absence raises.  With a local master
+    (tests) a temporary folder is created when the setting is absent.
     """
     try:
         sc = spark.sparkContext
@@ -70,11 +72,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = sc.getCheckpointDir()
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="watchpost-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", conf_dir)
-        except Exception:  # noqa: BLE001 - some deployments lock core settings
-            pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(conf_dir)
     return conf_dir
@@ -83,3 +83,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for materialised tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new sub-folder of the shared checkpoint folder, deleted when the session's JVM ends."""
+    path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    at, fs = _hadoop_path(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; any other storage error is raised."""
+    at, fs = _hadoop_path(spark, path)
+    return bool(fs.exists(at))
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job has committed its output folder (its ``_SUCCESS`` is there)."""
+    return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def part_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a file or folder path, sorted; an absent path has none."""
+    at, fs = _hadoop_path(spark, path)
+    found = fs.globStatus(at)
+    if found is None:
+        return []
+    out = []
+    for status in found:
+        entries = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [
+            e.getPath().toString() for e in entries
+            if e.isFile() and not e.getPath().getName().startswith(("_", "."))
+        ]
+    return sorted(out)

@@ -13,11 +13,15 @@ embedded newlines pass ``multi_line=False`` to let Spark split them.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchpost.functions.clean import empty_to_null, try_timestamp
-from watchpost.schema import ALERT_DATE_COLUMNS, DEPS_SCHEMA, DISCOVERY_GLOBS, SECRET_DATE_COLUMNS
+from watchpost.schema import ALERT_DATE_COLUMNS, DISCOVERY_GLOBS, SECRET_DATE_COLUMNS
+from watchpost.session import part_files
 
 
 def _reader(spark: SparkSession, multi_line: bool = True, mode: str = "DROPMALFORMED"):
@@ -31,9 +35,36 @@ def _reader(spark: SparkSession, multi_line: bool = True, mode: str = "DROPMALFO
     )
 
 
+def _headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """The files by their first line, read as any schema inference reads it."""
+    sc = spark.sparkContext
+    conf, hadoop, io = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop, sc._jvm.java.io
+
+    def first_line(file: str) -> str:
+        at = hadoop.fs.Path(file)
+        reader = io.BufferedReader(io.InputStreamReader(at.getFileSystem(conf).open(at), "UTF-8"))
+        try:
+            return reader.readLine() or ""
+        finally:
+            reader.close()
+
+    out: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        for file, line in zip(files, pool.map(first_line, files), strict=True):
+            out.setdefault(line, []).append(file)
+    return out
+
+
 def read_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All columns as text, names from the header; malformed rows dropped."""
-    return _reader(spark, multi_line).csv(path)
+    """All columns as text, by the name that each file's own header gives
+    them; malformed rows dropped.  Files with one header are read together, a
+    column that some files lack is NULL in their rows."""
+    groups = _headers(spark, part_files(spark, path))
+    groups.pop("", None)  # empty files hold no header and no rows
+    if not groups:
+        return _reader(spark, multi_line).csv(path)
+    parts = [_reader(spark, multi_line).csv(files) for _, files in sorted(groups.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def alerts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -57,44 +88,22 @@ def secrets(spark: SparkSession, path: str, multi_line: bool = True) -> DataFram
 
 
 def deps(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """src_deps_csv: five text columns; ``''`` -> NULL; ``NA``/``null`` stay text."""
-    df = _reader(spark, multi_line).schema(DEPS_SCHEMA).option("enforceSchema", False).csv(path)
-    return empty_to_null(df)
+    """src_deps_csv: whatever columns there are, as text; ``''`` -> NULL;
+    ``NA``/``null`` stay text."""
+    return empty_to_null(read_text(spark, path, multi_line))
 
 
 def discover(spark: SparkSession, folder: str, dataset: str) -> str | None:
     """src_discover: the alphabetically first entry of ``folder`` whose name
-    matches the dataset's glob (a file, or a folder of part files).
+    matches the dataset's glob (a file, or a folder of part files); None if
+    there is none or no such folder.
 
-    The listing is a distributed file scan of paths only (file contents are
-    pruned); one name comes back to the driver.
+    The storage's own glob is used, in which only ``*`` is a wildcard here;
+    one folder is listed, not the tree below it.
     """
-    glob = DISCOVERY_GLOBS[dataset]
     base = folder.rstrip("/")
-    try:
-        listing = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .load(base)
-            .select("path")
-        )
-    except Exception:  # noqa: BLE001 - missing folder
-        return None
-    # First path segment below the folder: the entry the glob is tested on.
-    rel = F.regexp_extract(F.col("path"), r"^.*?" + _escape_regex(base.split(":")[-1]) + r"/([^/]+)", 1)
-    like = glob.replace("*", "%")
-    row = (
-        listing.select(rel.alias("entry"))
-        .where((F.col("entry") != "") & F.col("entry").like(like))
-        .agg(F.min("entry").alias("entry"))
-        .first()
-    )
-    if row is None or row["entry"] is None:
-        return None
-    return f"{base}/{row['entry']}"
-
-
-def _escape_regex(text: str) -> str:
-    import re
-
-    return re.escape(text)
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{base}/{DISCOVERY_GLOBS[dataset]}")
+    found = at.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(at)
+    names = sorted(s.getPath().getName() for s in found or [])
+    return f"{base}/{names[0]}" if names else None

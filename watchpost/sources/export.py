@@ -21,6 +21,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
         .option("quote", '"')
         .option("escape", '"')
         .option("timestampFormat", TIMESTAMP_FORMAT)
+        # The writer would trim text otherwise.
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
     return path

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from watchpost.operators import metrics as met
 from watchpost.operators import timeline as tl
 from watchpost.schema import ALERTS, DEPS, SECRETS
+from watchpost.session import finished
 from watchpost.sources import csv as src
 
 _READERS = {"alerts": src.alerts, "secrets": src.secrets, "deps": src.deps}
@@ -61,36 +62,13 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return fingerprint_frame(spark, path).first()["fingerprint"]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Write-side parallelism: a frame with fewer partitions than the
-    cluster has cores (a small export read as one split) is spread
-    round-robin over all cores, so the store gets enough files for later
-    scans to run in parallel.  Large inputs already have far more partitions
-    than cores and are written as they are, without a shuffle."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - Spark Connect: no RDD view, write as is
-        return df
-    return df.repartition(target) if current < target else df
-
-
 def write_sorted(df: DataFrame, path: str, org: str | None) -> None:
-    """Store layout: enough files, each sorted by org (min/max pruning).
-
-    Not range-partitioned by org: one org may hold a third of all rows."""
-    out = spread(df)
-    if org and org in out.columns:
-        out = out.sortWithinPartitions(F.col(org).asc_nulls_last())
-    out.write.mode("overwrite").parquet(path)
-
-
-def _readable(spark: SparkSession, target: str) -> bool:
-    try:
-        spark.read.parquet(target).limit(1).collect()
-        return True
-    except Exception:  # noqa: BLE001 - absent or damaged store
-        return False
+    """Store layout: files as the reader's splits give them, each sorted by
+    org (min/max pruning).  No shuffle, and not range-partitioned by org: one
+    org may hold a third of all rows."""
+    if org and org in df.columns:
+        df = df.sortWithinPartitions(F.col(org).asc_nulls_last())
+    df.write.mode("overwrite").parquet(path)
 
 
 def store(spark: SparkSession, csv_path: str, root: str, dataset: str,
@@ -106,7 +84,8 @@ def store(spark: SparkSession, csv_path: str, root: str, dataset: str,
     """
     fp = fingerprint(spark, csv_path)
     target = f"{root.rstrip('/')}/{dataset}/fingerprint={fp}"
-    if not _readable(spark, target):
+    # Only a committed store is reused; one that a killed job left is made anew.
+    if not finished(spark, target):
         parsed = _READERS[dataset](spark, csv_path)
         write_sorted(parsed, target, _ORG[dataset])
     df = spark.read.parquet(target)

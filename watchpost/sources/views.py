@@ -5,11 +5,9 @@ projection of them (see FIXTURES.md §5).  The projections are plain joins and
 ``CASE`` expressions, so the datasets grow with the tables and every
 operator downstream runs over whole tables.
 
-Join strategy: the fact sides (orders, lineitem, events) are never
-broadcast.  ``nation`` is a dimension whose size is checked before it is
-broadcast (``bounded_broadcast``); customer, supplier and part are left to
-Catalyst/AQE, which broadcast them while they are below the size threshold
-and shuffle-join them (with skew splitting) once they are not.
+Join strategy: no side is marked for broadcast.  Catalyst and AQE broadcast a
+dimension (nation, customer, supplier, part) while it is below the size
+threshold and shuffle-join it (with skew splitting) once it is not.
 """
 
 from __future__ import annotations
@@ -17,23 +15,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpost.functions.joins import bounded_broadcast
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _nation(spark: SparkSession, sf_dir: str, keep) -> DataFrame:
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return bounded_broadcast(nation.where(keep(F.col("n_nationkey"))))
+    """The whole nation table; the org is NULL where ``keep`` of the key does not hold."""
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.when(keep(F.col("n_nationkey")), F.col("n_name")).alias("n_name")
+    )
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vulnerability alerts = orders ⋈ customer ⋈ nation.
 
-    Nations 23 and 24 are left out of the org lookup, so their alerts carry
-    a NULL org and those orgs exist only on the secrets side.
+    Nations 23 and 24 name no org, so their alerts carry a NULL org and those
+    orgs exist only on the secrets side.
     """
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
@@ -86,7 +84,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret alerts = events ⟕ nation on ``user_id % 30``.
 
-    Nations 0-2 are left out, and keys 25-29 never match, so some secrets
+    Nations 0-2 name no org, and keys 25-29 never match, so some secrets
     have a NULL org and orgs 0-2 exist only on the alerts side.
     """
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")

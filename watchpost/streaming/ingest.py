@@ -39,6 +39,7 @@ from watchpost.schema import (
     SECRET_DISPLAY_COLUMNS,
     all_string,
 )
+from watchpost.session import exists
 
 _COLUMNS = {
     "alerts": ALERT_DISPLAY_COLUMNS,
@@ -90,11 +91,9 @@ def _record_epoch(spark: SparkSession, state_dir: str, dataset: str, epoch_rows:
         f"{state_dir}/counts/epoch={epoch_id}")
     for kind, col in _DISTINCT.items():
         values = epoch_rows.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
-        try:
+        if exists(spark, f"{state_dir}/{kind}"):  # not before the first epoch
             seen = spark.read.parquet(f"{state_dir}/{kind}").where(F.col("epoch") < epoch_id)
             values = values.join(seen.select("value"), "value", "left_anti")
-        except Exception:  # noqa: BLE001 - first epoch: nothing seen yet
-            pass
         values.write.mode("overwrite").parquet(f"{state_dir}/{kind}/epoch={epoch_id}")
     counts = spark.read.parquet(f"{state_dir}/counts").drop("epoch")
     totals = counts.agg(*[F.sum(c).cast("long").alias(c) for c in counts.columns])
