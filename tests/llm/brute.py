@@ -149,7 +149,7 @@ def merkle_root(text: str) -> str:
         return hashlib.sha256(x.encode()).hexdigest()
 
     def blocks(p):
-        return [sha(p[i:i + 64]) for i in range(0, max(len(p), 1), 64)]
+        return [sha(p[i:i + 32]) for i in range(0, max(len(p), 1), 32)]
 
     return sha("d" + "".join(
         sha("s" + "".join(sha("p" + "".join(blocks(p))) for p in s.split("\n"))) for s in text.split("\n\n")
@@ -158,7 +158,7 @@ def merkle_root(text: str) -> str:
 
 def merkle_likeness(a: str, b: str) -> float:
     def leaves(text):
-        return {p[i:i + 64] for s in text.split("\n\n") for p in s.split("\n") for i in range(0, max(len(p), 1), 64)}
+        return {p[i:i + 32] for s in text.split("\n\n") for p in s.split("\n") for i in range(0, max(len(p), 1), 32)}
 
     x, y = leaves(a), leaves(b)
     return 2 * len(x & y) / (len(x) + len(y))
