@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from watchpost.llm.base import key_of, partitions, stored
 
 #: Code points of a block at most.
-BLOCK = 64
+BLOCK = 32
 
 
 def _digest(level: str, children: Column) -> Column:
@@ -57,8 +57,8 @@ def root(nodes: Column) -> Column:
 
 
 def leaves(nodes: Column) -> Column:
-    """The distinct block digests of a tree."""
-    return F.array_distinct(F.flatten(F.flatten(nodes)))
+    """The distinct block digests of a tree, 64 bits of each: enough to compare two documents."""
+    return F.array_distinct(F.transform(F.flatten(F.flatten(nodes)), lambda d: F.xxhash64(d)))
 
 
 def likeness(a: Column, b: Column) -> Column:
