@@ -1,8 +1,8 @@
 """Benchmark: ingest once, then time the dashboard operators.
 
-Mirrors the reference's workflow: datasets are parsed once into a store
+Mirrors the reference's workflow: CSV exports are parsed once into a store
 (here: Parquet, sorted by org inside each file) and every request runs
-against that store.  Prints ONE JSON line:
+against that store.  The export item writes all alerts.  Prints ONE JSON line:
 
   {"metric": "dashboard_total", "value": <sum of query seconds>, "unit": "sec",
    "queries": {...}, "ingest_sec": ..., "sf": ...}
@@ -17,7 +17,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 import time
 
@@ -34,7 +33,8 @@ from watchpost.operators import paging as pg  # noqa: E402
 from watchpost.operators import timeline as tl  # noqa: E402
 from watchpost.plans import summaries as summ  # noqa: E402
 from watchpost.plans.engines import AlertsEngine, DepsEngine, Overview, SecretsEngine  # noqa: E402
-from watchpost.session import get_session, shared_dir  # noqa: E402
+from watchpost.session import get_session, scratch_dir  # noqa: E402
+from watchpost.sources import csv as src  # noqa: E402
 from watchpost.sources import export, views  # noqa: E402
 from watchpost.sources.store import write_sorted  # noqa: E402
 
@@ -45,28 +45,32 @@ def main() -> None:
     repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     spark = get_session(f"local[{cpus}]", app_name="watchpost-bench", shuffle_partitions=cpus)
     spark.sparkContext.setLogLevel("ERROR")
-    # Scratch space lives under the shared checkpoint folder, never a
-    # machine-local temp folder (only created when the setting is unset).
-    scratch = shared_dir(spark, f"bench-{uuid.uuid4().hex}")
-
-    # ---- one-time ingest: derived datasets -> Parquet store -------------------
+    # Scratch space lives under the shared checkpoint folder and goes with the session.
+    scratch = scratch_dir(spark, "bench")
+
+    # ---- the exports, as CSV part files (not timed) ---------------------------
+    datasets = [
+        ("alerts", views.alerts, src.alerts, "Organization_Name"),
+        ("secrets", views.secrets, src.secrets, "Organization_Name"),
+        ("deps", views.dependencies, src.deps, "org_name"),
+    ]
+    for name, build, _, _ in datasets:
+        export.write_csv(build(spark, sf_dir).repartition(cpus), f"{scratch}/csv/{name}")
+
+    # ---- one-time ingest: CSV -> Parquet store --------------------------------
     store = {}
     cands_path = f"{scratch}/store/candidates"
 
     def ingest():
         # The three datasets are independent: their jobs run side by side.
         def one(item):
-            name, build, org = item
+            name, _, parse, org = item
             path = f"{scratch}/store/{name}"
-            write_sorted(build(spark, sf_dir), path, org)
+            write_sorted(parse(spark, f"{scratch}/csv/{name}"), path, org)
             store[name] = path
 
         with ThreadPoolExecutor(max_workers=4) as pool:
-            done = [pool.submit(one, item) for item in [
-                ("alerts", views.alerts, "Organization_Name"),
-                ("secrets", views.secrets, "Organization_Name"),
-                ("deps", views.dependencies, "org_name"),
-            ]]
+            done = [pool.submit(one, item) for item in datasets]
             done.append(pool.submit(
                 lambda: views.snapshot_candidates(spark, sf_dir)
                 .write.mode("overwrite").parquet(cands_path)))
@@ -90,7 +94,7 @@ def main() -> None:
     history_path = f"{scratch}/timeline"
 
     def export_alerts():
-        export.alerts(A(), f"{scratch}/export-{time.time_ns()}", state=["open"])
+        export.alerts(A(), f"{scratch}/export-{time.time_ns()}")
 
     runs = iter(range(1_000_000))
 

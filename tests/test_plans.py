@@ -111,3 +111,17 @@ def test_hot_join_key_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_heat_reads_each_fact_table_once(spark):
+    """The largest total comes from the few cells, not from a second aggregation."""
+    board = ovw.orgs(views.alerts(spark, SF_SMALL), views.secrets(spark, SF_SMALL))
+    text = plan(ovw.heat(board))
+    assert text.count("/orders.parquet") == 1 and text.count("/events.parquet") == 1
+
+
+def test_nothing_is_marked_for_broadcast(spark):
+    """Catalyst alone decides, by size; views are built without a job."""
+    for build in (views.alerts, views.secrets, views.dependencies):
+        logical = build(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" not in logical
