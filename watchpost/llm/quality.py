@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from watchpost.llm.base import ship, stored
 
 #: Weight of the pooled covariance, weight of the identity, temperature.
-SHRINK_POOLED, SHRINK_IDENTITY, TEMPERATURE = 0.8, 0.02, 4.0
+SHRINK_POOLED, SHRINK_IDENTITY, TEMPERATURE = 0.9, 0.02, 4.0
 
 _CLASS = np.zeros((256, 7))
 for _c in range(256):
