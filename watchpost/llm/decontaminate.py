@@ -35,7 +35,7 @@ from watchpost.llm.base import ship, stored
 #: Words of one shard, about; a longer document is a shard of its own.
 SHARD_WORDS = 1 << 20
 #: Characters of benchmark text that a task holds at once.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 4_000_000
 
 _SCHEMA = (
     "n_words long, longest_match long, item_ids array<long>, "
