@@ -49,7 +49,7 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
