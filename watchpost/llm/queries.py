@@ -46,8 +46,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.deduplicate(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +111,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _BARE = "trim(x, chr(32) || chr(9) || chr(13))"
 
+
+def _sql_blocks(p: str) -> str:
+    """DuckDB: the blocks of a paragraph of the Merkle tree."""
+    return f"CASE WHEN {p} = '' THEN [''] ELSE regexp_extract_all({p}, '(?s).{{1,{merkle.BLOCK}}}') END"
+
+
+def _sql_root(text: str) -> str:
+    block = f"list_transform({_sql_blocks('p')}, lambda b: sha256(b))"
+    paragraph = f"list_transform(string_split(s, chr(10)), lambda p: sha256('p' || array_to_string({block}, '')))"
+    section = f"sha256('s' || array_to_string({paragraph}, ''))"
+    sections = f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {section})"
+    return f"sha256('d' || array_to_string({sections}, ''))"
+
+
+def _sql_leaves(text: str) -> str:
+    paragraphs = f"flatten(list_transform(string_split(s, chr(10)), lambda p: {_sql_blocks('p')}))"
+    return f"list_distinct(flatten(list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {paragraphs})))"
+
+
+def _sql_likeness(a: str, b: str) -> str:
+    return f"2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b}))"
+
+
 ORACLE: dict[str, str] = {
     "op2_line_dedup": f"""
         WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
@@ -177,6 +199,32 @@ ORACLE: dict[str, str] = {
             coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_match, 0)::BIGINT AS longest_match
         FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id) LEFT JOIN longest USING (doc_id)""",
+    "op4_suffix_array": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n
+            FROM documents),
+        string_ AS (
+            SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s
+            FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 99, 0))) AS i FROM d)),
+        again AS (
+            SELECT doc_id, i FROM string_
+            QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+        run AS (
+            SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+                SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+                    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100
+                        THEN 0 ELSE 1 END AS new FROM again))
+            GROUP BY doc_id, g),
+        gap AS (
+            SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM run),
+        cut AS (
+            SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans,
+                string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || max(substr(h, 2 * last + 1)) AS kept
+            FROM (SELECT gap.*, h, max(b) OVER (PARTITION BY gap.doc_id) AS last FROM gap JOIN d USING (doc_id))
+            GROUP BY doc_id)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+            coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)""",
     "op5_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -187,4 +235,18 @@ ORACLE: dict[str, str] = {
             CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM q""",
+    "op9_merkle": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC) AS pos,
+                count(*) OVER () AS n FROM documents),
+        e AS (
+            SELECT d.doc_id, d.text, x.text AS other, substr(d.text, 1, length(d.text) - length(d.text) // 3)
+                || substr(x.text, 1, length(d.text) // 3) AS edited
+            FROM d JOIN d x ON x.pos = d.pos % d.n + 1),
+        f AS (
+            SELECT *, {_sql_leaves("text")} AS a, {_sql_leaves("edited")} AS b, {_sql_leaves("other")} AS c FROM e)
+        SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+            {_sql_root("text")} AS fingerprint, {_sql_root("edited")} AS edited_fingerprint,
+            {_sql_likeness("a", "b")} AS near_edited, {_sql_likeness("a", "c")} AS near_next
+        FROM f""",
 }
