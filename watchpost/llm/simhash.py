@@ -67,17 +67,18 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the SimHash of every document as a signed 64-bit integer."""
+    """(doc_id, tie, fp): a hash of the text and its SimHash, as signed 64-bit integers, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
+            got = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
             yield pa.record_batch(
-                [batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], ["doc_id", "fp"]
+                [*batch.columns[:2], pa.array(np.array(got, np.uint64).view(np.int64))], ["doc_id", "tie", "fp"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, fp long"
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("tie"), text).mapInArrow(
+        run, "doc_id long, tie long, fp long"
     )
 
 
@@ -220,10 +221,11 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) per document: its SimHash, and the smallest doc_id it is linked to.
+    """(doc_id, tie, fp, root, component_id) per document: its SimHash, and the smallest doc_id it is linked to.
 
     ``shingle`` is the number of words of a shingle, ``radius`` the most bits
-    by which linked fingerprints differ.
+    by which linked fingerprints differ.  ``tie`` is a hash of the text, ``root``
+    the smallest fingerprint that it is linked to.
     """
     ship(docs.sparkSession)
     prints = stored(fingerprints(docs, shingle), "simhash")
@@ -234,19 +236,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = named.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(label, "fp").select("doc_id", "tie", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """The documents with one of each group of near-duplicates, that of the smallest doc_id.
 
-    Of rows that share this doc_id, that of the smallest text stays.
+    A null doc_id gives way to any other; of rows that share the smallest one
+    the smallest by a hash of the text stays, and of equal rows one.
     """
     found = near_duplicates(docs, shingle, radius)
-    kept = found.groupBy("component_id").agg(F.min("doc_id").alias("__kept")).select("__kept").distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    row = F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    return stay.groupBy("doc_id").agg(
-        F.min_by(row, F.coalesce("text", F.lit(""))).alias("__row")
-    ).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__row.{c}").alias(c) for c in docs.columns])
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("best")
+    kept = found.groupBy("root").agg(best).select(
+        F.col("best.doc_id").alias("__doc_id"), F.col("best.tie").alias("__tie")
+    )
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (
+        F.xxhash64(docs["text"].cast("string")) == F.col("__tie")
+    )
+    return docs.join(kept, same).dropDuplicates(["__doc_id", "__tie"]).select(*[docs[c] for c in docs.columns])
