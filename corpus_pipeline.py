@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from watchpost.llm import bestfit, decontaminate, lines, quality, simhash
 from watchpost.llm.base import scratch, ship, table
 from watchpost.llm.queries import WORD_END, WORD_VOCABULARY
+from watchpost.llm.tokens import SMALL
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in the packed sequences."""
-    found = bestfit.pack_documents(docs, WORD_VOCABULARY, WORD_END)
+    found = bestfit.pack_documents(docs, WORD_VOCABULARY, WORD_END, budget=SMALL)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

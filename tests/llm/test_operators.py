@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from zlib import crc32
 
@@ -223,8 +224,8 @@ def test_warc_round_trip(spark, tmp):
 def test_warc_refuses_damaged_payloads(spark, tmp):
     pages = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
     warc.write(pages, tmp + "/w")
-    spark.read.parquet(tmp + "/w/payloads").withColumn("payload", F.encode(F.lit("other"), "UTF-8")).write.parquet(
-        tmp + "/bad/payloads")
+    other = F.lit(zlib.compress(b"other"))
+    spark.read.parquet(tmp + "/w/payloads").withColumn("stored", other).write.parquet(tmp + "/bad/payloads")
     spark.read.parquet(tmp + "/w/headers").write.parquet(tmp + "/bad/headers")
     with pytest.raises(Exception, match="damaged"):
         warc.read(spark, tmp + "/bad").collect()
@@ -308,9 +309,10 @@ def test_token_file_odd_tables(empty, clashing, spark, tmp):
 
 
 @pytest.mark.parametrize("place", [BYTE, WORD], ids=["byte", "word"])
-def test_cached_chunks_give_the_librarys_ids(place, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", 50)  # forgets all the time
-    enc, whole = tokens.Encoder(place()), tokenizer(place)
+@pytest.mark.parametrize("generations", [1, 2])
+def test_cached_chunks_give_the_librarys_ids(place, generations):
+    # So small that it forgets all the time.
+    enc, whole = tokens.Encoder(place(), tokens.Budget(50, generations, 10)), tokenizer(place)
     texts = [t or "" for _, t in rows()] + [
         " a", "a ", "a\n\nb", "it's 12's", "ΑΣ ΟΔΟΣ.", "İ I", "a 's b", "don't' ''s", "q \nz", "ﬁ ligature",
         "...a", "ß ẞ", "hello!!! ???", "²x Ⅷ", "á é.", "<|startoftext|>x<|endoftext|> y",

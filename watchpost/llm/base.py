@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from watchpost.session import shared_dir
 
+#: Bytes of a batch of rows sent to a Python worker, about.
+BATCH_BYTES = 8_000_000
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -19,17 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed.
+    """Let Python workers import this package where it is not installed, and bound what they hold.
 
     The workers' PYTHONPATH gets the folder this checkout lies in; a cluster
     whose executors do not see that folder needs the package installed or
-    passed with ``--py-files``.
+    passed with ``--py-files``.  Batches to Python are bounded by bytes, as
+    whole texts may be long.
     """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -33,13 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchpost.llm.base import ship, stored
-from watchpost.llm.tokens import encoder
-
-_TOGETHER = 2_000_000
+from watchpost.llm.tokens import LARGE, Budget, encoder
 
 
 def pieces(docs: DataFrame, vocabulary: Callable[[], str], end: int, capacity: int,
-           with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+           with_ids: bool = False, keep: tuple[str, ...] = (), budget: Budget = LARGE) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, part, and rank.
 
     ``rank`` numbers the pieces of one length within the task ``part``; ``ids``
@@ -52,14 +50,14 @@ def pieces(docs: DataFrame, vocabulary: Callable[[], str], end: int, capacity: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc = TaskContext.get().partitionId(), encoder(vocabulary())
+        part, enc = TaskContext.get().partitionId(), encoder(vocabulary(), budget)
         mark = np.array([end], "<u4").tobytes()
         seen = [0] * (capacity + 1)
         for batch in batches:
             i = 0
             while i < len(batch):
                 texts, chars = [], 0
-                while i + len(texts) < len(batch) and (not texts or chars < _TOGETHER):
+                while i + len(texts) < len(batch) and (not texts or chars < budget.chars):
                     texts.append(batch.column(1)[i + len(texts)].as_py() or "")
                     chars += len(texts[-1])
                 owner, start, length, check, rank, raws = [], [], [], [], [], []
@@ -203,5 +201,5 @@ def pack(found: DataFrame, capacity: int, max_docs: int | None = None, max_cost:
 def pack_documents(docs: DataFrame, vocabulary: Callable[[], str], end: int, capacity: int = 2048,
                    **options) -> DataFrame:
     """Cut and pack every whole text into sequences of at most ``capacity`` tokens."""
-    made = stored(pieces(docs, vocabulary, end, capacity, options.pop("with_ids", False)), "pieces")
-    return pack(made, capacity, **options)
+    mine = {k: options.pop(k) for k in ("with_ids", "budget") if k in options}
+    return pack(stored(pieces(docs, vocabulary, end, capacity, **mine), "pieces"), capacity, **options)

@@ -32,8 +32,6 @@ from watchpost.llm.tokens import encoder
 #: Ids of a segment, about, and of a block.
 SEGMENT = 1 << 18
 BLOCK = 4096
-#: Characters of text that are encoded together.
-_TOGETHER = 2_000_000
 
 _SCHEMA = (
     "shard int, segment long, first long, n_ids long, bits int, doc_ids array<long>, "
@@ -81,7 +79,6 @@ def write(docs: DataFrame, path: str, vocabulary: Callable[[], str], end: int) -
     """Write the ids of every whole text and ``end`` after each, in ascending doc_id order."""
     spark = docs.sparkSession
     ship(spark)
-    order = ["doc_id", "text"]
 
     def segments(shard: int, at: int, number: int, ids: list[bytes], names: list, bits: int) -> dict:
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
@@ -111,7 +108,7 @@ def write(docs: DataFrame, path: str, vocabulary: Callable[[], str], end: int) -
             i = 0
             while i < len(batch):
                 texts, chars = [], 0
-                while i + len(texts) < len(batch) and (not texts or chars < _TOGETHER):
+                while i + len(texts) < len(batch) and (not texts or chars < enc.budget.chars):
                     texts.append(batch.column(1)[i + len(texts)].as_py() or "")
                     chars += len(texts[-1])
                 for name, raw in zip(batch.column(0).slice(i, len(texts)).to_pylist(), enc.encode(texts), strict=True):
@@ -127,6 +124,7 @@ def write(docs: DataFrame, path: str, vocabulary: Callable[[], str], end: int) -
             yield pa.RecordBatch.from_pylist([segments(shard, at, number, held, names, bits)], kinds)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = ["doc_id", "text"]
     rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(
         run, _SCHEMA
     ).write.parquet(path)

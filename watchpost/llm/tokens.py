@@ -4,7 +4,9 @@ Both vocabularies never merge across the place before a blank that follows a
 non-blank, so a text is cut there, each distinct chunk is encoded once by the
 library, and the ids of a text are those of its chunks in order.  Texts in
 which blanks stand side by side, or that hold control characters, are encoded
-as they are.  The cache is per worker process and bounded; it only saves work.
+as they are.  The cache is per worker process and bounded; it only saves work.  With
+two generations, the young one when full becomes the old one, whose chunks move
+to the young one again as they are met; with one, it is begun anew.
 
 Rows of ids are little-endian unsigned 32-bit integers throughout.
 """
@@ -13,11 +15,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
-#: Chunks kept by a worker process at most.
-CACHE = 600_000
+
+@dataclass(frozen=True)
+class Budget:
+    """What a worker may hold: chunks (and as many plain words) of a generation, generations, characters at once."""
+
+    chunks: int
+    generations: int
+    chars: int
+
+
+#: Where encoding is all that a worker does, and where other stages' workers share an executor.
+LARGE = Budget(600_000, 1, 2_000_000)
+SMALL = Budget(150_000, 2, 500_000)
 _ODD = re.compile(r"\s\s|[\x00-\x08\x0b-\x1f\x7f-\xa0]")
 _TAIL = ".,!?;:"
 _TOGETHER = 400
@@ -30,9 +44,10 @@ def _bytes(ids) -> bytes:
 class Encoder:
     """encode() gives the ids of each text as bytes; ``size`` is the number of ids of the vocabulary."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, budget: Budget = LARGE):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.budget = budget
         self.whole = Tokenizer.from_file(path)
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
         names = self.whole.get_vocab(with_added_tokens=False)
@@ -50,7 +65,9 @@ class Encoder:
         for name, i in names.items():
             self.mark[i] = name.endswith("</w>") if self.word_ends else name.startswith("Ġ")
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.old_stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -87,11 +104,16 @@ class Encoder:
             else:
                 rest.append(c)
         lower = [s.lower() for s in stems] if self.word_ends else stems
-        new = set(lower).difference(self.stems)
-        if len(self.stems) + len(new) > CACHE:
-            self.stems, new = {}, set(lower)
-        self.stems.update(self._plain(list(new)))
-        known = self.stems
+        known: dict[str, bytes] = {}
+        for s in set(lower):
+            ids = self.stems.get(s) or self.old_stems.get(s)
+            if ids:
+                known[s] = ids
+        known.update(self._plain(list(set(lower).difference(known))))
+        if len(self.stems) + len(known) > self.budget.chunks:
+            self.old_stems = self.stems if self.budget.generations > 1 else {}
+            self.stems = {}
+        self.stems.update(known)
         for c, stem, key in zip(plain, stems, lower, strict=True):
             if len(c) == len(stem):
                 self.cache[c] = known[key]
@@ -117,10 +139,14 @@ class Encoder:
                 parts.append(("\n" + t).replace("\n", " \n").split(" ")[1:])
         every = set().union(*[p for p in parts if p is not None])
         new = every.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
+        if len(self.cache) + len(new) > self.budget.chunks:
+            self.old = self.cache if self.budget.generations > 1 else {}
             self.cache, new = {}, every
         if new:
-            self._learn(new)
+            old = self.old
+            again = {c: old[c] for c in new if c in old}
+            self.cache.update(again)
+            self._learn(new.difference(again))
         get, skip = self.cache.__getitem__, 0 if self.word_ends else 4
         return [
             self._whole(t) if p is None else b"".join(map(get, p))[skip:]
@@ -128,14 +154,14 @@ class Encoder:
         ]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, Budget], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, budget: Budget = LARGE) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, budget) not in _ENCODERS:
+        _ENCODERS[path, budget] = Encoder(path, budget)
+    return _ENCODERS[path, budget]
 
 
 def public(name: str) -> Callable[[], str]:
