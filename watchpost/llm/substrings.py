@@ -21,7 +21,10 @@ dealt to shards such that all equal strings of this length meet in one:
    key.
 3. Cores that occur once anywhere cannot lie in a repeated window.  Hashes of
    cores are counted (each task sends every hash once) and the repeated ones
-   marked in a bitmap.  Bitmaps have a fixed size; false marks only cost work.
+   marked in a bitmap.  Bitmaps have a fixed size; false marks only cost work:
+   where repeated cores outnumber the bits (beyond some ten gigabytes of text
+   with the default), most blocks go through the shuffles of step 4, about
+   ten times the input, and a larger ``_BITMAP`` pays.
 4. Of blocks with marked cores, all but the first of equal blocks (by 128 bits:
    64 of the core, 64 of the whole block) are repeats as a whole.  The first
    ones whose core also occurs in other blocks go with their bytes to the shard
@@ -46,6 +49,7 @@ result each of them gets; a null doc_id comes before all others.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +72,7 @@ _WINDOWS = 256
 #: Bytes whose anchors are found together; place and hash share 64 bits.
 _BUFFER, _PLACE = 1 << 17, 20
 #: Blocks of one core in one slice of a shard, and bytes of a slice, about.
-_HOT, _SLICE = 20_000, 6_000_000
+_HOT, _SLICE = 20_000, 2_000_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -205,7 +209,7 @@ def _bitmap(hashes: DataFrame, repeated: bool) -> bytes:
         if bits:
             yield pa.record_batch([
                 pa.array(list(bits), pa.int32()),
-                pa.array([np.packbits(b, bitorder="little").tobytes() for b in bits.values()], pa.binary()),
+                pa.array([zlib.compress(np.packbits(b, bitorder="little"), 1) for b in bits.values()], pa.binary()),
             ], ["slice", "bits"])
 
     rows = hashes.repartition(min(slices, partitions(hashes.sparkSession)), "slice").mapInArrow(
@@ -214,7 +218,7 @@ def _bitmap(hashes: DataFrame, repeated: bool) -> bytes:
     out = bytearray(1 << (_BITMAP - 3))
     each = len(out) // slices
     for r in rows:
-        out[r["slice"] * each:(r["slice"] + 1) * each] = r["bits"]
+        out[r["slice"] * each:(r["slice"] + 1) * each] = zlib.decompress(r["bits"])
     return bytes(out)
 
 
@@ -268,7 +272,7 @@ def _repeated_cores(docs: DataFrame, firsts, length: int) -> bytes:
             for data, ends, _ in _buffers(_firsts_only(batch, firsts.value)[1], length):
                 held.append(_blocks(np.frombuffer(data, np.uint8), ends, length)[0])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield from flush()
                     held, size = [], 0
         if held:
