@@ -1,7 +1,7 @@
 """Content-addressed WARC archive.
 
 An archive is two tables in one folder.  ``payloads`` stores the bytes of
-every distinct payload once under its SHA-256.  ``headers`` holds, for each
+every distinct payload once, deflated, under the SHA-256 of the payload.  ``headers`` holds, for each
 record, its exact WARC header (and for the HTTP block its HTTP header) with
 the digest of its payload.  Joining both gives back the original records byte
 by byte.  A payload of at least ``REVISIT_FROM`` bytes that comes again is
@@ -22,10 +22,13 @@ empty id, read back as null and sorts before others.
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchpost.llm.base import key_of
+from watchpost.llm.base import key_of, ship
 
 #: Payloads of fewer bytes are never revisited.
 REVISIT_FROM = 100
@@ -41,8 +44,17 @@ def _id(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
 
 
+def _deflate(payload: pd.Series) -> pd.Series:
+    return payload.map(zlib.compress)
+
+
+def _inflate(stored: pd.Series) -> pd.Series:
+    return stored.map(zlib.decompress, na_action="ignore")
+
+
 def write(pages: DataFrame, path: str) -> None:
     """Write one record per row of (page_id, url, html) to the archive at ``path``."""
+    ship(pages.sparkSession)
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     url = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
@@ -53,9 +65,11 @@ def write(pages: DataFrame, path: str) -> None:
     small = rows.select("page_id", "key", "url", "digest", "size")
     first = small.groupBy("digest").agg(F.min(F.struct("key", "url")).alias("owner"))
     owners = first.select("digest", F.col("owner.key").alias("key"), F.col("owner.url").alias("url"))
-    rows.join(owners, ["digest", "key", "url"], "left_semi").dropDuplicates(["digest"]).select(
-        "digest", "payload"
-    ).write.parquet(f"{path}/payloads")
+    # Payloads are shuffled deflated, and once: the owner is one row but for equal rows.
+    deflated = rows.select("digest", "key", "url", F.pandas_udf(_deflate, "binary")("payload").alias("stored"))
+    deflated.join(owners, ["digest", "key", "url"], "left_semi").dropDuplicates(["digest", "key", "url"]).select(
+        "digest", "stored"
+    ).write.option("compression", "none").parquet(f"{path}/payloads")
 
     at = small.join(first, "digest")
     is_first = (F.col("owner.key") == F.col("key")) & (F.col("owner.url") == F.col("url"))
@@ -91,14 +105,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     The join keeps every header; a payload that is missing, or whose bytes do
     not have the digest they are filed under, raises.
     """
+    ship(spark)
     headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("filed"), "payload")
+    payloads = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("filed"), "stored")
     sound = F.col("payload").isNotNull() & (F.sha2("payload", 256) == F.col("digest"))
     payload = F.when(sound, F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("payload missing or damaged: "), F.col("digest"))).cast("binary")
     )
     joined = headers.join(payloads, headers["digest"] == F.col("filed"), "left")
-    full = joined.select("header", "http", payload.alias("payload"))
+    inflated = joined.withColumn("payload", F.pandas_udf(_inflate, "binary")("stored"))
+    full = inflated.select("header", "http", payload.alias("payload"))
     revisit = F.decode("header", "UTF-8").contains(f"{_END}WARC-Type: revisit{_END}")
     body = F.when(revisit, F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
     end = F.encode(F.lit(_END + _END), "UTF-8")
