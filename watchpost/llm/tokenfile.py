@@ -124,8 +124,8 @@ def write(docs: DataFrame, path: str, vocabulary: Callable[[], str], end: int) -
             yield pa.RecordBatch.from_pylist([segments(shard, at, number, held, names, bits)], kinds)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = ["doc_id", "text"]
-    rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(
+    # Ranges are found from a sample of their keys at the driver: ids, not texts.
+    rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(
         run, _SCHEMA
     ).write.parquet(path)
 
