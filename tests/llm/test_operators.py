@@ -94,6 +94,19 @@ def test_lines_match_brute_force(spark):
     assert got[100][2] == "copied\narticle"
 
 
+def test_line_on_8_percent_of_a_large_site_goes_and_rare_lines_stay(spark):
+    """Of 500 pages: 40 with the first line (8%), 23 with the second (4.6%), 4 with the third."""
+    data = [
+        (i, "\n".join([*["Subscribe now"] * (i < 40), *["common phrase"] * (100 <= i < 123),
+                       *["rare phrase"] * (200 <= i < 204), f"own {i}"]), "big")
+        for i in range(500)
+    ]
+    got = by(lines.drop_boilerplate(spark.createDataFrame(data, "doc_id long, text string, source string")),
+             "doc_id", "__n_dropped", "text")
+    assert all(got[i] == (1, f"own {i}") for i in range(40))
+    assert all(got[i] == (0, t) for i, t, _ in data[40:])
+
+
 def test_lines_plan_is_native(documents):
     plan = lines.drop_boilerplate(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from watchpost.llm.base import stored
 
-#: Share of a site's pages above which a line is boilerplate, and pages it must stand in.
-MAX_RATIO, MIN_PAGES = 0.1, 5
+#: Share of a site's pages above which a line is boilerplate, and pages it must stand in (the README says why).
+MAX_RATIO, MIN_PAGES = 0.06, 5
 
 
 def _bare(line: Column) -> Column:
