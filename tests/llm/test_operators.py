@@ -107,6 +107,30 @@ def test_line_on_8_percent_of_a_large_site_goes_and_rare_lines_stay(spark):
     assert all(got[i] == (0, t) for i, t, _ in data[40:])
 
 
+def test_lines_by_the_host_of_a_url(spark):
+    urls = {
+        "https://www.Example.com/a?b=//no.org": "www.example.com", "http://u:p@example.com:8080#x": "example.com",
+        "//example.com./x": "example.com", "HTTP://EXAMPLE.COM": "example.com", "http://[::1]:80/": "[::1]",
+        "http://a_b.org?q=x@y": "a_b.org", "/relative//x.org": None, "mailto:a@b.org": None, "http:///x": None,
+        "": None, None: None,
+    }
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r["url"]: r["h"] for r in frame.select("url", lines.host(F.col("url")).alias("h")).collect()} == urls
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    docs = pages.select("page_id", "url", F.regexp_replace("html", ">", ">\n").alias("text"), F.lit("one").alias("source"))
+    from urllib.parse import urlsplit
+
+    data = [(r["page_id"], r["text"], urlsplit(r["url"]).hostname) for r in docs.collect()]
+    cut = lines.drop_boilerplate(docs, url="url", max_ratio=0.1)
+    assert cut.columns[:4] == docs.columns
+    got = by(cut, "page_id", "__n_lines", "__n_dropped", "text")
+    assert len({h for _, _, h in data}) > 20 and got == brute.lines(data)
+    assert got != brute.lines([(i, t, "one") for i, t, _ in data])
+    plan = cut._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_lines_plan_is_native(documents):
     plan = lines.drop_boilerplate(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -1,7 +1,7 @@
 """Line deduplication by site-relative frequency.
 
-For every site (the host of a page, the source of a document) and every line,
-the number of the site's pages that hold the line is divided by the number of
+For every site (the host of a page's url, the source of a document) and every
+line, the number of the site's pages that hold the line is divided by the number of
 the site's pages.  Lines whose share exceeds a ratio are boilerplate of that
 site and are dropped from all its pages.  Pages of a site with one and the
 same text are one page, else an article copied often would pass for
@@ -18,7 +18,9 @@ Defined cases: a null text stays null; lines are compared without the blanks
 around them, and blank lines are never counted or dropped; a null site is a
 site of its own; a line must stand in at least ``min_pages`` pages, so small
 sites lose nothing by chance; rows that repeat an id are pages like any other;
-an empty table stays empty.
+an empty table stays empty.  A host is compared in lower case, without user,
+port and a last dot; a url without a host (null, relative, of another kind)
+belongs to the null site.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ from watchpost.llm.base import stored
 #: Share of a site's pages above which a line is boilerplate, and pages it must stand in (the README says why).
 MAX_RATIO, MIN_PAGES = 0.06, 5
 
+#: An absolute or scheme-relative url up to its host: the scheme, a user, then a name or a bracketed address.
+_HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\s]*)"
+
 
 def _bare(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r"))
@@ -40,11 +45,21 @@ def _name(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
+def host(url: Column) -> Column:
+    """The host of a url, null where it has none."""
+    found = F.regexp_extract(url.cast("string"), _HOST, 1)
+    return F.nullif(F.lower(F.regexp_replace(found, r"\.$", "")), F.lit(""))
+
+
+def _site(docs: DataFrame, site: str, url: str | None) -> Column:
+    return docs[site].cast("string") if url is None else host(docs[url])
+
+
 def boilerplate(docs: DataFrame, site: str = "source", max_ratio: float = MAX_RATIO,
-                min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site, lines): the hashes of each site's boilerplate lines."""
+                min_pages: int = MIN_PAGES, url: str | None = None) -> DataFrame:
+    """(site, lines): the hashes of each site's boilerplate lines; see ``drop_boilerplate`` for the site."""
     pages = docs.where(F.col("text").isNotNull()).select(
-        F.col(site).cast("string").alias("site"), F.col("text").cast("string").alias("text")
+        _site(docs, site, url).alias("site"), F.col("text").cast("string").alias("text")
     )
     keyed = pages.select("site", _name(F.col("text")).alias("page"), "text")
     total = keyed.groupBy("site", "page").agg(F.lit(1).alias("one")).groupBy("site").agg(F.count("one").alias("pages"))
@@ -59,16 +74,17 @@ def boilerplate(docs: DataFrame, site: str = "source", max_ratio: float = MAX_RA
 
 
 def drop_boilerplate(docs: DataFrame, site: str = "source", max_ratio: float = MAX_RATIO,
-                     min_pages: int = MIN_PAGES) -> DataFrame:
+                     min_pages: int = MIN_PAGES, url: str | None = None) -> DataFrame:
     """The documents with their boilerplate lines cut from ``text``.
 
+    The site is the column ``site``, or the host of the column ``url`` if given.
     Adds ``__n_lines`` and ``__n_dropped`` (the lines that are not blank, and
     those of them dropped); a text without such lines stays as it is.
     """
-    found = stored(boilerplate(docs, site, max_ratio, min_pages), "boilerplate").withColumnsRenamed(
+    found = stored(boilerplate(docs, site, max_ratio, min_pages, url), "boilerplate").withColumnsRenamed(
         {"site": "__site", "lines": "__lines"}
     )
-    joined = docs.join(found, docs[site].cast("string").eqNullSafe(F.col("__site")), "left")
+    joined = docs.join(found, _site(docs, site, url).eqNullSafe(F.col("__site")), "left")
     split = F.split(F.col("text"), "\n")
     kept = F.filter(split, lambda x: (_bare(x) == "") | ~F.array_contains(F.col("__lines"), _name(_bare(x))))
     has = F.col("__lines").isNotNull()
