@@ -118,7 +118,9 @@ def test_lines_by_the_host_of_a_url(spark):
     assert {r["url"]: r["h"] for r in frame.select("url", lines.host(F.col("url")).alias("h")).collect()} == urls
 
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    docs = pages.select("page_id", "url", F.regexp_replace("html", ">", ">\n").alias("text"), F.lit("one").alias("source"))
+    docs = pages.select(
+        "page_id", "url", F.regexp_replace("html", ">", ">\n").alias("text"), F.lit("one").alias("source")
+    )
     from urllib.parse import urlsplit
 
     data = [(r["page_id"], r["text"], urlsplit(r["url"]).hostname) for r in docs.collect()]
@@ -404,6 +406,80 @@ def test_narrow_notice_is_not_the_wide_one(documents, empty, clashing):
     assert licenses.scan(empty).collect() == [] and licenses.scan(clashing).count() == 8
 
 
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_notices_with_any_verb():
+    scan = licenses.Scanner(licenses.TEMPLATES).scan
+    for text, labels in [
+        ("Released under the MIT License.", ["mit-notice"]), ("licensed under MIT license", ["mit-notice"]),
+        ("Distributed under the terms of the MIT License", ["mit-notice"]),
+        ("Released under the BSD 3-Clause License", ["bsd-notice"]),
+        ("Distributed under a license", []), ("Available under the 2-clause BSD license", ["bsd-notice"]),
+        ("Released under the Apache License, Version 2.0.", ["apache-2.0"]),
+        ("Distributed under the Apache License", ["apache-notice"]),
+        ("Licensed under the Mozilla Public License, v. 2.0", ["mpl-notice"]),
+        ("This work is released under CC BY 4.0", ["cc-by", "cc-by-notice"]),
+        ("Released under the GNU General Public License, version 3.", ["gpl", "gpl-notice"]),
+        ("Sued under the MIT License.", []), ("Released under the MTI License.", []),
+    ]:
+        got = scan(text)
+        assert got["labels"] == labels, text
+        assert (got["score"] > 0.5) == bool(labels), text
+
+
+def test_every_license_line_of_the_table_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = licenses.scan(docs.where(F.col("text").contains("Released under the MIT License.")))
+    labels = [r["labels"] for r in got.collect()]
+    assert len(labels) == 10 and all("mit-notice" in x for x in labels)
+
+
+@pytest.mark.parametrize(("label", "text"), [("mit", _MIT), ("bsd", _BSD)])
+def test_a_license_needs_its_whole_mandatory_wording(label, text):
+    scan = licenses.Scanner(licenses.TEMPLATES).scan
+    assert scan(text)["labels"] == [label] and scan(text)["score"] == 1.0
+    assert scan(text.split("\n\n")[0])["labels"] == [f"{label}-opening"]
+    last = text.rfind(" ")
+    for other in (text[:last], text.replace("LIABLE FOR ANY", "LIABLE FOR NO"), text.replace('"AS IS"', ""),
+                  text.replace("above copyright", "above")):
+        assert other != text and scan(other)["labels"] == [f"{label}-opening"]
+
+
+def test_bsd_with_two_clauses_and_holders_of_its_own():
+    two = "".join(x for x in _BSD.split("3. Neither")[0]) + "\n" + _BSD[_BSD.index("THIS SOFTWARE IS"):]
+    two = two.replace("1. ", "* ").replace("2. ", "* ").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "Jane Doe")
+    assert licenses.Scanner(licenses.TEMPLATES).scan(two)["labels"] == ["bsd"]
+
+
 # 9 Merkle trees
 
 def test_merkle_matches_brute_force(documents):

@@ -6,7 +6,11 @@ out, and ``<<var;match=M>>`` stands for replaceable words, as many as M says
 (``one``, ``some``: 1 to 20, ``any``: 0 to 20).  Each template is compiled to
 an automaton over word tokens; it accepts a run of words if all mandatory
 wording stands there exactly, in order, with nothing else between but what the
-regions allow.  Runs may begin anywhere in a text.
+regions allow.  Runs may begin anywhere in a text.  Notices are written with
+the verb ``licensed``, which stands for any of ``VERBS``.
+
+Wording that opens a license or header without the rest of its mandatory
+wording is labelled as an opening, not as that license.
 
 Of accepted runs within one another only the longest counts.
 
@@ -39,9 +43,33 @@ PHRASES = (
     ("all rights reserved", "reserved"),
 )
 
-#: Templates by label.  Wording from the licenses' own notices.
+#: The verb of a template's notice, and those that may stand in its place.
+_VERB = b"licensed"
+VERBS = frozenset((
+    _VERB, b"released", b"distributed", b"redistributed", b"published", b"provided", b"available", b"offered",
+    b"issued", b"covered",
+))
+
+_TERMS = "<<beginOptional>>the<<endOptional>> <<beginOptional>>terms of the<<endOptional>>"
+_VERSION = ("<<beginOptional>>version <<var;match=version>><<endOptional>> "
+            "<<beginOptional>>v <<var;match=version>><<endOptional>>")
+_CLAUSES = "<<beginOptional>><<var;match=one>> clause<<endOptional>>"
+_MIT_OPENING = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+    "associated documentation files the software to deal in the software without restriction including "
+    "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
+    "of the software and to permit persons to whom the software is furnished to do so"
+)
+_BSD_OPENING = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided "
+    "that the following conditions are met"
+)
+
+#: Templates by label.  Wording from the licenses' own texts and notices.
 TEMPLATES = {
-    "apache-2.0": "licensed under the apache license version 2 0",
+    "apache-2.0": f"licensed under {_TERMS} apache license <<beginOptional>>version<<endOptional>> "
+                  "<<beginOptional>>v<<endOptional>> 2 0",
+    "apache-notice": f"licensed under {_TERMS} apache license",
     "cc-by-notice": "<<beginOptional>>this work is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> "
                     "cc by <<beginOptional>><<var;match=version>><<endOptional>>",
     "cc-by-nc": "licensed under <<beginOptional>>a<<endOptional>> cc by nc "
@@ -56,19 +84,44 @@ TEMPLATES = {
                 "<<beginOptional>><<var;match=version>><<endOptional>>",
     "cc0": "<<beginOptional>>licensed under<<endOptional>> cc0 <<beginOptional>>1 0<<endOptional>> "
            "<<beginOptional>>universal<<endOptional>>",
-    "gpl-notice": "licensed under the gnu <<beginOptional>>lesser<<endOptional>> "
+    "gpl-notice": f"licensed under {_TERMS} gnu <<beginOptional>>lesser<<endOptional>> "
                   "<<beginOptional>>affero<<endOptional>> general public license "
-                  "<<beginOptional>>version <<var;match=version>><<endOptional>>",
+                  f"{_VERSION}",
     "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the "
                   "gnu general public license as published by the free software foundation either version "
                   "<<var;match=version>> of the license or at your option any later version",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-           "associated documentation files the software to deal in the software without restriction including "
-           "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
-           "of the software and to permit persons to whom the software is furnished to do so "
-           "<<beginOptional>>subject to the following conditions<<endOptional>>",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided "
-           "that the following conditions are met",
+    "mit-notice": f"licensed under {_TERMS} mit <<beginOptional>>expat<<endOptional>> license",
+    "mit": f"{_MIT_OPENING} subject to the following conditions the above copyright notice and this permission notice "
+           "<<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or "
+           "substantial portions of the software the software is provided as is without warranty of any kind express "
+           "or implied including but not limited to the warranties of merchantability fitness for a particular "
+           "purpose and noninfringement in no event shall <<var;match=some>> be liable for any claim damages or other "
+           "liability whether in an action of contract tort or otherwise arising from out of or in connection with "
+           "the software or the use or other dealings in the software",
+    "mit-opening": f"{_MIT_OPENING} <<beginOptional>>subject to the following conditions<<endOptional>>",
+    "bsd-notice": f"licensed under {_TERMS} {_CLAUSES} <<beginOptional>>new<<endOptional>> "
+                  "<<beginOptional>>modified<<endOptional>> <<beginOptional>>revised<<endOptional>> "
+                  f"<<beginOptional>>simplified<<endOptional>> bsd {_CLAUSES} license",
+    "bsd": f"{_BSD_OPENING} <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above "
+           "copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> "
+           "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+           "following disclaimer in the documentation and or other materials provided with the distribution "
+           "<<beginOptional>>3<<endOptional>> <<beginOptional>>neither the name of <<var;match=some>> nor the names of "
+           "<<var;match=some>> may be used to endorse or promote products derived from "
+           "this software without specific prior written permission<<endOptional>> this software is provided by "
+           "<<var;match=some>> as is and any express or implied warranties including but not limited to the implied "
+           "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+           "<<var;match=some>> be liable for any direct indirect incidental special exemplary or consequential damages "
+           "including but not limited to procurement of substitute goods or services loss of use data or profits or "
+           "business interruption however caused and on any theory of liability whether in contract strict liability "
+           "or tort including negligence or otherwise arising in any way out of the use of this software even if "
+           "advised of the possibility of such damage",
+    "bsd-opening": _BSD_OPENING,
+    "mpl-notice": f"licensed under {_TERMS} mozilla public license {_VERSION} "
+                  "<<beginOptional>>2 0<<endOptional>>",
+    "mpl-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the "
+                  "mpl was not distributed with this file you can obtain one at <<beginOptional>>http<<endOptional>> "
+                  "<<beginOptional>>https<<endOptional>> <<beginOptional>>www<<endOptional>> mozilla org mpl 2 0",
     "copyright-reserved": "copyright <<beginOptional>>c<<endOptional>> <<var;match=some>> all rights reserved",
 }
 
@@ -111,9 +164,9 @@ class Automaton:
         out = set()
         for s in self.closure({0}):
             for what, _ in self.reads[s]:
-                if not isinstance(what, bytes):
+                if not isinstance(what, frozenset):
                     raise ValueError(f"{self.label}: begins with a replaceable region")
-                out.add(what)
+                out |= what
         return out
 
     def match(self, text: list[bytes], at: int) -> int:
@@ -127,7 +180,7 @@ class Automaton:
             word = text[at]
             states = self.closure({
                 to for s in states for what, to in self.reads[s]
-                if what is None or (what == word if isinstance(what, bytes) else what.fullmatch(word))
+                if what is None or (word in what if isinstance(what, frozenset) else what.fullmatch(word))
             })
             at += 1
         return end
@@ -142,7 +195,7 @@ def compile_template(label: str, template: str) -> Automaton:
         nonlocal now
         for w in words(part):
             nxt = auto.state()
-            auto.reads[now].append((w, nxt))
+            auto.reads[now].append((VERBS if w == _VERB else frozenset((w,)), nxt))
             now = nxt
             auto.mandatory += not opened
 
