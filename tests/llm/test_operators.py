@@ -571,6 +571,45 @@ def test_plan_equals_item_by_item_best_fit():
     assert len({s + k // e for _, _, m, s, e, _ in runs for k in range(m)}) == len(free)
 
 
+@pytest.mark.parametrize("weights", [(1.0, 1.0, 1.0), (1.0, 0.25, 0.5)])
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_plan_equals_item_by_item_vector_best_fit(rule, weights):
+    """Capacities are powers of two, so that shares and their squares are exact."""
+    caps = (64, 8, 64 * 64)
+    sizes = np.random.default_rng(11).integers(1, 65, 700).tolist() + [3] * 90
+    free: list[tuple[int, int, int]] = []
+
+    def value(f, item):
+        pairs = [(x / c, y / c) for x, y, c in zip(f, item, caps, strict=True)]
+        each = [(x - y) ** 2 if rule == "norm" else -x * y for x, y in pairs]
+        return sum(w * e for w, e in zip(weights, each, strict=True))
+
+    for n in sorted(sizes, reverse=True):
+        item = (n, 1, n * n)
+        able = [f for f in free if all(x >= y for x, y in zip(f, item, strict=True))]
+        best = min(able, key=lambda f: (value(f, item), f)) if able else caps
+        if able:
+            free.remove(best)
+        free.append(tuple(x - y for x, y in zip(best, item, strict=True)))
+    bins: dict[int, tuple[int, int, int]] = {}
+    for n, _, items, seq, each, _ in bestfit.plan(dict(Counter(sizes)), *caps, rule, weights):
+        for k in range(items):
+            f = bins.get(seq + k // each, caps)
+            bins[seq + k // each] = (f[0] - n, f[1] - 1, f[2] - n * n)
+    assert sorted(bins.values()) == sorted(free)
+
+
+def test_packing_weighs_documents_and_cost(spark):
+    """The piece of 10 leaves fewer tokens free beside 41 and 40, but less of all three beside 80."""
+    found = spark.createDataFrame(
+        [(i, n, 0, 0) for i, n in enumerate((80, 41, 40, 10))], "doc_id long, length long, part int, rank long")
+    assert by(bestfit.pack(found, 100), "doc_id", "sequence_id", "offset") == {
+        0: (0, 0), 1: (1, 0), 2: (1, 41), 3: (0, 80)}
+    assert by(bestfit.pack(found, 100, weights=(1.0, 0.0, 0.0)), "doc_id", "sequence_id")[3] == (1,)
+    with pytest.raises(ValueError):
+        bestfit.plan({1: 1}, 100, 100, 10_000, weights=(1.0, -1.0, 0.0))
+
+
 def test_packing_odd_tables(empty, clashing):
     assert bestfit.pack_documents(empty, WORD, 0).collect() == []
     got = bestfit.pack_documents(clashing, WORD, 0, with_ids=True).collect()

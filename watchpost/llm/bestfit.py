@@ -5,7 +5,8 @@ capacity in each.  Items are placed in falling order of length.  Of the open
 sequences that can take an item under every constraint the one with the
 smallest residual after it is chosen: the weighted norm of what stays free
 (rule ``norm``), or the largest weighted dot product of item and free capacity
-(rule ``dot``).  The attention cost of an item is the square of its length, as
+(rule ``dot``), each as shares of the capacities; of equal ones the one with
+the least free.  The attention cost of an item is the square of its length, as
 the documents of a sequence do not attend to each other.
 
 Items of one length are alike, so best-fit needs only their number: the driver
@@ -35,6 +36,9 @@ from pyspark.sql import functions as F
 from watchpost.llm.base import ship, stored
 from watchpost.llm.tokens import LARGE, Budget, encoder
 
+#: Weights of the residual tokens, documents and attention cost.
+WEIGHTS = (1.0, 1.0, 1.0)
+
 
 def pieces(docs: DataFrame, vocabulary: Callable[[], str], end: int, capacity: int,
            with_ids: bool = False, keep: tuple[str, ...] = (), budget: Budget = LARGE) -> DataFrame:
@@ -97,16 +101,23 @@ def pieces(docs: DataFrame, vocabulary: Callable[[], str], end: int, capacity: i
     )
 
 
+def score(free: np.ndarray, item: np.ndarray, rule: str, weights: tuple[float, float, float]) -> np.ndarray:
+    """The number by which an item's sequence is chosen, the smallest first; a row of shares for each."""
+    each = (free - item) ** 2 if rule == "norm" else -free * item
+    return each[:, 0] * weights[0] + each[:, 1] * weights[1] + each[:, 2] * weights[2]
+
+
 def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, rule: str = "norm",
          weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit over lengths with their counts.
+    """Best-fit over lengths with their counts; the default weights are those of scalar best-fit.
 
     Returns runs (length, first rank, items, first sequence, items a sequence,
     offset): the items of this length from the first rank on are dealt to
     successive sequences, so many to each, from the offset on.
     """
     full = np.array([capacity, max_docs, max_cost], np.float64)
-    w = np.array(weights, np.float64)
+    if min(weights) < 0:
+        raise ValueError("weights must not be negative")
     runs: list[tuple[int, int, int, int, int, int]] = []
     # Classes of open sequences: free vector -> [(first sequence, how many)].
     open_: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
@@ -123,12 +134,8 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, ru
         while left:
             able = [f for f in open_ if fits(f, n)]
             if able:
-                free = np.array(able, np.float64) / full
-                item = np.array([n, 1, n * n]) / full
-                if rule == "norm":
-                    best = able[int(np.argmin(((free - item) ** 2) @ w))]
-                else:
-                    best = able[int(np.argmax((free * item) @ w))]
+                value = score(np.array(able, np.float64) / full, np.array([n, 1, n * n]) / full, rule, weights)
+                best = min(able[i] for i in np.flatnonzero(value == value.min()))
                 first, many = open_[best].pop()
                 if not open_[best]:
                     del open_[best]
@@ -136,9 +143,11 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, ru
                 best, first = (capacity, max_docs, max_cost), sequences
                 many = -(-left // fits(best, n))
                 sequences += many
-            # Best-fit goes on with a sequence while it takes items of this
-            # length: after one item it is the tightest of its class.
-            each = fits(best, n)
+            # An item lowers every part of what its sequence has free. So by
+            # the norm best-fit goes on with that sequence while it takes items
+            # of this length, and by the dot product with an untouched one of
+            # its class. A new one is the only one that takes them.
+            each = 1 if able and rule == "dot" else fits(best, n)
             used = min(many, left // each)
             offset = capacity - best[0]
             parts = [(used, each)] if used else []
@@ -157,7 +166,7 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, ru
 
 
 def pack(found: DataFrame, capacity: int, max_docs: int | None = None, max_cost: int | None = None,
-         rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> DataFrame:
+         rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """Pieces (see ``pieces``, as a stored table) with sequence_id and offset in place of part and rank.
 
     The defaults of ``max_docs`` and ``max_cost`` never bind before the tokens do.
