@@ -500,6 +500,59 @@ def test_merkle_locates_edits(spark):
     assert got["e"] == [1]
 
 
+def _blocks(text):
+    return [[[p[i:i + 32] for i in range(0, max(len(p), 1), 32)] for p in s.split("\n")] for s in text.split("\n\n")]
+
+
+def _edited(a, b, at=()):
+    """The places of a's blocks that differ from b, by the rule of merkle.edited_blocks, over nested lists."""
+    if isinstance(a, str):
+        return [at]
+    b = b if isinstance(b, list) else []
+    front = 0
+    while front < min(len(a), len(b)) and a[front] == b[front]:
+        front += 1
+    back = 0
+    while back < min(len(a), len(b)) - front and a[-1 - back] == b[-1 - back]:
+        back += 1
+    out = []
+    for i in range(front, len(a) - back):
+        other = b[i] if i < len(b) - back else None
+        if other is None or a[i] != other:
+            out += _edited(a[i], other, (*at, i))
+    return out
+
+
+def test_merkle_locates_sections_paragraphs_and_blocks(spark):
+    long_ = "".join(f"{i:08d}" for i in range(20))
+    a = f"one\n\ntwo\n{long_}\nend\n\nthree"
+    cases = {
+        a.replace("00000005", "0000000x"): ([(1, 1, 1)], [(1, 1, 1)], [1]),
+        "new\n\n" + a: ([], [(0, 0, 0)], [0]),
+        a.replace("two\n", ""): ([(1, 0, 0)], [], [1]),
+        a: ([], [], []),
+        a + "\n\nx\ny": ([], [(3, 0, 0), (3, 1, 0)], [3]),
+        "": (None, [(0, 0, 0)], [0]),
+    }
+    frame = spark.createDataFrame([(a, b) for b in cases], "a string, b string")
+    x, y = merkle.tree(F.col("a")), merkle.tree(F.col("b"))
+    got = frame.select("b", merkle.edits(y, x).alias("s"), merkle.edited_blocks(x, y).alias("gone"),
+                       merkle.edited_blocks(y, x).alias("new")).collect()
+    for r in got:
+        gone, new, sections = cases[r["b"]]
+        assert gone is None or [tuple(p) for p in r["gone"]] == gone, r["b"]
+        assert [tuple(p) for p in r["new"]] == new and r["s"] == sections, r["b"]
+
+
+def test_merkle_edits_of_documents(documents):
+    got = by(merkle.compared(documents), "doc_id", "edited_blocks", "new_blocks")
+    own = {d: t or "" for d, t in rows()}
+    for d, (_, _, text, _) in brute.edited(rows()).items():
+        a, b = _blocks(own[d]), _blocks(text)
+        assert [[tuple(p) for p in x] for x in got[d]] == [_edited(a, b), _edited(b, a)], d
+        assert any(got[d]) == (own[d] != text)
+
+
 def test_merkle_odd_tables(empty, clashing, spark):
     assert merkle.compared(empty).collect() == []
     got = merkle.compared(clashing).collect()

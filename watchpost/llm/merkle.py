@@ -6,7 +6,10 @@ block's digest is the SHA-256 of its text; the digest of a paragraph, section
 or document is the SHA-256 of its children's digests in order, with a letter
 for the level before them.  Separators are fixed, so two texts have one root
 exactly if they are equal.  Where roots differ, the differing sections,
-paragraphs and blocks locate the edit.
+paragraphs and blocks locate the edit: at each level equal nodes at the front
+and at the back are set aside, the nodes between are compared one by one, and
+the search goes down into those that differ.  What one tree has and the other
+lacks at all differs with all its blocks.
 
 The likeness of two trees is the Dice coefficient of their distinct block
 digests: twice the common ones by the sum of both.
@@ -21,6 +24,8 @@ document is its own next one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,15 +71,78 @@ def likeness(a: Column, b: Column) -> Column:
     return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
 
 
-def edits(a: Column, b: Column) -> Column:
-    """Numbers of the sections of the first tree that have no equal section at that place in the second."""
-    x, y = section_digests(a), section_digests(b)
-    return F.filter(
-        F.sequence(F.lit(0), F.size(x) - 1),
-        lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i)),
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _differing(x: Column, y: Column, found: Callable[[Column, Column], Column]) -> Column:
+    """Of the nodes ``i`` of x that differ, ``found(i, paired)``; if not paired, y has nothing in that place."""
+
+    def first(least: Column, same: Callable[[Column], Column]) -> Column:
+        return F.array_min(F.filter(F.sequence(F.lit(0), least), lambda i: (i == least) | ~same(i)))
+
+    def between(front: Column, back: Column) -> Column:
+        end, last = F.size(x) - back, F.size(y) - back
+        every = F.when(end > front, F.sequence(front, end - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            F.filter(every, lambda i: (i >= last) | (F.get(x, i) != F.get(y, i))), lambda i: found(i, i < last)
+        )
+
+    least = F.least(F.size(x), F.size(y))
+    return _let(
+        first(least, lambda i: F.get(x, i) == F.get(y, i)),
+        lambda front: _let(
+            first(least - front, lambda i: F.get(x, F.size(x) - 1 - i) == F.get(y, F.size(y) - 1 - i)),
+            lambda back: between(front, back),
+        ),
+    )
+
+
+def _paired(a: Column, b: Column, digests: Callable[[Column], Column],
+            found: Callable[[Column, Column], Column]) -> Column:
+    """``_differing`` by the digests of the nodes of a and b, computed once."""
+    return _let(
+        F.struct(digests(a).alias("x"), digests(b).alias("y")),
+        lambda s: _differing(s["x"], s["y"], found),
     )
 
 
+def _paragraph_digests(section: Column) -> Column:
+    return F.transform(section, lambda p: _digest("p", p))
+
+
+def _partner(nodes: Column, i: Column, paired: Column, kind: str) -> Column:
+    return F.when(paired, F.get(nodes, i)).otherwise(F.array().cast(kind))
+
+
+def edits(a: Column, b: Column) -> Column:
+    """Numbers of the sections of the first tree that differ from the second."""
+    return _paired(a, b, section_digests, lambda i, paired: i)
+
+
+def edited_blocks(a: Column, b: Column) -> Column:
+    """(section, paragraph, block): numbers of the blocks of the first tree that differ from the second.
+
+    Empty if the second has all that the first has, and more; what it has
+    more is found with the trees exchanged.
+    """
+
+    def in_paragraph(i: Column, j: Column, p: Column, q: Column) -> Column:
+        return _differing(p, q, lambda k, paired: F.struct(i.alias("section"), j.alias("paragraph"), k.alias("block")))
+
+    def in_section(i: Column, s: Column, t: Column) -> Column:
+        return F.flatten(_paired(s, t, _paragraph_digests, lambda j, paired: _let(
+            F.struct(F.get(s, j).alias("p"), _partner(t, j, paired, "array<string>").alias("q")),
+            lambda pq: in_paragraph(i, j, pq["p"], pq["q"]),
+        )))
+
+    return F.flatten(_paired(a, b, section_digests, lambda i, paired: _let(
+        F.struct(F.get(a, i).alias("s"), _partner(b, i, paired, "array<array<string>>").alias("t")),
+        lambda st: in_section(i, st["s"], st["t"]),
+    )))
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """(key, tie, n_chars, twin, pos): every row's place in falling order of doc_id.
 
@@ -142,10 +210,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_sections.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited and new blocks.
 
-    ``edited_sections`` are the numbers of the sections whose branches differ
-    between a document and its edited text.
+    ``edited_sections`` are the numbers of a document's sections that differ
+    from its edited text, ``edited_blocks`` those of the sections, paragraphs
+    and blocks; ``new_blocks`` are the blocks of the edited text that differ
+    from the document.
     """
     rows = with_next(docs).withColumns({"nodes": tree(F.col("text")), "edited_nodes": tree(F.col("edited"))})
     own = rows.withColumns({"own": leaves(F.col("nodes")), "other": leaves(F.col("edited_nodes"))})
@@ -155,4 +225,6 @@ def compared(docs: DataFrame) -> DataFrame:
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_leaves")).alias("near_next"),
         edits(F.col("nodes"), F.col("edited_nodes")).alias("edited_sections"),
+        edited_blocks(F.col("nodes"), F.col("edited_nodes")).alias("edited_blocks"),
+        edited_blocks(F.col("edited_nodes"), F.col("nodes")).alias("new_blocks"),
     )

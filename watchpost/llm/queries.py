@@ -21,6 +21,11 @@ def _joined(column: str) -> Column:
     return F.array_join(F.array_sort(F.transform(column, lambda x: x.cast("string"))), ",")
 
 
+def _places(column: str) -> Column:
+    """Blocks as text: section.paragraph.block, one after another."""
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(".", x["section"], x["paragraph"], x["block"])), ",")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -78,7 +83,16 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.compared(table(spark, sf_dir, "documents")).drop("edited_sections")
+    found = merkle.compared(table(spark, sf_dir, "documents"))
+    return found.drop("edited_sections", "edited_blocks", "new_blocks")
+
+
+def op9_merkle_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.compared(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "fingerprint", "edited_fingerprint", _places("edited_blocks").alias("edited_blocks"),
+        _places("new_blocks").alias("new_blocks"),
+    )
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: _shipped(fn)
     for fn in (
         op1_simhash, op2_line_dedup, op3_decontaminate, op4_suffix_array, op5_warc, op6_quality, op7_token_file,
-        op8_licenses, op9_merkle, op10_best_fit, pipeline,
+        op8_licenses, op9_merkle, op9_merkle_edits, op10_best_fit, pipeline,
     )
 }
 
