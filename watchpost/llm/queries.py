@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchpost.llm import (
-    bestfit, decontaminate, licenses, lines, merkle, quality, simhash, substrings, tokenfile, tokens, warc,
+    bestfit, decontaminate, licenses, lines, merkle, phrases, quality, simhash, substrings, tokenfile, tokens, warc,
 )
 from watchpost.llm.base import scratch, ship, table
 
@@ -100,6 +100,10 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,7 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: _shipped(fn)
     for fn in (
         op1_simhash, op2_line_dedup, op3_decontaminate, op4_suffix_array, op5_warc, op6_quality, op7_token_file,
-        op8_licenses, op9_merkle, op9_merkle_edits, op10_best_fit, pipeline,
+        op8_licenses, op9_merkle, op9_merkle_edits, op10_best_fit, op11_collocations, pipeline,
     )
 }
 
@@ -263,4 +267,37 @@ ORACLE: dict[str, str] = {
             {_sql_root("text")} AS fingerprint, {_sql_root("edited")} AS edited_fingerprint,
             {_sql_likeness("a", "b")} AS near_edited, {_sql_likeness("a", "c")} AS near_next
         FROM f""",
+    "op11_collocations": r"""
+        WITH piece AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        own AS (
+            SELECT lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') AS w FROM piece),
+        gram AS (
+            SELECT lang, size, phrase, count(*) AS f FROM (
+                SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (
+                    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+                    FROM own, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size))
+            GROUP BY ALL),
+        total AS (SELECT lang, sum(f) AS n FROM gram WHERE size = 1 GROUP BY lang),
+        candidate AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM gram
+            WHERE size >= 2 AND f >= 10),
+        cut AS (
+            SELECT c.lang, c.phrase, c.size, c.a, k, x.f AS l, y.f AS r,
+                1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS score
+            FROM (SELECT *, unnest(range(1, size)) AS k FROM candidate) c
+            JOIN gram x ON x.lang = c.lang AND x.size = k AND x.phrase = array_to_string(w[1:k], ' ')
+            JOIN gram y ON y.lang = c.lang AND y.size = c.size - k AND y.phrase = array_to_string(w[k + 1:], ' ')),
+        best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (
+            SELECT lang, phrase, max(a) AS longest FROM (
+                SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+                FROM candidate WHERE size = 3) GROUP BY ALL),
+        ranked AS (
+            SELECT b.lang, b.phrase, b.a, b.l, b.r, n, b.score, row_number() OVER (
+                PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+            FROM best b JOIN total USING (lang) LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+            WHERE longest IS NULL OR 100 * longest < 50 * b.a)
+        SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }
