@@ -10,9 +10,10 @@ exactly one window.
 
 A prefix met fewer than ``least`` times cannot hold a candidate or a part of
 one, so its windows go into the ROLLUP under the next shorter prefix; all
-counts that are used stay exact.  Prefixes of hot words only (each at least
-1/``_HOT`` of all words, so at most ``_HOT`` of them) are dealt by their last
-word too, so a common pair does not gather its followers in one task.
+counts that are used stay exact.  Where all words of a prefix are hot (each
+half a task's even share of all words, so twice as many as tasks at most) its
+windows are dealt by their last word too, so a common pair does not gather its
+followers in one task.
 
 Defined cases: a null text is empty, a text without words counts nothing;
 a null lang counts as ``und``, together with rows of that name; a phrase never
@@ -24,18 +25,28 @@ must stay below 10^16 (38 decimal digits hold the exact products).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchpost.llm.base import partitions, ship, stored
 
-#: A word is hot from this share of all words on: one in so many.
-_HOT = 2000
+#: Bytes of a word that can count as hot, which bounds the list of hot words.
+_SHORT = 64
 #: Words whose windows are counted together.
-_STEP = 1_000_000
+_STEP = 4_000_000
+#: Bytes of texts gathered before their windows are counted.
+_BYTES = 16_000_000
+#: Sorted windows added up together.
+_TOGETHER = 1_500_000
+#: Documents whose words tell which are hot.  This sample steers how windows are dealt, no count.
+_SAMPLE = 20_000
+#: How a lang is written in keys, whose parts are set apart by blanks.
+_ESCAPES = (("%", "%25"), (" ", "%20"))
 _PIECE = b".,;:!?\n\x0b\x0c\r"
 _BLANK = b" \t"
 
@@ -74,9 +85,8 @@ def _codes(columns: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _windows(batch: pa.RecordBatch, order: int) -> Iterator[pa.RecordBatch]:
-    """(lang, w1 .. w``order``, c): how often each padded window occurs in a batch."""
-    names = ["lang", *[f"w{i + 1}" for i in range(order)], "c"]
+def _windows(batch: pa.RecordBatch, order: int) -> Iterator[tuple[list[pa.Array], pa.Array, np.ndarray]]:
+    """The word columns w1 .. w``order`` of a batch's distinct padded windows, their lang, and how often each occurs."""
     words, piece, row = _words(batch)
     lang = batch.column(0).dictionary_encode()
     of_row = lang.indices.to_numpy()
@@ -94,24 +104,96 @@ def _windows(batch: pa.RecordBatch, order: int) -> Iterator[pa.RecordBatch]:
         _, first, count = np.unique(
             _codes([of_row[row[at:at + n]], *columns]), return_index=True, return_counts=True
         )
-        out = [lang.dictionary.take(pa.array(of_row[row[at + first]]))]
+        out = []
         for lead in columns:
             got = lead[first]
             out.append(held.dictionary.take(pa.array(got, mask=got == pad)))
-        yield pa.record_batch([*out, pa.array(count.astype(np.int64))], names)
+        yield out, lang.dictionary.take(pa.array(of_row[row[at + first]])), count.astype(np.int64)
 
 
-def _hashes(frame: DataFrame) -> list[int]:
-    """Hashes of the hot words, at most ``_HOT`` of them."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= _BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(len(b) for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _frequent(frame: DataFrame, parts: int) -> list[tuple[str, str]]:
+    """(lang, word) of each word that makes up one of ``parts`` parts of a sample's words, so of ``parts`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _windows(batch, 1)
+        for batch in _gathered(batches):
+            for (word,), lang, count in _windows(batch, 1):
+                yield pa.record_batch([lang, word, pa.array(count)], ["lang", "w", "c"])
 
-    count = frame.mapInArrow(run, "lang string, w1 string, c long").groupBy("lang", "w1").agg(F.sum("c").alias("f"))
-    count = stored(count.select(F.xxhash64("lang", "w1").alias("h"), "f"), "phrase-words")
+    some = frame.sample(fraction=min(1.0, _SAMPLE / max(1, frame.count())), seed=11)
+    count = some.mapInArrow(run, "lang string, w string, c long").groupBy("lang", "w").agg(F.sum("c").alias("f"))
+    count = stored(count, "phrase-words")
     total = count.agg(F.sum("f")).first()[0] or 0
-    return [h for (h,) in count.where(F.col("f") * _HOT >= F.lit(total)).select("h").collect()]
+    often = count.where((F.col("f") * parts >= F.lit(total)) & (F.octet_length("w") <= _SHORT))
+    return [(lang, w) for lang, w in often.select("lang", "w").collect()]
+
+
+def _salts(columns: list[pa.Array], lang: pa.Array, hot: dict[str, pa.Array], spread: int) -> pa.Array:
+    """Text that deals out the windows of hot prefixes by their last word, empty elsewhere."""
+    every = np.zeros(len(lang), bool)
+    for name, words in hot.items():
+        own = pc.equal(lang, name)
+        for column in columns[:-1]:
+            own = pc.and_(own, pc.is_in(column, value_set=words))
+        every |= own.to_numpy(zero_copy_only=False)
+    salt = np.full(len(lang), -1, np.int64)
+    at = np.flatnonzero(every)
+    last = columns[-1].take(pa.array(at)).dictionary_encode()
+    crc = np.fromiter((crc32(w.encode()) % spread for w in last.dictionary.to_pylist()), np.int64, len(last.dictionary))
+    salt[at] = np.append(crc, 0)[last.indices.fill_null(len(crc)).to_numpy()]
+    names = pa.array([*map(str, range(spread)), ""])
+    return names.take(pa.array(np.where(salt < 0, spread, salt)))
+
+
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(key, w, f) of rows (key, w, c, h) sorted by a hash of the key: the sum of each key (w null) and of each
+    frequent whole window.
+
+    Of a key met fewer than ``least`` times the prefix loses its last word;
+    one with a salt may be met in other tasks too and stays.
+    """
+    names = ["key", "w", "f"]
+
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        whole = rows.filter((pc.field("c") >= least) & pc.field("w").is_valid())
+        yield from whole.select(["key", "w", "c"]).rename_columns(names).combine_chunks().to_batches()
+        total = rows.group_by("key").aggregate([("c", "sum")])
+        rare = total.filter((pc.field("c_sum") < least) & pc.starts_with(pc.field("key"), " "))
+        cut = pc.list_element(pc.split_pattern(rare.column("key"), " ", max_splits=1, reverse=True), 0)
+        short = pa.table([pc.binary_join_element_wise(cut, "", " "), rare.column("c_sum")], ["key", "c_sum"])
+        rest = total.filter((pc.field("c_sum") >= least) | ~pc.starts_with(pc.field("key"), " ")).select(["key", "c_sum"])
+        for part in (short.group_by("key").aggregate([("c_sum", "sum")]), rest):
+            part = part.combine_chunks()
+            yield from pa.table(
+                [part.column("key"), pa.nulls(len(part), pa.string()), part.columns[1 - part.column_names.index("key")]],
+                names,
+            ).to_batches()
+
+    held: list[pa.RecordBatch] = []
+    least_rows = _TOGETHER
+    for batch in batches:
+        held.append(batch)
+        if sum(len(b) for b in held) >= least_rows:
+            rows = pa.Table.from_batches(held).group_by(["key", "w", "h"]).aggregate([("c", "sum")])
+            rows = rows.rename_columns({"c_sum": "c"}).select(batch.schema.names)
+            last = batch.column("h")[-1]  # its key may go on in the next rows
+            yield from solve(rows.filter(pc.field("h") != last))
+            held = rows.filter(pc.field("h") == last).combine_chunks().to_batches()
+            least_rows = _TOGETHER + sum(len(b) for b in held)
+    if held:
+        rows = pa.Table.from_batches(held).group_by(["key", "w"]).aggregate([("c", "sum")])
+        yield from solve(rows.rename_columns({"c_sum": "c"}))
 
 
 def grams(docs: DataFrame, order: int = 3, least: int = 10) -> DataFrame:
@@ -120,39 +202,47 @@ def grams(docs: DataFrame, order: int = 3, least: int = 10) -> DataFrame:
         raise ValueError("a window needs two words at least")
     spark = docs.sparkSession
     ship(spark)
-    frame = docs.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string")
-    )
-    hot = _hashes(frame)
-    every = [f"w{i + 1}" for i in range(order)]
-    prefix = every[:-1]
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+    for mark, written in _ESCAPES:
+        lang = F.replace(lang, F.lit(mark), F.lit(written))
+    frame = docs.select(lang.alias("lang"), F.col("text").cast("string"))
+    spread = partitions(spark)
+    hot: dict[str, list[str]] = {}
+    for name, word in _frequent(frame, 2 * spread):
+        hot.setdefault(name, []).append(word)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _windows(batch, order)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = {name: pa.array(words, pa.string()) for name, words in hot.items()}
+        for batch in _gathered(batches):
+            for columns, lang, count in _windows(batch, order):
+                prefix = [pc.fill_null(c, "") for c in columns[:-1]]
+                key = pc.binary_join_element_wise(_salts(columns, lang, sets, spread), lang, *prefix, " ")
+                yield pa.record_batch([key, columns[-1], pa.array(count)], ["key", "w", "c"])
 
-    found = frame.mapInArrow(run, f"lang string, {', '.join(w + ' string' for w in every)}, c long")
-    salted = F.lit(bool(hot))
-    for w in prefix:
-        salted &= F.coalesce(F.xxhash64("lang", w).isin(hot), F.lit(False)) if hot else F.lit(False)
-    spread = partitions(spark)
-    salt = F.when(salted, F.pmod(F.xxhash64(every[-1]), F.lit(spread)) + 1).otherwise(0).cast("int")
-    dealt = found.withColumn("salt", salt).repartition(spread, "lang", *prefix, "salt")
-    # Both sums find their rows where the one exchange has put them.
-    top = dealt.groupBy("lang", *every, "salt").agg(F.sum("c").alias("f"))
-    sums = top.groupBy("lang", *prefix, "salt").agg(F.sum("f").alias("f"))
-    often = (F.col("f") >= least) | (F.col("salt") > 0)
-    short = sums.select("lang", *prefix[:-1], F.when(often, F.col(prefix[-1])).alias(prefix[-1]), "f")
-    rolled = short.rollup("lang", *prefix).agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
-    levels = F.lit(0)
-    for size in range(order):
-        levels = F.when(F.col("level") == (1 << (order - 1 - size)) - 1, size).otherwise(levels)
-    rolled = rolled.where(F.col("level") < (1 << order) - 1).withColumn("size", levels).select(
-        "lang", "size", F.concat_ws(" ", *prefix).alias("phrase"), "f",
-        F.size(F.array_compact(F.array(*prefix))).alias("filled"),
-    ).where("filled = size").drop("filled")  # padded prefixes are no phrases
-    longest = top.where(F.col(every[-1]).isNotNull()).select(
-        "lang", F.lit(order).alias("size"), F.concat_ws(" ", *every).alias("phrase"), "f"
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _summed(batches, least)
+
+    # A key is a window's salt, its lang and its prefix, none of which holds a blank.
+    dealt = frame.mapInArrow(count, "key string, w string, c long").repartition(spread, "key")
+    sums = dealt.withColumn("h", F.xxhash64("key")).sortWithinPartitions("h").mapInArrow(
+        add, "key string, w string, f long"
+    )
+    part = F.split("key", " ")
+    prefix = [f"w{i + 1}" for i in range(order - 1)]
+    lang = part[1]
+    for mark, written in reversed(_ESCAPES):
+        lang = F.replace(lang, F.lit(written), F.lit(mark))
+    sums = stored(sums.select(
+        lang.alias("lang"), *[F.when(part[i + 2] != "", part[i + 2]).alias(w) for i, w in enumerate(prefix)], "w", "f",
+    ), "phrase-windows")
+    rolled = sums.where("w IS NULL").rollup("lang", *prefix).agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
+    size = F.size(F.array_compact(F.array(*prefix)))
+    asked = F.lit(order - 1) - F.log2(F.col("level") + 1).cast("int")  # each prefix left out sets one more bit
+    rolled = rolled.where(F.col("level") < (1 << order) - 1).select(
+        "lang", asked.alias("size"), F.concat_ws(" ", *prefix).alias("phrase"), "f", size.alias("filled")
+    ).where("filled = size").drop("filled")  # a padded prefix is no phrase
+    longest = sums.where("w IS NOT NULL").select(
+        "lang", F.lit(order).alias("size"), F.concat_ws(" ", *prefix, "w").alias("phrase"), "f"
     )
     kept = rolled.union(longest).where((F.col("f") >= least) | (F.col("size") == 0))
     return stored(kept, "phrases")
