@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchpost.llm import (
-    bestfit, decontaminate, licenses, lines, merkle, phrases, quality, simhash, substrings, tokenfile, tokens, warc,
+    bestfit, decontaminate, licenses, lines, merkle, minhash, negatives, phrases, quality, simhash, substrings,
+    tokenfile, tokens, warc,
 )
 from watchpost.llm.base import scratch, ship, table
 
@@ -104,6 +105,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,7 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: _shipped(fn)
     for fn in (
         op1_simhash, op2_line_dedup, op3_decontaminate, op4_suffix_array, op5_warc, op6_quality, op7_token_file,
-        op8_licenses, op9_merkle, op9_merkle_edits, op10_best_fit, op11_collocations, pipeline,
+        op8_licenses, op9_merkle, op9_merkle_edits, op10_best_fit, op11_collocations, op12_hard_negatives,
+        op13_minhash, pipeline,
     )
 }
 
