@@ -38,11 +38,11 @@ from watchpost.llm.base import partitions, ship, stored
 #: Bytes of a word that can count as hot, which bounds the list of hot words.
 _SHORT = 64
 #: Words whose windows are counted together.
-_STEP = 4_000_000
+_STEP = 2_000_000
 #: Bytes of texts gathered before their windows are counted.
-_BYTES = 16_000_000
+_BYTES = 6_000_000
 #: Sorted windows added up together.
-_TOGETHER = 1_500_000
+_TOGETHER = 700_000
 #: Documents whose words tell which are hot.  This sample steers how windows are dealt, no count.
 _SAMPLE = 20_000
 #: How a lang is written in keys, whose parts are set apart by blanks.
