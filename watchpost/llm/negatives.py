@@ -78,8 +78,9 @@ def above(rows: np.ndarray, asks: np.ndarray, least: np.ndarray) -> Iterator[tup
     width = max(rows.shape[1], asks.shape[1], 1)
     width += -width % _STRIDE
     rows, asks = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (rows, asks))
-    if float(np.abs(rows).max(initial=0)) * np.abs(asks).max(initial=0) * width < 1 << 53:
-        rows, asks = rows.astype(np.float64), asks.astype(np.float64)  # exact below 2^53
+    exact = float(np.abs(rows).max(initial=0)) * float(np.abs(asks).max(initial=0)) * width < 1 << 53
+    kind = np.float64 if exact else np.int64
+    rows, asks = rows.astype(kind), asks.astype(kind)
     # Weak components first: the longest part can then be left out of the index.
     order = np.argsort(np.abs(rows).max(axis=0, initial=0), kind="stable")
     rows, asks = rows[:, order], asks[:, order]
