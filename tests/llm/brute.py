@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -183,3 +184,77 @@ def lines(rows, max_ratio: float = 0.1, min_pages: int = 5) -> dict[int, tuple]:
         kept = [x for x in every if x.strip(" \t\r") not in often[source]]
         out[doc] = (sum(1 for x in every if x.strip(" \t\r")), len(every) - len(kept), "\n".join(kept))
     return out
+
+
+def collocations(rows, order=3, least=10, cover=50, top=2000) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    count: dict[str, Counter] = defaultdict(Counter)
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for size in range(1, order + 1):
+                count["und" if lang is None else lang].update(tuple(w[i:i + size]) for i in range(len(w) - size + 1))
+    out = []
+    for lang, f in count.items():
+        n = sum(c for g, c in f.items() if len(g) == 1)
+        often = [(g, a) for g, a in f.items() if len(g) >= 2 and a >= least]
+        covered = set()
+        for g, a in often:
+            for size in range(2, len(g)):
+                for i in range(len(g) - size + 1):
+                    if 100 * a >= cover * f[g[i:i + size]]:
+                        covered.add(g[i:i + size])
+        found = []
+        for g, a in often:
+            if g not in covered:
+                score, _, l, r = min(
+                    (1000000 * a * a // (f[g[:k]] * f[g[k:]]), k, f[g[:k]], f[g[k:]]) for k in range(1, len(g))
+                )
+                found.append((-score, -a, " ".join(g).encode(), l, r))
+        for rank, (score, a, phrase, l, r) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, l, r, n, -score))
+    return sorted(out)
+
+
+def hard_negatives(rows, asks, low=80, high=100, positives=5, negatives=5) -> list[tuple]:
+    """(anchor, positive, rank, negative, positive score, negative score) of (vec_id, label, vector) rows."""
+    rows = [
+        (i, label, [math.floor(256 * x) for x in v]) for i, label, v in rows
+        if None not in (i, label, v) and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    out = []
+    first = {}
+    for i, label, v in sorted(rows):
+        if asks(i):
+            first.setdefault(i, (label, v))
+    for i, (label, v) in first.items():
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j, other) for j, other, w in rows if j != i)
+        for p, j, _ in [x for x in scored if x[2] == label][:positives]:
+            fit = [(k, -n) for n, k, other in scored if other != label and low * -p <= 100 * -n <= high * -p]
+            out += [(i, j, rank, k, -p, n) for rank, (k, n) in enumerate(fit[:negatives], 1)]
+    return sorted(out)
+
+
+def shingle_set(text: str | None, size: int = 2) -> set[str]:
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    return {" ".join(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def minhash(rows, percent: int = 80) -> dict[int, tuple[int, int]]:
+    """doc_id to (set size, smallest doc_id linked) by all pairs."""
+    sets = {doc: shingle_set(text) for doc, text in rows}
+    docs = sorted(sets)
+    root = {d: d for d in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(docs):
+        for b in docs[i + 1:]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in docs}
