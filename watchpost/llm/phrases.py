@@ -42,7 +42,9 @@ _STEP = 2_000_000
 #: Bytes of texts gathered before their windows are counted.
 _BYTES = 6_000_000
 #: Sorted windows added up together.
-_TOGETHER = 700_000
+_TOGETHER = 500_000
+#: Rows handed back to Spark at once.
+_OUT = 50_000
 #: Documents whose words tell which are hot.  This sample steers how windows are dealt, no count.
 _SAMPLE = 20_000
 #: How a lang is written in keys, whose parts are set apart by blanks.
@@ -167,32 +169,32 @@ def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         whole = rows.filter((pc.field("c") >= least) & pc.field("w").is_valid())
-        yield from whole.select(["key", "w", "c"]).rename_columns(names).combine_chunks().to_batches()
-        total = rows.group_by("key").aggregate([("c", "sum")])
+        yield from whole.select(["key", "w", "c"]).rename_columns(names).to_batches(_OUT)
+        total = rows.group_by("key", use_threads=False).aggregate([("c", "sum")])
         rare = total.filter((pc.field("c_sum") < least) & pc.starts_with(pc.field("key"), " "))
         cut = pc.list_element(pc.split_pattern(rare.column("key"), " ", max_splits=1, reverse=True), 0)
         short = pa.table([pc.binary_join_element_wise(cut, "", " "), rare.column("c_sum")], ["key", "c_sum"])
         rest = total.filter((pc.field("c_sum") >= least) | ~pc.starts_with(pc.field("key"), " ")).select(["key", "c_sum"])
-        for part in (short.group_by("key").aggregate([("c_sum", "sum")]), rest):
+        for part in (short.group_by("key", use_threads=False).aggregate([("c_sum", "sum")]), rest):
             part = part.combine_chunks()
             yield from pa.table(
                 [part.column("key"), pa.nulls(len(part), pa.string()), part.columns[1 - part.column_names.index("key")]],
                 names,
-            ).to_batches()
+            ).to_batches(_OUT)
 
     held: list[pa.RecordBatch] = []
     least_rows = _TOGETHER
     for batch in batches:
         held.append(batch)
         if sum(len(b) for b in held) >= least_rows:
-            rows = pa.Table.from_batches(held).group_by(["key", "w", "h"]).aggregate([("c", "sum")])
+            rows = pa.Table.from_batches(held).group_by(["key", "w", "h"], use_threads=False).aggregate([("c", "sum")])
             rows = rows.rename_columns({"c_sum": "c"}).select(batch.schema.names)
             last = batch.column("h")[-1]  # its key may go on in the next rows
             yield from solve(rows.filter(pc.field("h") != last))
             held = rows.filter(pc.field("h") == last).combine_chunks().to_batches()
             least_rows = _TOGETHER + sum(len(b) for b in held)
     if held:
-        rows = pa.Table.from_batches(held).group_by(["key", "w"]).aggregate([("c", "sum")])
+        rows = pa.Table.from_batches(held).group_by(["key", "w"], use_threads=False).aggregate([("c", "sum")])
         yield from solve(rows.rename_columns({"c_sum": "c"}))
 
 
@@ -212,14 +214,16 @@ def grams(docs: DataFrame, order: int = 3, least: int = 10) -> DataFrame:
         hot.setdefault(name, []).append(word)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
         sets = {name: pa.array(words, pa.string()) for name, words in hot.items()}
         for batch in _gathered(batches):
             for columns, lang, count in _windows(batch, order):
                 prefix = [pc.fill_null(c, "") for c in columns[:-1]]
                 key = pc.binary_join_element_wise(_salts(columns, lang, sets, spread), lang, *prefix, " ")
-                yield pa.record_batch([key, columns[-1], pa.array(count)], ["key", "w", "c"])
+                yield from pa.table([key, columns[-1], pa.array(count)], ["key", "w", "c"]).to_batches(_OUT)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from _summed(batches, least)
 
     # A key is a window's salt, its lang and its prefix, none of which holds a blank.
