@@ -182,13 +182,15 @@ def _search(roots: np.ndarray, texts: list[bytes], size: int, percent: int) -> n
     return label
 
 
-def _rest(classes: DataFrame, heads: DataFrame, member: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes of one bucket and different components that no star has met."""
-    spark = classes.sparkSession
-    named = classes.select("key", "n", "slots").join(member.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", "n", F.coalesce("root", "key").alias("root"), F.explode("slots").alias("slot")
+def _rest(met: DataFrame, texts: DataFrame, member: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) between classes of one bucket and different components that no star has met.
+
+    ``met`` has the slot, key and n of every class that shares a bucket with a centre.
+    """
+    spark = met.sparkSession
+    rows = met.select("slot", "key", "n").join(member.withColumnRenamed("node", "key"), "key", "left").select(
+        "slot", "key", "n", F.coalesce("root", "key").alias("root")
     )
-    rows = named.join(heads.select("slot", "centre"), "slot").where(F.col("key") != F.col("centre")).drop("centre")
     open_ = rows.groupBy("slot").agg(
         F.min("root").alias("least"), F.max("root").alias("most"), F.sum("n").alias("total")
     ).where(F.col("least") != F.col("most"))
@@ -202,7 +204,7 @@ def _rest(classes: DataFrame, heads: DataFrame, member: DataFrame, size: int, pe
         "slot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "root"
     )
     block = ["slot", "low", "high"]
-    ready = blocks.join(classes.select("key", "words"), "key").repartition(
+    ready = blocks.join(texts, "key").repartition(
         partitions(spark), *block
     ).sortWithinPartitions(*block)
 
@@ -252,13 +254,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     heads = rows.groupBy("slot").agg(head, F.count(F.lit(1)).alias("members")).where("members > 1").select(
         "slot", F.col("head.key").alias("centre"), F.col("head.n").alias("centre_n")
     )
-    heads = stored(heads, "minhash-heads")
+    met = stored(rows.join(heads, "slot").where(F.col("key") != F.col("centre")), "minhash-met")
     similar = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
-    stars = rows.join(heads, "slot").where((F.col("key") != F.col("centre")) & similar)
-    pairs = stars.select("centre", "key").distinct()
+    pairs = met.where(similar).select("centre", "key").distinct()
     edges = stored(_confirmed(pairs, texts, size, percent), "minhash-links")
     member = components(edges)
-    more = stored(_rest(classes, heads, member, size, percent), "minhash-more")
+    more = stored(_rest(met, texts, member, size, percent), "minhash-more")
     member = components(member.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     first = prints.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     named = first.join(member.withColumnRenamed("node", "key"), "key", "left").select(
