@@ -123,6 +123,48 @@ def q_src_alerts_csv(spark, d):
     return deliver(src.alerts(spark, path))
 
 
+@register("src_alerts_csv_types", f"""{WA}SELECT Alert_Number, Organization_Name, Alert_Number * 3 - 7 AS Points,
+  Alert_Number / 4.0::DOUBLE AS Weight, Alert_Number % 2 = 0 AS Is_Even, CAST(Created_At AS DATE) AS Seen_On,
+  strftime(Created_At, '%Y-%m-%dT%H:%M:%S') AS Seen_At,
+  CASE WHEN Alert_Number % 5 = 0 THEN 'n/a' ELSE CAST(Alert_Number AS VARCHAR) END AS Mixed,
+  CASE WHEN Alert_Number % 2 = 0 THEN CAST(Alert_Number AS VARCHAR) ELSE Alert_Number || '.5' END::DOUBLE AS Both
+  FROM alerts""")
+def q_src_alerts_csv_types(spark, d):
+    """Further columns get the types that their values have, over two headers."""
+    a, n = _alerts(spark, d), F.col("Alert_Number")
+    both = F.when(n % 2 == 0, n.cast("string")).otherwise(F.concat(n, F.lit(".5")))
+    out = a.select(
+        "Alert_Number", "Organization_Name", (n * 3 - 7).alias("Points"), (n / 4).alias("Weight"),
+        (n % 2 == 0).alias("Is_Even"), F.to_date("Created_At").alias("Seen_On"),
+        F.date_format("Created_At", "yyyy-MM-dd HH:mm:ss").alias("Seen_At"),
+        F.when(n % 5 == 0, "n/a").otherwise(n.cast("string")).alias("Mixed"), both.alias("Both"),
+    )
+    path = export.write_csv(out.where(n % 2 == 0), _scratch(spark, "types-csv"))
+    odd = out.where((n % 2 != 0) | n.isNull())
+    export.write_csv(odd.select(*reversed(out.columns)), path, mode="append")
+    return deliver(src.alerts(spark, path)).select(*out.columns)
+
+
+@register("src_deps_csv_split", f"""{WD}SELECT org_name, repo_name, package_name,
+  'a ""quoted"", ' || dependency_name || chr(10) || 'text' AS dependency_name, is_open_source FROM deps""".replace('""', '"'))
+def q_src_deps_csv_split(spark, d):
+    """Files with quoted newlines, each read by many tasks."""
+    text = F.concat(F.lit('a "quoted", '), "dependency_name", F.lit("\ntext"))
+    rows = _deps(spark, d).withColumn("dependency_name", text)
+    path = export.write_csv(rows, _scratch(spark, "split-csv"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 128 * 1024)
+    try:
+        found = src.deps(spark, path)
+        # The splits are those of the plan, which is made while the setting holds.
+        found = found.select(*DEPS_COLUMNS)
+        found._jdf.queryExecution().toRdd().getNumPartitions()
+    finally:
+        spark.conf.set(key, before)
+    return deliver(found)
+
+
 @register("src_secrets_csv", f"{WS}SELECT {O.SECRET_COLS} FROM secrets")
 def q_src_secrets_csv(spark, d):
     path = export.write_csv(_secrets(spark, d), _scratch(spark, "secrets-csv"))

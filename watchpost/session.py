@@ -123,3 +123,16 @@ def part_files(spark: SparkSession, path: str) -> list[str]:
             if e.isFile() and not e.getPath().getName().startswith(("_", "."))
         ]
     return sorted(out)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder this checkout lies in.
+
+    A cluster whose executors do not see that folder needs the package
+    installed or passed with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])

@@ -6,22 +6,30 @@ reference only nulls that cell.  Column pruning inside the CSV parser is
 switched off by the session (``watchpost.session``) so DROPMALFORMED drops
 the same rows whatever is selected later.
 
-``multiLine`` is on by default because exports carry quoted newlines; such
-files are read one task per file.  For very large single files without
-embedded newlines pass ``multi_line=False`` to let Spark split them.
+``multiLine`` is on by default because exports carry quoted newlines.  Files
+larger than one scan split are cut into records by many tasks
+(``watchpost.sources.records``); smaller ones, compressed ones and those whose
+lines end in a lone carriage return are read one task per file, with the same
+rows.  ``multi_line=False`` reads files without embedded newlines line by line.
 """
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchpost.functions.clean import empty_to_null, try_timestamp
-from watchpost.schema import ALERT_DATE_COLUMNS, DISCOVERY_GLOBS, SECRET_DATE_COLUMNS
+from watchpost.schema import (
+    ALERT_DATE_COLUMNS, ALERT_DISPLAY_COLUMNS, DISCOVERY_GLOBS, SECRET_DATE_COLUMNS, SECRET_DISPLAY_COLUMNS,
+)
 from watchpost.session import part_files
+from watchpost.sources import infer, records
+from watchpost.sources.records import stays_open
 
 
 def _reader(spark: SparkSession, multi_line: bool = True, mode: str = "DROPMALFORMED"):
@@ -35,56 +43,133 @@ def _reader(spark: SparkSession, multi_line: bool = True, mode: str = "DROPMALFO
     )
 
 
-def _headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
-    """The files by their first line, read as any schema inference reads it."""
+_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true"}
+_HEAD_BYTES = 65_536
+
+
+@dataclass(frozen=True)
+class Header:
+    """What the files of one group share: the text of their header, and how their lines end."""
+
+    text: str
+    separator: str
+
+
+def _head(raw: bytes, whole: bool) -> Header | None:
+    """The header of a file that begins with these bytes; None where they do not hold all of it.
+
+    The first line end is taken for all, blank lines before the header are
+    skipped and a quoted newline does not end it, as the CSV parser does.
+    """
+    text = raw.decode("utf-8", "replace")
+    end = re.search("\r\n|\n|\r", text if whole or not text.endswith("\r") else text[:-1])
+    if end is None:
+        return Header(text, "\n") if whole else None
+    lines = text.split(end.group())
+    first = next((i for i, line in enumerate(lines) if line), None)
+    if first is None:
+        return Header("", end.group()) if whole else None
+    inside = False
+    for i in range(first, len(lines) if whole else len(lines) - 1):
+        inside = stays_open(lines[i], inside)
+        if not inside:
+            return Header(end.group().join(lines[first:i + 1]), end.group())
+    return Header(end.group().join(lines[first:]), end.group()) if whole else None
+
+
+def _headers(spark: SparkSession, files: list[str]) -> dict[tuple[Header, bool], list[str]]:
+    """The files by their header and by whether a scan splits them; files without any line are left out."""
     sc = spark.sparkContext
-    conf, hadoop, io = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop, sc._jvm.java.io
+    conf, hadoop = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop
+    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
+    split = _split_bytes(spark)
 
-    def first_line(file: str) -> str:
+    def look(file: str) -> tuple[Header | None, bool]:
         at = hadoop.fs.Path(file)
-        reader = io.BufferedReader(io.InputStreamReader(at.getFileSystem(conf).open(at), "UTF-8"))
-        try:
-            return reader.readLine() or ""
-        finally:
-            reader.close()
-
-    out: dict[str, list[str]] = {}
+        fs, codec = at.getFileSystem(conf), codecs.getCodec(at)
+        many, found = _HEAD_BYTES, None
+        while found is None:
+            stream = fs.open(at)
+            stream = stream if codec is None else codec.createInputStream(stream)
+            try:
+                raw = stream.readNBytes(many)
+            finally:
+                stream.close()
+            found = _head(raw, len(raw) < many)
+            many *= 8
+        large = codec is None and found.separator != "\r" and fs.getFileStatus(at).getLen() > split
+        return (found if found.text else None), large
+
+    out: dict[tuple[Header, bool], list[str]] = {}
     with ThreadPoolExecutor(max_workers=16) as pool:
-        for file, line in zip(files, pool.map(first_line, files), strict=True):
-            out.setdefault(line, []).append(file)
+        for file, (found, large) in zip(files, pool.map(look, files), strict=True):
+            if found is not None:
+                out.setdefault((found, large), []).append(file)
     return out
 
 
+def _split_bytes(spark: SparkSession) -> int:
+    """Bytes of a scan's split, as the session sets them."""
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+
+
+def _groups(spark: SparkSession, path: str) -> list[tuple[Header, bool, list[str]]]:
+    found = _headers(spark, part_files(spark, path))
+    return sorted(((h, large, files) for (h, large), files in found.items()),
+                  key=lambda g: (g[0].text, g[0].separator, g[1]))
+
+
 def read_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns as text, by the name that each file's own header gives
     them; malformed rows dropped.  Files with one header are read together, a
     column that some files lack is NULL in their rows."""
-    groups = _headers(spark, part_files(spark, path))
-    groups.pop("", None)  # empty files hold no header and no rows
+    return _united(spark, path, _groups(spark, path), multi_line)
+
+
+def _united(spark: SparkSession, path: str, groups: list[tuple[Header, bool, list[str]]], multi_line: bool) -> DataFrame:
     if not groups:
         return _reader(spark, multi_line).csv(path)
-    parts = [_reader(spark, multi_line).csv(files) for _, files in sorted(groups.items())]
+    parts = []
+    for header, large, files in groups:
+        if large and multi_line:
+            schema = _reader(spark, True).csv(files[0]).schema
+            parts.append(records.read(spark, files, schema, header.separator, _OPTIONS))
+        else:
+            parts.append(_reader(spark, multi_line).csv(files))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def alerts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """src_alerts_csv: every column kept; dates to timestamp (bad -> NULL);
-    ``Alert_Number`` to long.  ``CVSS_Score`` stays as exported and is read
-    through ``try_cast`` where it is used."""
-    df = read_text(spark, path, multi_line)
-    df = try_timestamp(df, ALERT_DATE_COLUMNS)
+def _typed(spark: SparkSession, path: str, known: set[str], dates: list[str], multi_line: bool, sample_rows: int) -> DataFrame:
+    """The dataset's own columns as its schema has them; the type of each
+    further column is found from the first rows of the first file of each header."""
+    groups = _groups(spark, path)
+    df = _united(spark, path, groups, multi_line)
+    df = try_timestamp(df, dates)
     if "Alert_Number" in df.columns:
         df = df.withColumn("Alert_Number", F.col("Alert_Number").try_cast("long"))
-    return df
+    further = [c for c in df.columns if c not in known]
+    if not further:
+        return df
+    samples = [_reader(spark, multi_line).csv(files[0]).limit(sample_rows) for _, _, files in groups]
+    return infer.apply(df, infer.kinds(samples, further))
 
 
-def secrets(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def alerts(spark: SparkSession, path: str, multi_line: bool = True, sample_rows: int = infer.SAMPLE_ROWS) -> DataFrame:
+    """src_alerts_csv: every column kept; dates to timestamp (bad -> NULL);
+    ``Alert_Number`` to long.  ``CVSS_Score`` stays as exported and is read
+    through ``try_cast`` where it is used.  Columns beyond the schema get the
+    type that ``sample_rows`` rows suggest."""
+    known = {*ALERT_DISPLAY_COLUMNS, *ALERT_DATE_COLUMNS}
+    return _typed(spark, path, known, ALERT_DATE_COLUMNS, multi_line, sample_rows)
+
+
+def secrets(spark: SparkSession, path: str, multi_line: bool = True, sample_rows: int = infer.SAMPLE_ROWS) -> DataFrame:
     """src_secrets_csv: as alerts (defining code absent; same dialect)."""
-    df = read_text(spark, path, multi_line)
-    df = try_timestamp(df, SECRET_DATE_COLUMNS)
-    if "Alert_Number" in df.columns:
-        df = df.withColumn("Alert_Number", F.col("Alert_Number").try_cast("long"))
-    return df
+    known = {*SECRET_DISPLAY_COLUMNS, *SECRET_DATE_COLUMNS}
+    return _typed(spark, path, known, SECRET_DATE_COLUMNS, multi_line, sample_rows)
 
 
 def deps(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

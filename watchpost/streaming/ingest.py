@@ -123,6 +123,8 @@ def start(spark: SparkSession, folder: str, dataset: str, store_root: str, check
     stream = (
         reader.schema(all_string(cols))
         .option("header", True)
+        # A file whose header has other names or another order raises, instead of being read by position.
+        .option("enforceSchema", False)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", True)
