@@ -13,9 +13,9 @@ Rows of ids are little-endian unsigned 32-bit integers throughout.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import compress, filterfalse
 
 import numpy as np
 
@@ -32,11 +32,17 @@ class Budget:
 #: Where encoding is all that a worker does, and where other stages' workers share an executor.
 LARGE = Budget(600_000, 1, 2_000_000)
 SMALL = Budget(150_000, 2, 500_000)
-_ODD = re.compile(r"\s\s|[\x00-\x08\x0b-\x1f\x7f-\xa0]")
 _TAIL = ".,!?;:"
 _TOGETHER = 400
 
 
+def _odd(text: str) -> bool:
+    """Whether blanks or line ends stand side by side, or anything else stands there that does not print."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return True
+    return not text.replace("\n", "").isprintable()
+
+
 def _bytes(ids) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
@@ -90,38 +96,34 @@ class Encoder:
             out.update((w, raw[a:b]) for w, a, b in zip(group, at, at[1:], strict=False))
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         """Put the ids of new chunks into the cache."""
-        plain: list[str] = []
-        stems: list[str] = []
-        rest: list[str] = []
-        for c in chunks:
-            stem = c.rstrip(_TAIL)
-            # Letters that the library's normalisation only lower-cases, one by one.
-            if stem.isalpha() and (not self.word_ends or stem.isascii() or max(stem) <= "\xff"):
-                plain.append(c)
-                stems.append(stem)
-            else:
-                rest.append(c)
-        lower = [s.lower() for s in stems] if self.word_ends else stems
-        known: dict[str, bytes] = {}
-        for s in set(lower):
-            ids = self.stems.get(s) or self.old_stems.get(s)
-            if ids:
-                known[s] = ids
-        known.update(self._plain(list(set(lower).difference(known))))
-        if len(self.stems) + len(known) > self.budget.chunks:
+        stems = [c.rstrip(_TAIL) for c in chunks]
+        # Letters that the library's normalisation only lower-cases, one by one.
+        if self.word_ends:
+            is_plain = [s.isalpha() and (s.isascii() or max(s) <= "\xff") for s in stems]
+        else:
+            is_plain = [s.isalpha() for s in stems]
+        plain, stems = list(compress(chunks, is_plain)), list(compress(stems, is_plain))
+        keys = [s.lower() for s in stems] if self.word_ends else stems
+        wanted = set(keys)
+        if len(self.stems) + len(wanted) > self.budget.chunks:
             self.old_stems = self.stems if self.budget.generations > 1 else {}
             self.stems = {}
-        self.stems.update(known)
-        for c, stem, key in zip(plain, stems, lower, strict=True):
-            if len(c) == len(stem):
-                self.cache[c] = known[key]
-                continue
-            tail = c[len(stem):]
-            if tail not in self.tails:
-                self.tails[tail] = self._whole(tail)
-            self.cache[c] = known[key] + self.tails[tail]
+        known = self.stems
+        new = wanted.difference(known)
+        if self.old_stems:
+            again = new.intersection(self.old_stems)
+            known.update((s, self.old_stems[s]) for s in again)
+            new -= again
+        known.update(self._plain(list(new)))
+        tailed = [(c, k, c[len(s):]) for c, s, k in zip(plain, stems, keys, strict=True) if c[-1] in _TAIL]
+        for tail in {t for _, _, t in tailed}.difference(self.tails):
+            self.tails[tail] = self._whole(tail)
+        self.cache.update(zip(plain, map(known.__getitem__, keys), strict=True))
+        tails = self.tails
+        self.cache.update((c, known[k] + tails[t]) for c, k, t in tailed)
+        rest = [c for c, p in zip(chunks, is_plain, strict=True) if not p]
         asked = rest if self.word_ends else [c if c[:1] == "\n" else " " + c for c in rest]
         for c, enc in zip(rest, self.whole.encode_batch_fast(asked, add_special_tokens=False), strict=True):
             self.cache[c] = _bytes(enc.ids)
@@ -129,7 +131,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         parts: list[list[str] | None] = []
         for t in texts:
-            if _ODD.search(t):
+            if _odd(t):
                 parts.append(None)
             elif self.word_ends:
                 parts.append(t.split())
@@ -137,16 +139,17 @@ class Encoder:
                 # "\nWord" stands for a line's first word; the text's first
                 # chunk is written as one, and the id of its line end dropped.
                 parts.append(("\n" + t).replace("\n", " \n").split(" ")[1:])
-        every = set().union(*[p for p in parts if p is not None])
-        new = every.difference(self.cache)
+        new: set[str] = set()
+        for p in parts:
+            if p is not None:
+                new.update(filterfalse(self.cache.__contains__, p))
         if len(self.cache) + len(new) > self.budget.chunks:
             self.old = self.cache if self.budget.generations > 1 else {}
-            self.cache, new = {}, every
+            self.cache, new = {}, set().union(*[p for p in parts if p is not None])
         if new:
-            old = self.old
-            again = {c: old[c] for c in new if c in old}
-            self.cache.update(again)
-            self._learn(new.difference(again))
+            again = new.intersection(self.old) if self.old else ()
+            self.cache.update((c, self.old[c]) for c in again)
+            self._learn(list(new.difference(again)))
         get, skip = self.cache.__getitem__, 0 if self.word_ends else 4
         return [
             self._whole(t) if p is None else b"".join(map(get, p))[skip:]
