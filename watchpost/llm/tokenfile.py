@@ -124,8 +124,10 @@ def write(docs: DataFrame, path: str, vocabulary: Callable[[], str], end: int) -
             yield pa.RecordBatch.from_pylist([segments(shard, at, number, held, names, bits)], kinds)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Ranges are found from a sample of their keys at the driver: ids, not texts.
-    rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(
+    # Ranges are found from a sample of their keys at the driver: ids and hashes, not texts.  The hash deals out the
+    # rows of an id that very many share.
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order).mapInArrow(
         run, _SCHEMA
     ).write.parquet(path)
 
