@@ -27,8 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from watchpost.llm.base import ship, stored
 
@@ -36,9 +38,11 @@ from watchpost.llm.base import ship, stored
 SHARD_WORDS = 1 << 20
 #: Characters of benchmark text that a task holds at once.
 BLOCK_CHARS = 4_000_000
+#: Places of documents and of items lined up at once, about.
+_ALIGNMENTS = 1_000_000
 
 _SCHEMA = (
-    "n_words long, longest_match long, item_ids array<long>, "
+    "n_words long, longest_match long, item_ids array<string>, "
     "spans array<struct<start: long, stop: long>>"
 )
 _SEPARATE = bytes(
@@ -60,10 +64,10 @@ class TestSuffixes:
     it stands at; equal items are kept once with all their ids.
     """
 
-    def __init__(self, items: list[tuple[list[int], str]], window: int):
+    def __init__(self, items: list[tuple[list[str], str]], window: int):
         self.window = window
         self.numbers: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
+        self.ids: list[list[str]] = []
         number = self.numbers
         rows: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for ids, text in items:
@@ -85,6 +89,9 @@ class TestSuffixes:
         self.first = np.concatenate(([0], np.cumsum([len(p) for p in places]))).astype(np.int64)
         flat = np.array([x for p in places for x in p], np.int64).reshape(-1, 2)
         self.item, self.offset = flat[:, 0], flat[:, 1]
+        each = [sorted({i for i, _ in p}) for p in places]  # the items of a window, each once
+        self.item_first = np.concatenate(([0], np.cumsum([len(e) for e in each]))).astype(np.int64)
+        self.items = np.array([i for e in each for i in e], np.int64)
         self.shortest = int(self.length.min()) if len(rows) else 0
 
     def pack(self, column) -> list[np.ndarray]:
@@ -149,16 +156,69 @@ def _occurrences(seq: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.nd
     return starts[array[_spread(low, count)]], np.repeat(np.arange(len(count)), count)
 
 
-def _judge(texts: list[list[bytes]], test: TestSuffixes) -> list[tuple]:
-    """(n_words, longest_match, item_ids, spans) of every document of a shard."""
+def _runs(place: np.ndarray, window: np.ndarray, test: TestSuffixes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, words) of the verbatim matches with one item: successive windows on one diagonal.
+
+    Occurrences, sorted by place, are lined up with the places of their window
+    in the items slice by slice; matches that reach the end of a slice go on
+    in the next.
+    """
+    count = np.diff(test.first)[window]
+    total = np.cumsum(count)
+    item = diagonal = begun = np.zeros(0, np.int64)  # of the matches that reach the last place looked at
+    low = 0
+    while low < len(place):
+        high = int(np.searchsorted(total, (total[low - 1] if low else 0) + _ALIGNMENTS)) + 1
+        high = int(np.searchsorted(place, place[min(high, len(place)) - 1], "right"))
+        some, n = slice(low, high), count[low:high]
+        where = _spread(test.first[window[some]], n)
+        at = np.repeat(place[some], n)
+        words_ = np.repeat(test.length[window[some]], n)
+        if low and place[low] != place[low - 1] + 1:
+            item = diagonal = begun = np.zeros(0, np.int64)
+        i = np.concatenate([item, test.item[where]])
+        d = np.concatenate([diagonal, at - test.offset[where]])
+        a = np.concatenate([np.full(len(item), place[low] - 1), at])
+        start = np.concatenate([begun, at])
+        size = np.concatenate([np.zeros(len(item), np.int64), words_])
+        order = np.lexsort((a, d, i))
+        i, d, a, start, size = i[order], d[order], a[order], start[order], size[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(a)) - 1
+        ended = size[tails] > 0  # a match from before that ends there was told then
+        yield start[heads][ended], (a[tails] + size[tails] - start[heads])[ended]
+        on = a[tails] == place[high - 1]
+        item, diagonal, begun = i[tails][on], d[tails][on], start[heads][on]
+        low = high
+
+
+def _any(texts: list[list[bytes]], test: TestSuffixes) -> np.ndarray:
+    """Whether any window of the benchmark occurs, for every document of a shard."""
+    begins, seq = _numbered(texts, test)
+    place, _ = _occurrences(seq, test)
+    hit = np.zeros(len(texts), bool)
+    hit[np.searchsorted(begins, place, "right") - 1] = True
+    return hit
+
+
+def _numbered(texts: list[list[bytes]], test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each document begins, and the numbers of all words; zero stands for others and between documents."""
     get = test.numbers.get
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
     seq = np.zeros(int(sizes.sum()) + len(texts), np.int64)
     for t, at in zip(texts, begins.tolist(), strict=True):
         seq[at:at + len(t)] = [get(w, 0) for w in t]
+    return begins, seq
+
+
+def _judge(texts: list[list[bytes]], test: TestSuffixes) -> list[tuple]:
+    """(n_words, longest_match, item_ids, spans) of every document of a shard."""
+    begins, seq = _numbered(texts, test)
     place, window = _occurrences(seq, test)
-    out = [(n, 0, [], []) for n in sizes.tolist()]
+    out = [(len(t), 0, [], []) for t in texts]
     if not len(place):
         return out
     # Words hit: overlapping occurrences joined to maximal spans.
@@ -170,23 +230,15 @@ def _judge(texts: list[list[bytes]], test: TestSuffixes) -> list[tuple]:
     heads = np.flatnonzero(new)
     span_start, span_stop = place[heads], stop[np.append(heads[1:], len(place)) - 1]
     owner = np.searchsorted(begins, span_start, "right") - 1
-    # Alignments: the item and its place for every occurrence.
-    count = np.diff(test.first)[window]
-    where = _spread(test.first[window], count)
-    item, at = test.item[where], np.repeat(place, count)
-    doc = np.searchsorted(begins, at, "right") - 1
-    pairs = np.unique(doc * len(test.ids) + item)
-    diagonal = at - test.offset[where]
-    order = np.lexsort((at, diagonal, item))
-    i, d, a = item[order], diagonal[order], at[order]
-    run = np.ones(len(a), bool)
-    run[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)
-    heads = np.flatnonzero(run)
-    tails = np.append(heads[1:], len(a)) - 1
-    long = a[tails] + np.repeat(test.length[window], count)[order][tails] - a[heads]
+    doc = np.searchsorted(begins, place, "right") - 1
+    met = np.unique(doc * len(test.length) + window)
+    own = met % len(test.length)
+    listed = test.items[_spread(test.item_first[own], np.diff(test.item_first)[own])]
+    pairs = np.unique(np.repeat(met // len(test.length), np.diff(test.item_first)[own]) * len(test.ids) + listed)
     longest = np.zeros(len(texts), np.int64)
-    np.maximum.at(longest, doc[order][heads], long)
-    found: dict[int, set[int]] = {}
+    for at, long in _runs(place, window, test):
+        np.maximum.at(longest, np.searchsorted(begins, at, "right") - 1, long)
+    found: dict[int, set[str]] = {}
     for d_, i_ in zip((pairs // len(test.ids)).tolist(), (pairs % len(test.ids)).tolist(), strict=True):
         found.setdefault(d_, set()).update(test.ids[i_])
     spans: dict[int, list[dict]] = {}
@@ -208,13 +260,12 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _pass(docs: DataFrame, keep: list[str], test: TestSuffixes) -> DataFrame:
+def _pass(docs: DataFrame, keep: list[str], shared: Broadcast) -> DataFrame:
     """The kept columns of every document, with what one block of the benchmark finds in it."""
-    shared = docs.sparkSession.sparkContext.broadcast(test)
     schema = docs.select(*keep).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     found = pa.struct([
-        ("n_words", pa.int64()), ("longest_match", pa.int64()), ("item_ids", pa.list_(pa.int64())),
+        ("n_words", pa.int64()), ("longest_match", pa.int64()), ("item_ids", pa.list_(pa.string())),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
     ])
 
@@ -243,10 +294,10 @@ def _pass(docs: DataFrame, keep: list[str], test: TestSuffixes) -> DataFrame:
     )
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[list[int], str]]]:
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[list[str], str]]]:
     """The distinct item texts with their ids, in blocks of bounded size."""
     items = benchmark.where(F.length("text") > 0).groupBy(F.col("text").cast("string").alias("text")).agg(
-        F.collect_set(F.col("item_id").cast("long")).alias("ids")
+        F.collect_set(F.col("item_id").cast("string")).alias("ids")
     )
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = -(-chars // BLOCK_CHARS) or 1
@@ -267,17 +318,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """
     spark = docs.sparkSession
     ship(spark)
+    sc = spark.sparkContext
     tests = (TestSuffixes(b, window) for b in blocks(benchmark))
     first = next(tests)
     second = next(tests, None)
     if second is None:
-        found = _pass(docs, ["doc_id"], first)
+        found = _pass(docs, ["doc_id"], sc.broadcast(first))
     else:
         rows = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row")), "documents")
         parts = []
         test: TestSuffixes | None = first
         while test is not None:
-            parts.append(stored(_pass(rows, ["__row", "doc_id"], test), "contamination"))
+            shared = sc.broadcast(test)
+            parts.append(stored(_pass(rows, ["__row", "doc_id"], shared), "contamination"))
+            shared.destroy()
             test, second = second, next(tests, None)
         every = parts[0]
         for p in parts[1:]:
@@ -293,22 +347,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
             merge(F.collect_list("spans")).alias("spans"),
         )
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), "item_ids", "spans", "longest_match")
+    ids = F.array_sort(F.col("item_ids").cast(ArrayType(benchmark.schema["item_id"].dataType)))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), ids.alias("item_ids"), "spans", "longest_match")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without those in which a benchmark window occurs."""
     spark = docs.sparkSession
     ship(spark)
-    kept = docs
-    for block in blocks(benchmark):
-        test = TestSuffixes(block, window)
-        kept = _clean(kept, test)
+    tests = (TestSuffixes(b, window) for b in blocks(benchmark))
+    kept, test = docs, next(tests)
+    while test is not None:
+        after = next(tests, None)
+        shared = spark.sparkContext.broadcast(test)
+        kept = _clean(kept, shared)
+        if after is not None:  # one block's words at a time on the executors
+            kept = stored(kept, "decontaminated")
+            shared.destroy()
+        test = after
     return kept
 
 
-def _clean(docs: DataFrame, test: TestSuffixes) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(test)
+def _clean(docs: DataFrame, shared: Broadcast) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +380,7 @@ def _clean(docs: DataFrame, test: TestSuffixes) -> DataFrame:
                 while len(keep) + len(shard) < len(batch) and (not shard or size < SHARD_WORDS):
                     shard.append(words(texts[len(keep) + len(shard)].as_py()))
                     size += len(shard[-1])
-                keep.extend(not r[3] for r in _judge(shard, shared.value))
+                keep.extend((~_any(shard, shared.value)).tolist())
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
