@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.conftest import rows
-from watchpost.llm import minhash, negatives, phrases
+from watchpost.llm import decontaminate, lines, minhash, negatives, phrases, simhash, tokenfile, tokens
 
 # 11 collocations
 
@@ -211,3 +211,58 @@ def test_minhash_odd_tables(spark, empty, clashing):
     ], key=str)
     with pytest.raises(ValueError):
         minhash.near_duplicates(clashing, percent=70)
+
+
+# Earlier operators: bounds, ids and names
+
+def test_items_with_one_opening_line_up_in_bounded_slices(spark, monkeypatch):
+    """Many items that begin alike against a text that repeats the beginning."""
+    monkeypatch.setattr(decontaminate, "_ALIGNMENTS", 50)
+    opening = "which of the old bridges over the wide river was built"
+    items = [(f"q{i}", f"{opening} by mason number {i} of the town") for i in range(40)]
+    texts = [(0, f"{opening} " * 60), (1, f"so {opening} by mason number 7 of the town hall"), (2, "nothing here")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(
+        items, "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert got[0]["item_ids"] == sorted(f"q{i}" for i in range(40)) and got[0]["longest_match"] == 11
+    assert got[1]["longest_match"] == 18 and len(got[1]["item_ids"]) == 40 and got[2]["item_ids"] == []
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [2]
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 900)
+    again = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert {d: tuple(r) for d, r in got.items()} == {d: tuple(r) for d, r in again.items()}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [2]
+
+
+def test_slices_tell_the_same_runs_as_one(monkeypatch):
+    rng = random.Random(8)
+    vocabulary = "a b c".split()
+    test = decontaminate.TestSuffixes(
+        [([str(i)], " ".join(rng.choices(vocabulary, k=rng.randrange(1, 30)))) for i in range(30)], 4)
+    texts = [[w.encode() for w in rng.choices(vocabulary + ["z"], k=rng.randrange(0, 80))] for _ in range(25)]
+    whole = decontaminate._judge(texts, test)
+    for limit in (1, 7, 100):
+        monkeypatch.setattr(decontaminate, "_ALIGNMENTS", limit)
+        assert decontaminate._judge(texts, test) == whole
+    assert decontaminate._any(texts, test).tolist() == [bool(r[3]) for r in whole]
+
+
+def test_columns_named_like_those_of_the_operators(clashing):
+    names = ["__lines", "__site", "__kept", "__doc_id", "__tie"]
+    frame = clashing.select("doc_id", "text", "source", *[F.col("n_chars").alias(n) for n in names])
+    kept = lines.drop_boilerplate(frame)
+    assert kept.columns == [*frame.columns, "__n_lines", "__n_dropped"] and kept.count() == 8
+    assert simhash.keep_first(frame).columns == frame.columns
+    assert simhash.keep_first(frame).count() == simhash.keep_first(clashing).count()
+
+
+def test_rows_without_an_id_are_dealt_to_all_shards(spark, tmp_path):
+    rows_ = [(None if i % 2 else i, f"text number {i}") for i in range(400)]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string")
+    tokenfile.write(frame, str(tmp_path / "t"), tokens.public("byte_bpe_50k.json"), 2)
+    found = tokenfile.documents(tokenfile.read(spark, str(tmp_path / "t"))).collect()
+    assert len(found) == 400 and sum(r["doc_id"] is None for r in found) == 200
+    ends = {r["start"] + r["n_tokens"] for r in found}
+    assert len({r["start"] for r in found}) == 400 and {r["start"] for r in found} - ends == {0}
+    shards = tokenfile.read(spark, str(tmp_path / "t")).groupBy("shard").agg(
+        F.sum(F.size("doc_ids")).alias("n")).collect() if "doc_ids" in tokenfile.read(spark, str(tmp_path / "t")).columns else []
+    assert all(r["n"] < 300 for r in shards)

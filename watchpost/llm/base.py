@@ -65,6 +65,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that a column of the frame has already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def key_of(column: str) -> Column:
     """An id as a join and order key: null sorts before every other id."""
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))

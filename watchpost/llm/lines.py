@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchpost.llm.base import stored
+from watchpost.llm.base import free, stored
 
 #: Share of a site's pages above which a line is boilerplate, and pages it must stand in (the README says why).
 MAX_RATIO, MIN_PAGES = 0.06, 5
@@ -81,17 +81,18 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", max_ratio: float = M
     Adds ``__n_lines`` and ``__n_dropped`` (the lines that are not blank, and
     those of them dropped); a text without such lines stays as it is.
     """
+    of, cut, left = free(docs, "__site", "__lines", "__kept")
     found = stored(boilerplate(docs, site, max_ratio, min_pages, url), "boilerplate").withColumnsRenamed(
-        {"site": "__site", "lines": "__lines"}
+        {"site": of, "lines": cut}
     )
-    joined = docs.join(found, _site(docs, site, url).eqNullSafe(F.col("__site")), "left")
+    joined = docs.join(found, _site(docs, site, url).eqNullSafe(F.col(of)), "left")
     split = F.split(F.col("text"), "\n")
-    kept = F.filter(split, lambda x: (_bare(x) == "") | ~F.array_contains(F.col("__lines"), _name(_bare(x))))
-    has = F.col("__lines").isNotNull()
+    kept = F.filter(split, lambda x: (_bare(x) == "") | ~F.array_contains(F.col(cut), _name(_bare(x))))
+    has = F.col(cut).isNotNull()
     full = F.size(F.filter(split, lambda x: _bare(x) != ""))
-    return joined.withColumn("__kept", F.when(has, kept)).withColumns({
+    return joined.withColumn(left, F.when(has, kept)).withColumns({
         "__n_lines": F.coalesce(F.when(F.col("text").isNotNull(), full), F.lit(0)).cast("long"),
-        "__n_dropped": F.coalesce(F.when(has, F.size(split) - F.size("__kept")), F.lit(0)).cast("long"),
+        "__n_dropped": F.coalesce(F.when(has, F.size(split) - F.size(left)), F.lit(0)).cast("long"),
     }).withColumn(
-        "text", F.when(F.col("__n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col("text"))
-    ).drop("__site", "__lines", "__kept")
+        "text", F.when(F.col("__n_dropped") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
+    ).drop(of, cut, left)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchpost.llm.base import partitions, ship, stored
+from watchpost.llm.base import free, partitions, ship, stored
 from watchpost.llm.components import components
 
 #: Fingerprints in one BK-tree at most.
@@ -248,10 +248,9 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """
     found = near_duplicates(docs, shingle, radius)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("best")
-    kept = found.groupBy("root").agg(best).select(
-        F.col("best.doc_id").alias("__doc_id"), F.col("best.tie").alias("__tie")
+    doc, tie = free(docs, "__doc_id", "__tie")
+    kept = found.groupBy("root").agg(best).select(F.col("best.doc_id").alias(doc), F.col("best.tie").alias(tie))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (
+        F.xxhash64(docs["text"].cast("string")) == F.col(tie)
     )
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (
-        F.xxhash64(docs["text"].cast("string")) == F.col("__tie")
-    )
-    return docs.join(kept, same).dropDuplicates(["__doc_id", "__tie"]).select(*[docs[c] for c in docs.columns])
+    return docs.join(kept, same).dropDuplicates([doc, tie]).select(*[docs[c] for c in docs.columns])
