@@ -1,12 +1,15 @@
-"""Paging (``page_*``): a complete order, then OFFSET/LIMIT or a seek key.
+"""Paging (``page_*``): a complete order, then the rows of given ranks, or a seek key.
 
-``orderBy(...).offset(o).limit(n)`` is planned as a single
+A page is ``orderBy(...).offset(o).limit(n)``, planned as a single
 ``TakeOrderedAndProject``: every partition keeps only its best ``o + n`` rows
-and the survivors are merged, so no full sort or shuffle of the table
-happens.  There is one path for every depth.  The order ends with all display
-columns, so rows that tie in it are equal as shown and every row is on exactly
-one page.  Spark itself turns to a distributed sort once ``o + n`` exceeds
-``spark.sql.execution.topKSortFallbackThreshold``.
+and the survivors are merged.  So that no task ever holds more than
+``RANK_ROWS`` rows, the range that holds the page's first rank is narrowed
+until the offset inside it is small: a sample of keys cuts the range into
+smaller ones, one aggregate counts the rows of each, and their running sum
+tells which one holds the rank.  The sample only steers; all counts are exact.
+Rows equal to a sampled key are counted apart, so a key repeated very often is
+never ranked at all: its rows are the same as shown.  The order ends with all
+display columns, so every row is on exactly one page.
 
 ``page_after`` offers seek paging (``WHERE key >= last ORDER BY key``), whose
 cost does not depend on how deep the page is.
@@ -17,7 +20,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from watchpost.functions.clean import select_existing
@@ -41,11 +44,85 @@ def order_columns(df: DataFrame, binding: Binding) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order_names(df, binding)]
 
 
+#: Rows of the page order that a task holds at most.
+RANK_ROWS = 10_000
+#: Keys sampled to cut a range, and the cuts made of them.
+_SAMPLE_KEYS, _CUTS = 2_000, 32
+
+
+def _key(df: DataFrame, names: list[str], row: Row | None = None) -> Column:
+    """The order key of each row, or of the given one: compares as ``ASC NULLS LAST`` of the columns."""
+    parts = []
+    for name in names:
+        value = F.col(f"`{name}`") if row is None else F.lit(row[name]).cast(df.schema[name].dataType)
+        parts += [value.isNull(), value]
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+
+def _cuts(rows: DataFrame, names: list[str], count: int) -> list[Row]:
+    """Some keys of the rows, in order and about evenly spread."""
+    share = _SAMPLE_KEYS / count
+    while True:
+        some = rows if share >= 1 else rows.sample(fraction=share, seed=count)
+        keys = some.select(*[F.col(f"`{n}`") for n in names]).distinct()
+        found = keys.orderBy(*[F.col(f"`{n}`").asc_nulls_last() for n in names]).limit(2 * _SAMPLE_KEYS).collect()
+        if found or share >= 1:
+            return found[:: max(1, len(found) // _CUTS)]
+        share *= 8
+
+
 def page(df: DataFrame, binding: Binding, page: int = 1, page_size: int = 50) -> DataFrame:
     """Rows of one page of an (already filtered) frame, display columns only."""
     check_page(page, page_size)
     shown = select_existing(df, binding.display)
-    return shown.orderBy(*order_columns(shown, binding)).offset((page - 1) * page_size).limit(page_size)
+    names, order = order_names(shown, binding), order_columns(shown, binding)
+    key = _key(shown, names)
+    rows, skip, count = shown, (page - 1) * page_size, None
+    while skip + page_size > RANK_ROWS:
+        count = rows.count() if count is None else count
+        if skip >= count:
+            return shown.limit(0)
+        cuts = _cuts(rows, names, count)
+        bounds = F.array(*[_key(shown, names, c) for c in cuts])
+        # Even numbers lie between two cuts, odd ones are equal to a cut.
+        place = 2 * F.size(F.filter(bounds, lambda b: b < key)) + F.array_contains(bounds, key).cast("int")
+        sizes = {r[0]: r[1] for r in rows.groupBy(place.alias("place")).count().collect()}
+        before = 0
+        for at in sorted(sizes):
+            if before + sizes[at] > skip:
+                break
+            before += sizes[at]
+        skip -= before
+        cut = _key(shown, names, cuts[at // 2]) if at // 2 < len(cuts) else None
+        if at % 2:
+            same = shown.where(key == cut).limit(min(page_size, sizes[at] - skip))
+            rest = page_size - (sizes[at] - skip)
+            if rest <= 0:
+                return same
+            return same.union(shown.where(key > cut).orderBy(*order).limit(rest)).orderBy(*order)
+        if at:
+            rows = rows.where((key > _key(shown, names, cuts[at // 2 - 1])) & _from(names[0], cuts[at // 2 - 1][0]))
+        # Up to the first cut behind the page.
+        total = 0
+        for far in sorted(p for p in sizes if p >= at):
+            total += sizes[far]
+            if total >= skip + page_size:
+                break
+        if far // 2 < len(cuts):
+            rows = rows.where((key <= _key(shown, names, cuts[far // 2])) & _upto(names[0], cuts[far // 2][0]))
+            total += 0 if far % 2 else sizes.get(far + 1, 0)
+        count = total
+    return rows.orderBy(*order).offset(skip).limit(page_size)
+
+
+def _from(name: str, value) -> Column:
+    """What a lower bound of the whole key says of its first column, in a form that reaches the scan."""
+    column = F.col(f"`{name}`")
+    return column.isNull() if value is None else column.isNull() | (column >= F.lit(value))
+
+
+def _upto(name: str, value) -> Column:
+    return F.lit(True) if value is None else F.col(f"`{name}`") <= F.lit(value)
 
 
 def _after(columns: list[str], last: list) -> Column:

@@ -482,6 +482,16 @@ def q_page_deps(spark, d):
     return deliver(pg.deps(_deps(spark, d), 25, 500))
 
 
+@register("page_deps_deep", f"""{WD}SELECT {O.DEPS_COLS} FROM deps
+  ORDER BY org_name NULLS LAST, repo_name NULLS LAST, dependency_name NULLS LAST, package_name NULLS LAST,
+    is_open_source NULLS LAST
+  LIMIT 100 OFFSET (SELECT count(*) // 100 - 5 FROM deps) * 100""")
+def q_page_deps_deep(spark, d):
+    """A page near the end: found by the counts of key ranges."""
+    rows = _deps(spark, d)
+    return deliver(pg.deps(rows, rows.count() // 100 - 4, 100))
+
+
 @register("page_secrets",
           f"{WS}SELECT {O.SECRET_COLS} FROM secrets WHERE Organization_Name IN ('NATION_4') "
           f"{_ALERT_ORDER} LIMIT 50 OFFSET 0")
