@@ -1,23 +1,29 @@
 """Append-only history of metric snapshots (``tl_*``).
 
-Storage is a Parquet table partitioned by ``source``.  A snapshot is keyed by
+Storage is a folder of batches, each a Parquet table partitioned by
+``source``, and a log of commits under ``_log``: one small file per commit,
+numbered without gaps, that names its batch.  A snapshot is keyed by
 ``(source, fingerprint)``; appending is "new candidates anti-join history",
 so re-running an append (a retried job, a restarted app re-ingesting the same
-file) inserts nothing twice.  Spark's file commit protocol makes each append
-all-or-nothing, so a lost executor cannot leave half a batch behind.  Two
-appenders racing on one key can both pass the anti join; ``read_history``
-therefore keeps the first row per key (earliest timestamp, then lowest id),
-so every reader still sees one snapshot per key.  Ids of racing appenders may
-collide; ids are internal (dropped on read) and only break ties inside one
-minute bucket.
+file) inserts nothing twice.
+
+An append reads the history of the last commit, writes its batch, and then
+claims the next number, which only one appender can.  Another that loses the
+race removes its batch and begins anew on the longer history.  So a key is
+stored once and ids are distinct, whatever appenders run at a time, and a
+batch without its commit (a lost job) is never read.  ``read_history`` still
+keeps the first row per key (earliest timestamp, then lowest id), for tables
+written before there was a log.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchpost.functions.clean import iso_text, safe_int
@@ -29,8 +35,11 @@ from watchpost.schema import (
     ZOOM_IN_SHARE,
     ZOOM_OUT_SHARE,
 )
-from watchpost.session import exists
+from watchpost.session import claim_next, log_entries, log_entry, names, remove, scratch_dir
 
+_LOG = "_log"
+#: New keys of one append that are numbered in one task.
+_ONE_TASK = 10_000
 KEY = ["source", "fingerprint"]
 ID_ORDER = ["timestamp", "source", "fingerprint"]
 
@@ -76,12 +85,29 @@ def empty_history(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SNAPSHOT_SCHEMA)
 
 
+def _committed(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The number of the last commit (0 if none), and the batches of all."""
+    log = f"{path.rstrip('/')}/{_LOG}"
+    numbers = log_entries(spark, log)
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        batches = list(pool.map(lambda n: log_entry(spark, log, n), numbers))
+    return (numbers[-1] if numbers else 0), batches
+
+
+def _rows_of(spark: SparkSession, path: str, batches: list[str]) -> DataFrame:
+    old = [n for n in names(spark, path) if n.startswith("source=")]  # written without a log
+    out = empty_history(spark)
+    for folders in (batches, old):
+        if folders:
+            raw = spark.read.schema(SNAPSHOT_SCHEMA).option("basePath", path).parquet(
+                *[f"{path.rstrip('/')}/{f}" for f in folders])
+            out = out.union(raw.select(*SNAPSHOT_SCHEMA.names))
+    return out
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Every stored row (racing appenders may have written a key twice)."""
-    if not exists(spark, path):  # no table written yet
-        return empty_history(spark)
-    raw = spark.read.schema(SNAPSHOT_SCHEMA).option("basePath", path).parquet(path)
-    return raw.select(*[f.name for f in SNAPSHOT_SCHEMA.fields])
+    """Every committed row."""
+    return _rows_of(spark, path, _committed(spark, path)[1])
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -133,7 +159,10 @@ def new_rows(history: DataFrame, candidates: DataFrame,
         max_id = history.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).scalar()
     else:
         max_id = F.lit(max_id).cast("long")
-    numbered = row_index(fresh, [F.col(c).asc() for c in ID_ORDER], name="pos")
+    return _snapshot(row_index(fresh, [F.col(c).asc() for c in ID_ORDER], name="pos"), max_id)
+
+
+def _snapshot(numbered: DataFrame, max_id: Column) -> DataFrame:
     return numbered.select(
         (max_id + F.col("pos")).cast("long").alias("id"),
         F.col("timestamp").cast("timestamp").alias("timestamp"),
@@ -148,25 +177,37 @@ def appended(history: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def append(spark: SparkSession, path: str, candidates: DataFrame) -> int:
-    """tl_append: write new snapshots to the history at ``path``.
+    """tl_append: commit new snapshots to the history at ``path``.
 
     Returns the number of rows inserted (0 when every key was known).  The
-    largest stored id is read once as a value and the new rows are numbered
-    from a checkpoint (``row_index``), so the count and the write see the
-    same ids even if an executor is lost in between.
+    candidates are computed once, into a scratch table, however often a race
+    makes the append begin anew.
     """
-    # The key set and the largest id are the same with or without the
-    # first-wins dedup, so the append reads the raw rows (no aggregation).
-    history = read_raw(spark, path)
-    max_id = history.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
-    # The new keys are computed once, inside the numbering checkpoint; the
-    # count reads that checkpoint, and a re-ingest of known files (a restart,
-    # a retried job) ends here with nothing written.
-    rows = new_rows(history, candidates, max_id=max_id)
-    inserted = rows.count()
-    if inserted:
-        rows.write.mode("append").partitionBy("source").parquet(path)
-    return inserted
+    path = path.rstrip("/")
+    held = scratch_dir(spark, "snapshots")
+    first_per_key(candidates).write.parquet(held)
+    ready = spark.read.parquet(held)
+    try:
+        while True:
+            version, batches = _committed(spark, path)
+            history = _rows_of(spark, path, batches)
+            fresh = ready.join(history.select(*KEY), KEY, "left_anti")
+            inserted = fresh.count()
+            if not inserted:
+                return 0
+            max_id = history.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
+            if inserted <= _ONE_TASK:
+                pos = F.row_number().over(Window.orderBy(*[F.col(c).asc() for c in ID_ORDER]))
+                rows = _snapshot(fresh.withColumn("pos", pos), F.lit(max_id))
+            else:
+                rows = new_rows(history, ready, fresh, max_id)
+            batch = f"batch={uuid.uuid4().hex}"
+            rows.write.partitionBy("source").parquet(f"{path}/{batch}")
+            if claim_next(spark, f"{path}/{_LOG}", version, batch):
+                return inserted
+            remove(spark, f"{path}/{batch}")
+    finally:
+        remove(spark, held)
 
 
 # ---- read / merge / window ----------------------------------------------------

@@ -13,6 +13,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Settings every operator relies on.  Only applied when the key is unset.
@@ -136,3 +137,70 @@ def ship_package(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    at, fs = _hadoop_path(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds, sorted; nothing if it is absent."""
+    at, fs = _hadoop_path(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, with all it holds."""
+    at, fs = _hadoop_path(spark, path)
+    fs.delete(at, True)
+
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with its whole content unless it is there already; whether this call made it.
+
+    The content is written under another name first, then given the file's
+    name by an operation that fails where that name is taken: a hard link on
+    local file systems, a rename on HDFS and the like.
+    """
+    at, fs = _hadoop_path(spark, path)
+    fs.mkdirs(at.getParent())
+    draft, _ = _hadoop_path(spark, f"{os.path.dirname(path)}/.draft-{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    try:
+        if fs.getUri().getScheme() != "file":
+            return not fs.exists(at) and bool(fs.rename(draft, at))
+        jvm = spark.sparkContext._jvm
+        here, there = (jvm.java.io.File(p.toUri().getPath()).toPath() for p in (draft, at))
+        try:
+            jvm.java.nio.file.Files.createLink(there, here)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+    finally:
+        fs.delete(draft, False)
+
+
+def claim_next(spark: SparkSession, folder: str, after: int, text: str) -> bool:
+    """Claim the log entry that follows number ``after``."""
+    return claim(spark, f"{folder.rstrip('/')}/{after + 1:012d}", text)
+
+
+def log_entries(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of all entries of a log, ascending."""
+    return [int(n) for n in names(spark, folder) if n.isdigit()]
+
+
+def log_entry(spark: SparkSession, folder: str, number: int) -> str:
+    return read_small(spark, f"{folder.rstrip('/')}/{number:012d}")
