@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchpost.llm.base import partitions, ship
-from watchpost.llm.tokens import encoder
+from watchpost.llm.tokens import encoder, forget
 
 #: Ids of a segment, about, and of a block.
 SEGMENT = 1 << 18
@@ -150,6 +150,7 @@ def documents(segments: DataFrame) -> DataFrame:
     ship(segments.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the worker may have written the files
         for batch in batches:
             for row in range(len(batch)):
                 r = {n: batch.column(n)[row] for n in batch.schema.names}

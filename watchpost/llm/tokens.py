@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import compress, filterfalse
+from itertools import compress
 
 import numpy as np
 
@@ -139,22 +139,25 @@ class Encoder:
                 # "\nWord" stands for a line's first word; the text's first
                 # chunk is written as one, and the id of its line end dropped.
                 parts.append(("\n" + t).replace("\n", " \n").split(" ")[1:])
-        new: set[str] = set()
-        for p in parts:
-            if p is not None:
-                new.update(filterfalse(self.cache.__contains__, p))
+        # Each chunk is looked up once; those not found are learned and filled in.
+        get = self.cache.get
+        found = [None if p is None else list(map(get, p)) for p in parts]
+        gaps = [() if f is None or None not in f else [i for i, ids in enumerate(f) if ids is None] for f in found]
+        new = {p[i] for p, gap in zip(parts, gaps, strict=True) for i in gap}
         if len(self.cache) + len(new) > self.budget.chunks:
             self.old = self.cache if self.budget.generations > 1 else {}
-            self.cache, new = {}, set().union(*[p for p in parts if p is not None])
+            self.cache = {}
         if new:
             again = new.intersection(self.old) if self.old else ()
             self.cache.update((c, self.old[c]) for c in again)
             self._learn(list(new.difference(again)))
-        get, skip = self.cache.__getitem__, 0 if self.word_ends else 4
-        return [
-            self._whole(t) if p is None else b"".join(map(get, p))[skip:]
-            for t, p in zip(texts, parts, strict=True)
-        ]
+        learned, skip = self.cache, 0 if self.word_ends else 4
+        out = []
+        for t, p, f, gap in zip(texts, parts, found, gaps, strict=True):
+            for i in gap:
+                f[i] = learned[p[i]]
+            out.append(self._whole(t) if p is None else b"".join(f)[skip:])
+        return out
 
 
 _ENCODERS: dict[tuple[str, Budget], Encoder] = {}
@@ -167,6 +170,11 @@ def encoder(path: str, budget: Budget = LARGE) -> Encoder:
     return _ENCODERS[path, budget]
 
 
+def forget() -> None:
+    """Free what this process's encoders hold, where no text is encoded any more."""
+    _ENCODERS.clear()
+
+
 def public(name: str) -> Callable[[], str]:
     """The place of a public vocabulary file, looked up where it is used."""
 
