@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from watchpost.operators import paging
 
@@ -46,6 +47,18 @@ def test_a_deep_page_ranks_few_rows(spark, alerts, monkeypatch):
     assert "PushedFilters" not in plan or "Organization_Name" in plan
 
 
+def test_a_deep_page_joins_once(spark, alerts, monkeypatch):
+    """The rounds and the page read stored rows: what is joined below is broadcast for one pass only."""
+    monkeypatch.setattr(paging, "RANK_ROWS", 200)
+    orgs = spark.createDataFrame([("acme", 1), ("beta", 2), ("gamma", 3)], "Organization_Name string, n int")
+    joined = alerts.join(F.broadcast(orgs), "Organization_Name", "left")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    found = paging.alerts(joined, 30, 50)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = _plain(paging.select_existing(alerts, paging.ALERTS.display))
+    assert [str(tuple(r)) for r in found.collect()] == want[29 * 50:30 * 50]
+
+
 def test_a_page_past_the_end_is_empty(spark, alerts, monkeypatch):
     monkeypatch.setattr(paging, "RANK_ROWS", 100)
     assert paging.alerts(alerts, 2_000, 50).collect() == []

@@ -11,6 +11,10 @@ Rows equal to a sampled key are counted apart, so a key repeated very often is
 never ranked at all: its rows are the same as shown.  The order ends with all
 display columns, so every row is on exactly one page.
 
+Each round reads all rows of its range, so the frame's rows are written to the
+shared checkpoint folder first: what stands below them (joins, and the tables
+these broadcast through the driver) runs once for a page, not once a round.
+
 ``page_after`` offers seek paging (``WHERE key >= last ORDER BY key``), whose
 cost does not depend on how deep the page is.
 """
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 
 from watchpost.functions.clean import select_existing
 from watchpost.schema import ALERTS, DEPS, PAGE_SIZE_MAX, SECRETS, Binding
+from watchpost.session import scratch_dir
 
 
 def check_page(page: int, page_size: int) -> None:
@@ -71,13 +76,24 @@ def _cuts(rows: DataFrame, names: list[str], count: int) -> list[Row]:
         share *= 8
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder and read back."""
+    spark = rows.sparkSession
+    path = scratch_dir(spark, "page")
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def page(df: DataFrame, binding: Binding, page: int = 1, page_size: int = 50) -> DataFrame:
     """Rows of one page of an (already filtered) frame, display columns only."""
     check_page(page, page_size)
     shown = select_existing(df, binding.display)
     names, order = order_names(shown, binding), order_columns(shown, binding)
     key = _key(shown, names)
-    rows, skip, count = shown, (page - 1) * page_size, None
+    skip, count = (page - 1) * page_size, None
+    if skip + page_size > RANK_ROWS:
+        shown = _stored(shown)
+    rows = shown
     while skip + page_size > RANK_ROWS:
         count = rows.count() if count is None else count
         if skip >= count:
