@@ -360,6 +360,19 @@ def test_cached_chunks_give_the_librarys_ids(place, generations):
         assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+@pytest.mark.parametrize("place", [BYTE, WORD], ids=["byte", "word"])
+def test_a_word_is_looked_up_once_a_batch(place, monkeypatch):
+    seen = []
+    find = tokens._Kept.find
+    monkeypatch.setattr(tokens._Kept, "find", lambda self, names, make: seen.extend(names) or find(self, names, make))
+    enc, whole = tokens.Encoder(place()), tokenizer(place)
+    texts = [f"stone{end} river{end} stone stone river it's {n}" for n in range(40) for end in ("", ",", ".", "?!")]
+    got = enc.encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [
+        whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert seen.count("stone") == seen.count("river") == 1 and len(seen) < 150
+
+
 # 8 licenses
 
 def test_base_phrases_match_brute_force(documents):

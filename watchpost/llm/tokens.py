@@ -2,9 +2,12 @@
 
 Both vocabularies never merge across the place before a blank that follows a
 non-blank, so a text is cut there, each distinct chunk is encoded once by the
-library, and the ids of a text are those of its chunks in order.  Texts in
-which blanks stand side by side, or that hold control characters, are encoded
-as they are.  The cache is per worker process and bounded; it only saves work.  With
+library, and the ids of a text are those of its chunks in order.  A chunk that
+is a word of letters with punctuation behind it has the word's ids and then the
+punctuation's, so the word is encoded once whatever follows it.  Arrow cuts the
+texts of a batch, finds the distinct words and gathers the ids; Python looks
+each distinct word up.  Texts in which blanks stand side by side, or that hold
+control characters, are encoded as they are.  The cache is per worker process and bounded; it only saves work.  With
 two generations, the young one when full becomes the old one, whose chunks move
 to the young one again as they are met; with one, it is begun anew.
 
@@ -13,11 +16,14 @@ Rows of ids are little-endian unsigned 32-bit integers throughout.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 @dataclass(frozen=True)
@@ -34,6 +40,8 @@ LARGE = Budget(600_000, 1, 2_000_000)
 SMALL = Budget(150_000, 2, 500_000)
 _TAIL = ".,!?;:"
 _TOGETHER = 400
+#: Whether C's unsigned integers are the ids' form.
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def _odd(text: str) -> bool:
@@ -44,7 +52,38 @@ def _odd(text: str) -> bool:
 
 
 def _bytes(ids) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return array("I", ids).tobytes() if _NATIVE else np.array(ids, "<u4").tobytes()
+
+
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Kept:
+    """Ids by string, bounded: a young generation and, where the budget allows two, an old one."""
+
+    def __init__(self, budget: Budget):
+        self.budget = budget
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, names: list[str], make: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+        """What belongs to each of the distinct names; ``make`` gives that of the names not met yet."""
+        found = list(map(self.young.get, names))
+        new = [n for n, ids in zip(names, found, strict=True) if ids is None]
+        if not new:
+            return found
+        if len(self.young) + len(new) > self.budget.chunks:
+            self.old = self.young if self.budget.generations > 1 else {}
+            self.young = {}
+        if self.old:
+            again = [n for n in new if n in self.old]
+            self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            new = [n for n in new if n not in self.old]
+        made = make(new)
+        self.young.update(made)
+        known = self.young
+        return [known[n] if ids is None else ids for n, ids in zip(names, found, strict=True)]
 
 
 class Encoder:
@@ -70,11 +109,8 @@ class Encoder:
         self.mark = np.zeros(max(names.values()) + 1, bool)
         for name, i in names.items():
             self.mark[i] = name.endswith("</w>") if self.word_ends else name.startswith("Ġ")
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.old_stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        # Plain words, and no ids for others; chunks that are no plain word with a tail; tails.
+        self.stems, self.chunks, self.tails = _Kept(budget), _Kept(budget), _Kept(budget)
 
     def _whole(self, text: str) -> bytes:
         return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
@@ -96,67 +132,75 @@ class Encoder:
             out.update((w, raw[a:b]) for w, a, b in zip(group, at, at[1:], strict=False))
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Put the ids of new chunks into the cache."""
-        stems = [c.rstrip(_TAIL) for c in chunks]
+    def _stems(self, stems: list[str]) -> dict[str, bytes]:
+        """The ids of new stems, none for a stem that is no plain word."""
         # Letters that the library's normalisation only lower-cases, one by one.
         if self.word_ends:
-            is_plain = [s.isalpha() and (s.isascii() or max(s) <= "\xff") for s in stems]
+            plain = [s for s in stems if s.isalpha() and (s.isascii() or max(s) <= "\xff")]
+            ids = self._plain(list({s.lower() for s in plain}))
+            made = {s: ids[s.lower()] for s in plain}
         else:
-            is_plain = [s.isalpha() for s in stems]
-        plain, stems = list(compress(chunks, is_plain)), list(compress(stems, is_plain))
-        keys = [s.lower() for s in stems] if self.word_ends else stems
-        wanted = set(keys)
-        if len(self.stems) + len(wanted) > self.budget.chunks:
-            self.old_stems = self.stems if self.budget.generations > 1 else {}
-            self.stems = {}
-        known = self.stems
-        new = wanted.difference(known)
-        if self.old_stems:
-            again = new.intersection(self.old_stems)
-            known.update((s, self.old_stems[s]) for s in again)
-            new -= again
-        known.update(self._plain(list(new)))
-        tailed = [(c, k, c[len(s):]) for c, s, k in zip(plain, stems, keys, strict=True) if c[-1] in _TAIL]
-        for tail in {t for _, _, t in tailed}.difference(self.tails):
-            self.tails[tail] = self._whole(tail)
-        self.cache.update(zip(plain, map(known.__getitem__, keys), strict=True))
-        tails = self.tails
-        self.cache.update((c, known[k] + tails[t]) for c, k, t in tailed)
-        rest = [c for c, p in zip(chunks, is_plain, strict=True) if not p]
-        asked = rest if self.word_ends else [c if c[:1] == "\n" else " " + c for c in rest]
-        for c, enc in zip(rest, self.whole.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            self.cache[c] = _bytes(enc.ids)
+            plain = [s for s in stems if s.isalpha()]
+            made = self._plain(plain)
+        if len(plain) < len(stems):
+            made = dict.fromkeys(stems, b"") | made
+        return made
+
+    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        asked = chunks if self.word_ends else [c if c[:1] == "\n" else " " + c for c in chunks]
+        found = self.whole.encode_batch_fast(asked, add_special_tokens=False)
+        return {c: _bytes(enc.ids) for c, enc in zip(chunks, found, strict=True)}
+
+    def _tails(self, tails: list[str]) -> dict[str, bytes]:
+        return {t: self._whole(t) for t in tails}
+
+    def _chunked(self, text: str) -> str:
+        """The text with one blank between any two of its chunks."""
+        if self.word_ends:
+            return text.replace("\n", " ").strip(" ")
+        # "\nWord" stands for a line's first word; the text's first
+        # chunk is written as one, and the id of its line end dropped.
+        return "\n" + text.replace("\n", " \n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if _odd(t):
-                parts.append(None)
-            elif self.word_ends:
-                parts.append(t.split())
-            else:
-                # "\nWord" stands for a line's first word; the text's first
-                # chunk is written as one, and the id of its line end dropped.
-                parts.append(("\n" + t).replace("\n", " \n").split(" ")[1:])
-        # Each chunk is looked up once; those not found are learned and filled in.
-        get = self.cache.get
-        found = [None if p is None else list(map(get, p)) for p in parts]
-        gaps = [() if f is None or None not in f else [i for i, ids in enumerate(f) if ids is None] for f in found]
-        new = {p[i] for p, gap in zip(parts, gaps, strict=True) for i in gap}
-        if len(self.cache) + len(new) > self.budget.chunks:
-            self.old = self.cache if self.budget.generations > 1 else {}
-            self.cache = {}
-        if new:
-            again = new.intersection(self.old) if self.old else ()
-            self.cache.update((c, self.old[c]) for c in again)
-            self._learn(list(new.difference(again)))
-        learned, skip = self.cache, 0 if self.word_ends else 4
+        odd = [_odd(t) for t in texts]
+        lines = pa.array([self._chunked(t) for t, o in zip(texts, odd, strict=True) if not o], pa.large_string())
+        parts = pc.split_pattern(lines, " ")
+        coded = parts.values.dictionary_encode()
+        chunks, at = coded.dictionary, coded.indices.to_numpy()
+        trimmed = pc.ascii_rtrim(chunks, _TAIL)
+        stems = trimmed.dictionary_encode()
+        ids = self.stems.find(_strings(stems.dictionary), self._stems)
+        stem_at = stems.indices.to_numpy()
+        plain = np.fromiter(map(len, ids), np.int64, len(ids))[stem_at] > 0
+        # Other chunks are looked up whole.
+        others = self.chunks.find(_strings(chunks.filter(pa.array(~plain))), self._chunks)
+        first = stem_at.astype(np.int64)
+        first[~plain] = len(ids) + np.arange(len(others))
+        ids += others
+        # The tails of plain ones; where there is none, no ids.
+        ends = (pc.binary_length(chunks).to_numpy() - pc.binary_length(trimmed).to_numpy()) * plain
+        second = np.full(len(chunks), len(ids))
+        ids.append(b"")
+        ended = np.flatnonzero(ends)
+        tails = [c[-n:] for c, n in zip(_strings(chunks.take(pa.array(ended))), ends[ended].tolist(), strict=True)]
+        place = {t: len(ids) + i for i, t in enumerate(dict.fromkeys(tails))}
+        second[ended] = [place[t] for t in tails]
+        ids += self.tails.find(list(place), self._tails)
+        # The ids of all chunks one after another, and where each text's begin.
+        order = np.stack([first[at], second[at]], axis=1).ravel()
+        every = pa.array(ids, pa.large_binary()).take(pa.array(order))
+        offsets = np.frombuffer(every.buffers()[1], np.int64, len(every) + 1)
+        starts = offsets[2 * parts.offsets.to_numpy()].tolist()
+        raw, skip = memoryview(every.buffers()[2] or b""), 0 if self.word_ends else 4
+        bounds = zip(starts, starts[1:], strict=False)
         out = []
-        for t, p, f, gap in zip(texts, parts, found, gaps, strict=True):
-            for i in gap:
-                f[i] = learned[p[i]]
-            out.append(self._whole(t) if p is None else b"".join(f)[skip:])
+        for t, o in zip(texts, odd, strict=True):
+            if o:
+                out.append(self._whole(t))
+            else:
+                a, b = next(bounds)
+                out.append(raw[a + skip:b].tobytes())
         return out
 
 
