@@ -1,18 +1,20 @@
 """Large CSV files with quoted newlines, read by many tasks.
 
-A file is read line by line in the scan's own splits.  Whether a line begins
-inside a quoted field hangs on all lines before it, so:
-
-1.  each split is summed up by two answers: is it inside quotes at its end if
-    it began outside, and if it began inside (only its lines with a quote have
-    to be looked at);
-2.  chaining these answers over the splits of a file, in order, tells how each
-    really begins;
-3.  every split then cuts its lines into records.  What it holds of a record
-    that began in an earlier split, or that goes on in a later one, is set
-    aside and stitched together, in order.
-
-Records are parsed by Spark's own CSV parser.  The rules by which a quote
+A file is read line by line in the scan's own splits, which are fixed when the
+frame is made.  Splits far smaller than a task is worth are read several to a
+task; those that follow one another in a file and in a task are one stretch.
+Whether a line begins inside a quoted field hangs on all lines before it, so:
+
+1.  each stretch is summed up by two answers: is it inside quotes at its end if
+    it began outside, and if it began inside;
+2.  chaining these answers over the stretches of a file, in order, tells how
+    each really begins, and where the record began that is open there;
+3.  every stretch then cuts its lines into records.  What it holds of a record
+    that began in an earlier one, or that goes on in a later one, is set aside
+    and stitched together, in order.
+
+Lines are looked at in whole Arrow batches, not one by one.  Records are parsed
+by Spark's own CSV parser.  The rules by which a quote
 opens or closes a field are those of that parser: a quote opens one only as
 the first character of a field, a doubled one stays inside, and after a closing
 one anything but blanks makes the rest of the field plain text.  In a file
@@ -23,11 +25,13 @@ that never had a quote ends the record here; the one-task read takes it as text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -37,9 +41,18 @@ from watchpost.session import ship_package
 _FIELD = re.compile(r'"(?:[^"]|"")*"(?!")[^,]*(?:,|\Z)', re.S)
 #: From inside a quoted field to the end of the field.
 _CLOSE = re.compile(r'(?:[^"]|"")*"(?!")[^,]*(?:,|\Z)', re.S)
+#: The same for Arrow, which knows no lookahead: a line all of whose fields are closed, if it begins outside or inside of one.
+_ANY = r'(?:[^",][^,]*|"(?:[^"]|"")*"(?:[^",][^,]*)?)?'
+_CLOSED = rf'\A{_ANY}(?:,{_ANY})*\z'
+_CLOSED_INSIDE = rf'\A(?:[^"]|"")*"(?:[^",][^,]*)?(?:,{_ANY})*\z'
+#: Bytes that are worth a task, and tasks for each core before smaller splits share one.
+_TASK_BYTES = 16 << 20
+_TASKS_PER_CORE = 4
 _BAD = "_bad_record"
 #: A record is parsed alone, so nothing in it ends a line; this character stands in no text.
 _NO_LINE_END = "\uffff"
+#: A file's name is far longer than most lines, so each line has a number in its place.
+_FILE_ID = "xxhash64(_metadata.file_path)"
 
 
 def stays_open(line: str, inside: bool) -> bool:
@@ -65,67 +78,153 @@ def stays_open(line: str, inside: bool) -> bool:
     return False
 
 
+def _file_names(spark: SparkSession, files: list[str]) -> dict[int, str]:
+    """The files by their id; what they hold is not read."""
+    found = spark.read.format("binaryFile").load(files).selectExpr(
+        f"{_FILE_ID} AS id", "_metadata.file_path AS file"
+    ).collect()
+    names = {r["id"]: r["file"] for r in found}
+    if len(names) < len({r["file"] for r in found}):
+        raise RuntimeError("two files have one id")
+    return names
+
+
 def _lines(spark: SparkSession, files: list[str], separator: str) -> DataFrame:
-    """(file, start of the split, line): a plain newline ends a line also where others end in a carriage return."""
+    """(id of the file, start of the split, its length, line): a plain newline ends a line also where others end in a carriage return.
+
+    Splits, and which of them share a task, stay as they are now: what is found
+    of a stretch holds in later scans, whatever the session's settings are then.
+    """
     value = F.col("value")
     if separator == "\r\n":
         value = F.when(F.endswith(value, F.lit("\r")), F.left(value, F.length(value) - 1)).otherwise(value)
-    text = spark.read.option("lineSep", "\n").text(files)
-    return text.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        value.alias("value"),
+    text = spark.read.option("lineSep", "\n").text(files).select(
+        F.expr(_FILE_ID).alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_block_length").alias("length"), value.alias("value"),
     )
-
-
-def _summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, start, outside, inside): is a split open at its end if it began outside, or inside, of quotes."""
-    now, outside, inside = None, False, True
-
-    def row() -> pa.RecordBatch:
-        return pa.record_batch(
-            [pa.array([now[0]]), pa.array([now[1]], pa.int64()), pa.array([outside]), pa.array([inside])],
-            ["file", "start", "outside", "inside"],
-        )
-
+    jvm, plan = spark.sparkContext._jvm, text._jdf.queryExecution()
+    rows = plan.toRdd().toJavaRDD()
+    splits = rows.getNumPartitions()
+    size = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    tasks = max(_TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-splits * size // _TASK_BYTES))
+    if tasks < splits:
+        rows = rows.coalesce(tasks)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.rdd(), plan.analyzed().schema(), False), spark)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], bool, pa.Array]]:
+    """(file and start of a stretch, whether it begins here, lines), in order; a stretch may come in several parts."""
+    now = stretch = None
     for batch in batches:
-        for file, start, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (file, start) != now:
-                if now:
-                    yield row()
-                now, outside, inside = (file, start), False, True
-            outside, inside = stays_open(line, outside), stays_open(line, inside)
-    if now:
-        yield row()
+        n = batch.num_rows
+        if not n:
+            continue
+        file, start, length, value = batch.columns
+        # Bytes, as a line need not be valid text.
+        value = value.view(pa.large_binary() if pa.types.is_large_string(value.type) else pa.binary())
+        ids, starts = file.to_numpy(), start.to_numpy()
+        cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (starts[1:] != starts[:-1])) + 1
+        begin, new = 0, False
+        for at in [0, *cuts.tolist()]:
+            split = (int(ids[at]), int(starts[at]), length[at].as_py())
+            if split == now:
+                continue
+            if now is None or split[:2] != (now[0], now[1] + now[2]):
+                if at > begin:
+                    yield stretch, new, value.slice(begin, at - begin)
+                begin, new, stretch = at, True, split[:2]
+            now = split
+        yield stretch, new, value.slice(begin)
+
+
+def _open_after(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line, ``stays_open`` if it begins outside, and inside, of a quoted field."""
+    quoted = pc.match_substring(lines, '"').to_numpy(zero_copy_only=False)
+    some = lines if quoted.all() else lines.filter(pa.array(quoted))
+    outside, inside = np.zeros(len(lines), bool), np.ones(len(lines), bool)
+    for answer, closed in ((outside, _CLOSED), (inside, _CLOSED_INSIDE)):
+        answer[quoted] = ~pc.match_substring_regex(some, closed).to_numpy(zero_copy_only=False)
+    return outside, inside
+
+
+def _along(outside: np.ndarray, inside: np.ndarray, begins: bool) -> np.ndarray:
+    """Whether each line ends inside quotes, one after the other, if the first begins so."""
+    # A line whose two answers agree forgets what was before it; else it keeps or turns the state.
+    turned = np.cumsum(outside & ~inside)
+    last = np.maximum.accumulate(np.where(outside == inside, np.arange(len(outside)), -1))
+    settled = last >= 0
+    state = np.where(settled, outside[last], begins)
+    return state ^ ((turned - np.where(settled, turned[last], 0)) % 2 == 1)
 
 
-def begins_inside(lines: DataFrame) -> dict[tuple[str, int], tuple[bool, bool, bool]]:
-    """(file, start) of each split that begins or ends inside quotes: whether it begins, ends so, is the file's last.
+def _summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, start, outside, inside, closes): is a stretch open at its end if it began outside, or
+    inside, of quotes, and does a line of it end outside if it began inside.
 
-    One entry per such split at most; the driver holds the list of all splits
-    anyway.
+    One that keeps its state, as any without quotes does, has no row and changes nothing.
     """
-    quoted = lines.where(F.contains("value", F.lit('"')))
-    found = quoted.mapInArrow(_summed_up, "file string, start long, outside boolean, inside boolean")
-    # A split without quotes keeps its state, so it has no row here and changes nothing.
-    every = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n")).drop("n").join(
-        found, ["file", "start"], "left"
-    ).select("file", "start", F.coalesce("outside", F.lit(False)).alias("outside"),
-             F.coalesce("inside", F.lit(True)).alias("inside"))
-    # A split whose two answers agree forgets what was before it; else it keeps or turns the state.
-    in_file = Window.partitionBy("file").orderBy("start")
-    turns = (F.col("outside") & ~F.col("inside")).cast("int")
-    settled = F.when(F.col("outside") == F.col("inside"), F.col("outside").cast("int"))
-    numbered = every.withColumn("settled", settled).withColumn(
-        "era", F.count("settled").over(in_file)
-    )
-    in_era = Window.partitionBy("file", "era").orderBy("start")
-    first = F.first("settled").over(in_era)  # the settling split opens its era; era 0 begins outside
-    ends = (F.coalesce(first, F.lit(0)) + F.sum(F.when(F.col("settled").isNull(), turns).otherwise(0)).over(in_era)) % 2
-    state = numbered.withColumn("ends", ends == 1)
-    state = state.withColumn("begins", F.coalesce(F.lag("ends").over(in_file), F.lit(False)))
-    state = state.withColumn("last", F.lead("start").over(in_file).isNull())
-    border = state.where("begins OR ends").select("file", "start", "begins", "ends", "last")
-    return {(r["file"], r["start"]): (r["begins"], r["ends"], r["last"]) for r in border.collect()}
+    key, outside, inside, closes = None, False, True, False
+
+    def row() -> Iterator[pa.RecordBatch]:
+        if key and (outside, inside, closes) != (False, True, False):
+            yield pa.RecordBatch.from_pylist([
+                {"file": key[0], "start": key[1], "outside": outside, "inside": inside, "closes": closes}
+            ])
+
+    for stretch, new, lines in _stretches(batches):
+        if new:
+            yield from row()
+            key, outside, inside, closes = stretch, False, True, False
+        answers = _open_after(lines)
+        if inside:
+            states = _along(*answers, True)
+            ends = bool(states[-1])
+            closes = closes or not states.all()
+        else:
+            ends = bool(_along(*answers, False)[-1])
+        outside = ends if outside == inside else bool(_along(*answers, outside)[-1])
+        inside = ends
+    yield from row()
+
+
+class _Borders:
+    """How the stretches of files begin: outside of quotes but where an earlier one with an entry here ends inside."""
+
+    def __init__(self, found: list[tuple[int, int, bool, bool, bool]]) -> None:
+        #: By file: starts of stretches, whether each ends inside quotes, and the start of that in which the open record began.
+        self.files: dict[int, tuple[list[int], list[bool], list[int]]] = {}
+        #: Files whose last line end belongs to a field that is never closed.
+        self.unclosed: set[int] = set()
+        by_file: dict[int, list] = {}
+        for file, *entry in found:
+            by_file.setdefault(file, []).append(entry)
+        for file, entries in by_file.items():
+            ends, origin, table = False, 0, ([], [], [])
+            for start, outside, inside, closes in sorted(entries):
+                origin = origin if ends and not closes else start
+                ends = inside if ends else outside
+                for column, x in zip(table, (start, ends, origin), strict=True):
+                    column.append(x)
+            if any(table[1]):
+                self.files[file] = table
+
+    def before(self, file: int, start: int) -> tuple[bool, int]:
+        """Whether a stretch begins inside quotes, and the start of that in which the record open there began."""
+        starts, ends, origins = self.files.get(file, ([], [], []))
+        at = bisect_left(starts, start) - 1
+        return (ends[at], origins[at]) if at >= 0 else (False, 0)
+
+    def is_last(self, file: int, origin: int) -> bool:
+        """Whether the record open at a stretch's end is the one that is never closed."""
+        return file in self.unclosed and self.files[file][2][-1] == origin
+
+
+def _borders(spark: SparkSession, files: list[str], lines: DataFrame) -> _Borders:
+    kind = "file long, start long, outside boolean, inside boolean, closes boolean"
+    out = _Borders([tuple(r) for r in lines.mapInArrow(_summed_up, kind).collect()])
+    names = _file_names(spark, files)
+    out.unclosed = {file for file, (_, ends, _) in out.files.items() if ends[-1] and _ends_line(spark, names[file])}
+    return out
 
 
 def _ends_line(spark: SparkSession, file: str) -> bool:
@@ -141,57 +240,75 @@ def _ends_line(spark: SparkSession, file: str) -> bool:
         stream.close()
 
 
-def _records(inside_at: set[tuple[str, int]], open_ends: set[tuple[str, int]], whole: bool):
-    """Cuts lines into records: the whole ones, or else what lies across the borders of splits.
+def _joined(lines: pa.Array, offsets: np.ndarray) -> pa.Array:
+    """Lines from each offset to the next, joined to one text."""
+    if len(offsets) == len(lines) + 1:
+        return lines
+    lists = pa.LargeListArray if pa.types.is_large_binary(lines.type) else pa.ListArray
+    kind = pa.int64() if lists is pa.LargeListArray else pa.int32()
+    return pc.binary_join(lists.from_arrays(pa.array(offsets, kind), lines), b"\n")
+
 
-    Whole records have one column, pieces are (file, start, opens, value) in
-    order.  ``inside_at`` are the splits that begin inside quotes, ``open_ends``
-    those after whose last line a line end belongs to a field that is never closed.
+def _texts(values: pa.Array) -> pa.Array:
+    return values.view(pa.large_string() if pa.types.is_large_binary(values.type) else pa.string())
+
+
+def _records(borders, whole: bool):
+    """Cuts lines into records: the whole ones, or else what lies across the borders of stretches.
+
+    Whole records have one column; pieces are (file, origin, start, last, value),
+    ``origin`` the start of the stretch in which the record began.  ``borders``
+    is a broadcast of how stretches begin.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, head, header = None, [], False, False
-
-        def piece(opens: bool, last: bool) -> pa.RecordBatch:
-            text = "\n".join(held) + ("\n" if last and now in open_ends else "")
-            return pa.record_batch(
-                [pa.array([now[0]]), pa.array([now[1]], pa.int64()), pa.array([opens]), pa.array([text])],
-                ["file", "start", "opens", "value"],
+        key, held, head, header, inside, origin = None, [], False, False, False, 0
+
+        def piece(parts: list[pa.Array]) -> pa.RecordBatch:
+            lines = pa.concat_arrays(parts)
+            text = _texts(_joined(lines, np.array([0, len(lines)])))
+            last = borders.value.is_last(key[0], origin)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]], pa.int64()), pa.array([origin], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([last]), text],
+                ["file", "origin", "start", "last", "value"],
             )
 
-        for batch in batches:
-            out: list[str] = []
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            lines = batch.column(2).to_pylist()
-            quoted = pc.match_substring(batch.column(2), '"').to_pylist()
-            for key, line, quote in zip(keys, lines, quoted, strict=True):
-                if key != now:
-                    if held and not whole and not header:
-                        yield piece(not head, True)
-                    now, held = key, []
-                    head = key in inside_at  # still in a record of an earlier split
-                    header = key[1] == 0  # the first record of a file holds the names
-                    inside = head
-                if quote:
-                    inside = stays_open(line, inside)
-                if inside:
-                    held.append(line)
-                    continue
-                if head:
-                    held.append(line)
-                    if not whole:
-                        yield piece(False, False)
-                    head = False
-                elif line or held:
-                    if header:
-                        header = False
-                    elif whole:
-                        out.append("\n".join([*held, line]) if held else line)
-                held = []
-            if whole and out:
-                yield pa.record_batch([pa.array(out)], ["value"])
+        for stretch, new, lines in _stretches(batches):
+            if new:
+                if held and not whole and not header:
+                    yield piece(held)
+                key, held = stretch, []
+                inside, origin = borders.value.before(*key)
+                head = inside  # still in a record of an earlier stretch
+                origin = origin if head else key[1]
+                header = key[1] == 0  # the first record of a file holds the names
+            states = _along(*_open_after(lines), inside)
+            inside = bool(states[-1])
+            ends = np.flatnonzero(~states) + 1
+            if not len(ends):
+                held.append(lines)
+                continue
+            if not (whole or head or header):
+                held = [lines.slice(ends[-1])] if inside else []
+                continue
+            before, rest = sum(map(len, held)), lines.slice(ends[-1])
+            lines = pa.concat_arrays([*held, lines.slice(0, ends[-1])]) if held else lines.slice(0, ends[-1])
+            held = [rest] if inside else []
+            offsets = np.concatenate([[0], ends + before])
+            if head:
+                if not whole:
+                    yield piece([lines.slice(0, offsets[1])])
+                lines, offsets = lines.slice(offsets[1]), offsets[1:] - offsets[1]
+                head, origin = False, key[1]
+            found = _joined(lines, offsets) if whole or header else None
+            if header:
+                filled = np.flatnonzero(pc.binary_length(found).to_numpy(zero_copy_only=False))
+                header = not len(filled)  # blank lines before the header are none
+                found = found.slice(len(found) if header else filled[0] + 1)
+            if whole and len(found):
+                yield pa.RecordBatch.from_arrays([_texts(found)], ["value"])
         if held and not whole and not header:
-            yield piece(not head, True)
+            yield piece(held)
 
     return run
 
@@ -205,37 +322,32 @@ def read(spark: SparkSession, files: list[str], schema: StructType, separator: s
     """
     ship_package(spark)
     lines = _lines(spark, files, separator)
-    borders = begins_inside(lines)
-    inside_at = {key for key, (begins, _, _) in borders.items() if begins}
-    # Only a field that is never closed reaches the end of a file; its last line end is part of it.
-    open_ends = {
-        key for key, (_, ends, last) in borders.items() if ends and last and _ends_line(spark, key[0])
-    }
-    records = lines.mapInArrow(_records(inside_at, open_ends, True), "value string")
-    if borders:
-        starts = sorted({start for _, start in borders})
-        names = sorted({file for file, _ in borders})
-        near = lines.where(F.col("start").isin(starts) & F.col("file").isin(names))
-        pieces = near.mapInArrow(
-            _records(inside_at, open_ends, False), "file string, start long, opens boolean, value string"
+    borders = _borders(spark, files, lines)
+    known = spark.sparkContext.broadcast(borders)
+    records = lines.mapInArrow(_records(known, True), "value string")
+    if borders.files:
+        pieces = lines.where(F.col("file").isin(sorted(borders.files))).mapInArrow(
+            _records(known, False), "file long, origin long, start long, last boolean, value string"
         )
-        order = Window.partitionBy("file").orderBy("start", "opens")  # what ends here comes before what begins
-        number = F.sum(F.col("opens").cast("int")).over(order)
-        joined = pieces.withColumn("record", number).groupBy("file", "record").agg(
-            F.array_sort(F.collect_list(F.struct("start", "opens", "value"))).alias("parts")
+        joined = pieces.groupBy("file", "origin").agg(
+            F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"), F.bool_or("last").alias("last")
         )
-        parts = F.transform("parts", lambda p: p["value"])
-        joined = joined.where("record > 0")  # what ends a header that goes over a border has no beginning here
-        records = records.union(joined.select(F.array_join(parts, "\n").alias("value")))
+        # What ends a header that goes over a border has no beginning here.
+        joined = joined.where(F.col("parts")[0]["start"] == F.col("origin"))
+        text = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
+        # Only a field that is never closed reaches the end of a file; its last line end is part of it.
+        records = records.union(joined.select(F.concat(text, F.when(F.col("last"), "\n").otherwise("")).alias("value")))
     bad = _BAD
     while bad in schema.names:
         bad += "_"
     wide = StructType([*schema.fields, StructField(bad, StringType())])
-    parsed = records.where("value <> ''").select(F.from_csv("value", _ddl(wide), {
+    row = F.from_csv("value", _ddl(wide), {
         **options, "lineSep": _NO_LINE_END, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad,
-    }).alias("row"))
-    good = parsed.where(F.col("row")[bad].isNull())
-    return good.select(*[F.col("row")[name].alias(name) for name in schema.names])
+    })
+    # As a generator each record is parsed once, not for every column and the filter.
+    parsed = records.where("value <> ''").select(F.inline(F.array(row)))
+    good = parsed.where(F.col(f"`{bad}`").isNull())
+    return good.select(*[F.col(f"`{name.replace('`', '``')}`") for name in schema.names])
 
 
 def _ddl(schema: StructType) -> str:
